@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import line_dedup, sharding
+import public_tokenizers
+from usageloom.llm import byte_bpe, line_dedup, sharding, toxicity
 from usageloom.llm.shared import load
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -29,6 +30,21 @@ def op1_sql() -> str:
     SELECT doc_id, slot, CAST(shard AS INTEGER) AS shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 3, '0') AS shard_name FROM dealt"""
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digests(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -53,6 +69,8 @@ FROM marked GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lookup": op1_shard_lookup,
+    "op3_toxicity": op3_toxicity,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
 }
 
