@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from usageloom.llm import byte_bpe, line_dedup, sharding, toxicity
+from usageloom.llm import byte_bpe, decontamination, line_dedup, sharding, token_counts, toxicity, warc
 from usageloom.llm.shared import load
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -30,6 +30,20 @@ def op1_sql() -> str:
     SELECT doc_id, slot, CAST(shard AS INTEGER) AS shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 3, '0') AS shard_name FROM dealt"""
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(load(spark, sf_dir, "pages"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH hashed AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM hashed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM firsts"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, load(spark, sf_dir, "labels"))
@@ -37,6 +51,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+UNIGRAM = "piece_bpe_32k.model"
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path(UNIGRAM))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_matches(docs, load(spark, sf_dir, "benchmark"))
+
+
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 
 
@@ -69,12 +96,16 @@ FROM marked GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lookup": op1_shard_lookup,
+    "op2_warc_index": op2_warc_index,
     "op3_toxicity": op3_toxicity,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op1_shard_lookup": op1_sql(),
+    "op2_warc_index": OP2_SQL,
     "op9_line_dedup": OP9_SQL,
 }
