@@ -25,7 +25,7 @@ from usageloom.llm.shared import col, fresh
 SLOT_BITS = 18
 SIZES = (3, 4, 5)
 #: The sample that is fitted: so many labelled rows of each class at most.
-SAMPLE_A_CLASS = 3000
+SAMPLE_A_CLASS = 2000
 #: Added to each slot's counts.
 SMOOTHING = 1.0
 #: A slot counts if the shares of toxic and other texts that hold it differ by so many standard errors.
@@ -81,17 +81,17 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> Model:
     n_slots, share = 1 << SLOT_BITS, min(max(share, 0.0), 1.0)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(np.zeros(n_slots), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    sizes = np.array([len(r) for r in rows])
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    p, q = (np.bincount(flat[toxic[row] == y], minlength=n_slots) for y in (1, 0))
+    p, q = np.zeros(n_slots), np.zeros(n_slots)
+    for r, y in zip(rows, toxic, strict=True):
+        (p if y else q)[r] += 1
     n_toxic, n_other = toxic.sum(), (1 - toxic).sum()
     mean = (p + q) / len(rows)
     error = np.sqrt(mean * (1 - mean) * (1 / n_toxic + 1 / n_other))
     telling = np.abs(p / n_toxic - q / n_other) > LEAST_Z * np.maximum(error, 1e-12)
     ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
     ratio = np.where(telling, ratio, 0.0)
-    kept = telling[flat]
-    flat, row = flat[kept], row[kept]
+    rows = [r[telling[r]] for r in rows]
+    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     value = ratio[flat]
     w, b, y = np.zeros(n_slots), 0.0, toxic.astype(float)
     # Adam on the whole sample: deterministic, and sure of its step whatever the slots' scales.
