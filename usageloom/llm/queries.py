@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from usageloom.llm import byte_bpe, decontamination, line_dedup, secrets, sharding, token_counts, toxicity, warc
+from usageloom.llm import byte_bpe, decontamination, jaccard_join, line_dedup, secrets, sharding, token_counts, toxicity, warc
 from usageloom.llm.shared import load
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -103,6 +103,10 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id"""
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lookup": op1_shard_lookup,
     "op2_warc_index": op2_warc_index,
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
