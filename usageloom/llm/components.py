@@ -7,10 +7,24 @@ aggregation and joins that can be split where a hub has many edges; no component
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.shared import checkpointed
+from usageloom.llm.shared import checkpointed, stored
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that it reaches by the edges (i, j)."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, i, label[j])
+        np.minimum.at(least, j, label[i])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,3 +55,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = found
         now = checkpointed(_small_star(_large_star(now)))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def linked_classes(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (id, class_id, n_links) for rows (id, digest).
+
+    distinct: (digest, id, copies), the least id and the number of rows of each digest. links: (a, b, n), where the edges
+    (a, b) of digests connect every class and the n of a digest a sum to its linked rows, its own copies left out. A row
+    without a digest links with nothing. What is joined is stored before: then a join can split the side of a hot digest.
+    """
+    classes = components(links.select("a", "b")).select(F.col("node").alias("digest"), "component")
+    counted = links.groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n"))
+    info = distinct.join(classes, "digest", "left").join(counted, "digest", "left")
+    n_links = F.col("copies") - 1 + F.coalesce("n", F.lit(0))
+    info = stored(info.select("digest", "id", F.coalesce("component", "digest").alias("component"), n_links.alias("n_links")), "class-members")
+    names = stored(info.groupBy("component").agg(F.min("id").alias("class_id")), "class-names")
+    found = stored(info.join(names, "component").select("digest", "class_id", "n_links"), "classes")
+    class_id = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    return rows.join(found, "digest", "left").select("id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.components import components
+from usageloom.llm.components import components, least_labels, linked_classes
 from usageloom.llm.shared import col, shared_dir, stored
 
 GRAM = 5
@@ -148,21 +148,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that it reaches by the edges (i, j)."""
-    label = np.arange(n)
-    while True:
-        least = label.copy()
-        np.minimum.at(least, i, label[j])
-        np.minimum.at(least, j, label[i])
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
-
 def _forest(digests: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    label = _labels(len(digests), i, j)
+    label = least_labels(len(digests), i, j)
     moved = np.flatnonzero(label != np.arange(len(digests)))
     return pa.RecordBatch.from_arrays([pa.array([digests[x] for x in moved], pa.binary()), pa.array([digests[label[x]] for x in moved], pa.binary())], ["a", "b"])
 
@@ -280,7 +267,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found_j.append(j[ok])
             i, j = np.concatenate(found_i), np.concatenate(found_j)
             n = np.bincount(i, weights=copies[j], minlength=len(sets)) + np.bincount(j, weights=copies[i], minlength=len(sets))
-            label = _labels(len(sets), i, j)
+            label = least_labels(len(sets), i, j)
             linked = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([digests[x] for x in linked], pa.binary()), pa.array([digests[label[x]] for x in linked], pa.binary()), pa.array(n[linked].astype(np.int64))], ["a", "b", "n"]
@@ -333,14 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = meant.mapInArrow(_exact_sets, "digest binary, component binary, copies bigint, n_blocks bigint, grams binary")
     units = _in_blocks(exact, "component", F.col("n_blocks"), "digest").select("unit", "digest", "copies", "block", "across", "grams")
     links = stored(_sorted_by(units, "unit", _verify, "a binary, b binary, n bigint"), "exact-links")
-    classes = components(links.select("a", "b")).select(F.col("node").alias("digest"), "component")
-    counted = links.groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n"))
-    info = sets.join(classes, "digest", "left").join(counted, "digest", "left")
-    info = stored(info.select("digest", "id", F.coalesce("component", "digest").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "set-links")
-    names = stored(info.groupBy("component").agg(F.min("id").alias("class_id")), "class-names")
-    found = stored(info.join(names, "component").select("digest", "class_id", "n_links"), "classes")
-    rows = signatures.select("id", "digest").join(found, "digest", "left")
-    return rows.select(F.col("id").alias(id_col), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = linked_classes(signatures.select("id", "digest"), sets.select("digest", "id", "copies"), links)
+    return found.withColumnRenamed("id", id_col)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

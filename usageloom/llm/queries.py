@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from usageloom.llm import byte_bpe, decontamination, jaccard_join, line_dedup, secrets, sharding, token_counts, toxicity, warc
+from usageloom.llm import byte_bpe, decontamination, jaccard_join, line_dedup, secrets, sharding, token_counts, toxicity, vector_dedup, warc
 from usageloom.llm.shared import load
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -51,6 +51,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lookup": op1_shard_lookup,
     "op2_warc_index": op2_warc_index,
     "op3_toxicity": op3_toxicity,
+    "op4_vector_dedup": op4_vector_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
