@@ -132,22 +132,25 @@ def find_matches(
                 ids = batch.column("id").take(pa.array([r[0] for r in rows], kind))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int32())], ["id", "number", "distance"])
 
-        numbered = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(block)], f"number long, {'item'} {item_type}")
+        numbered = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(block)], f"number long, item {item_type}")
         hits = texts.mapInArrow(match, f"id {id_type}, number long, distance int")
         return hits.join(F.broadcast(numbered), "number").select(F.col("id").alias(id_col), F.col("item").alias(item_id), "distance")
 
     return reduce(DataFrame.unionByName, map(of_block, _blocks(items, item_id, item_text)))
 
 
+def _cleaner(cast, rate: float):
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher([(i, text) for i, (_, text) in enumerate(cast.value)], rate)
+        for batch in texts:
+            yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """docs without the rows in which an item occurs within its error budget."""
     for block in _blocks(items, item_id, item_text):
         cast = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(texts: Iterator[pd.Series], cast=cast) -> Iterator[pd.Series]:
-            matcher = Matcher([(i, text) for i, (_, text) in enumerate(cast.value)], rate)
-            for batch in texts:
-                yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")(normal_text(col(text_col))))
+        docs = docs.where(F.pandas_udf(_cleaner(cast, rate), "boolean")(normal_text(col(text_col))))
     return docs
