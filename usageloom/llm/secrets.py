@@ -1,6 +1,6 @@
 """Secret scanning by patterns and a randomness test battery, in DataFrame functions only.
 
-Base kinds are found by pattern: `assign` (the value of a password-like assignment), `access` (AKIA ids) and `hex` (long
+Base kinds are found by pattern: `assign` (a password-like assignment), `access` (AKIA ids) and `hex` (long
 runs of lower-case hex digits). The battery adds the kind `random`: runs of LEAST_CHARS or more symbols with a digit that
 overlap no base span. The encoding of each is inferred from its symbols (decimal, hex, base 32, 36, 62 or 64), which
 fixes an alphabet of k symbols, and over the n symbol numbers three statistics are taken:
@@ -51,7 +51,7 @@ BINS = 1000
 
 
 def located(text: Column, pattern: str, value_group: int = 0) -> Column:
-    """array<struct<start, end, value>> of a pattern's leftmost matches; a group other than 0 must end where the match ends."""
+    """array<struct<start, end, value>> of a pattern's leftmost matches: a match's bounds, and the text of the group."""
     gaps = F.split(text, pattern, -1)
     hits, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, value_group))
     sized = F.transform(
@@ -62,8 +62,9 @@ def located(text: Column, pattern: str, value_group: int = 0) -> Column:
     )
 
     def place(done: Column, hit: Column) -> Column:
-        end = done.at + hit.gap + hit.size
-        span = F.struct((end - F.length(hit.value)).alias("start"), end.alias("end"), hit.value.alias("value"))
+        start = done.at + hit.gap
+        end = start + hit.size
+        span = F.struct(start.alias("start"), end.alias("end"), hit.value.alias("value"))
         return F.struct(end.alias("at"), F.concat(done.spans, F.array(span)).alias("spans"))
 
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string>>)")
