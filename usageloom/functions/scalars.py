@@ -40,7 +40,8 @@ def ratio(part: Column, whole: Column, otherwise: float | None = 0.0) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def remaining(utilization: Column) -> Column:

@@ -1,0 +1,66 @@
+"""Queries that write the events as JSON-lines logs first, then read those: whole, or as a stream of what is new."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from usageloom.operators import aggregates as agg
+from usageloom.operators.clean import clean_usage, priced
+from usageloom.plans.usage import BY_DAY, COST, DAYS, TODAY, Query, _total, load, usage_sql
+from usageloom.sources.folders import scratch
+from usageloom.sources.usage import modified_floor, parse_lines, read_lines, write_logs
+from usageloom.streaming.alerts import alerts
+from usageloom.streaming.tail import stored_costs, tail_costs
+
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch(spark, "logs")
+    write_logs(load(spark, sf_dir, "events"), path)
+    return path
+
+
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day and model roll-up, from log files."""
+    usage = parse_lines(read_lines(spark, [_logs(spark, sf_dir)], modified_floor(TODAY, DAYS), "*.txt"))
+    return agg.by_day_model(priced(clean_usage(usage, TODAY, DAYS)))
+
+
+QUERIES["log_scan"] = log_scan
+ORACLE["log_scan"] = f"WITH {usage_sql()}, {BY_DAY} SELECT * FROM bdm"
+
+
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost partials of a stream over the log files, added up."""
+    logs, store = _logs(spark, sf_dir), scratch(spark, "costs")
+    tail_costs(spark, logs, store, suffix=".txt").awaitTermination()
+    return stored_costs(spark, store)
+
+
+QUERIES["log_tail"] = log_tail
+ORACLE["log_tail"] = f"""WITH {usage_sql(cached_too=False)}
+  SELECT day, model, {_total('input_tokens')} AS input_tokens, {_total('output_tokens')} AS output_tokens, {COST} AS cost FROM rows GROUP BY day, model"""
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a stream over the events, as a batch table."""
+    source, out = scratch(spark, "samples"), scratch(spark, "alerts")
+    events = load(spark, sf_dir, "events")
+    used = F.least(F.lit(100.0), F.col("value"))
+    sample = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("window_id"), F.col("event_id").alias("seq"), used.alias("utilization"), F.lit(True).alias("enabled"))
+    sample.write.parquet(source)
+    stream = spark.readStream.schema(sample.schema).parquet(source)
+    query = alerts(stream, [50, 20]).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "alerts-progress"))
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("window_id string, seq long, alert string").parquet(out)
+
+
+QUERIES["stream_alerts"] = stream_alerts
+ORACLE["stream_alerts"] = """WITH lagged AS (SELECT 'u' || user_id AS window_id, event_id AS seq, 100 - least(100.0, value) AS remaining,
+    lag(100 - least(100.0, value)) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events)
+  SELECT window_id, seq, CASE WHEN remaining <= 20 AND (previous IS NULL OR previous > 20) THEN '20' ELSE '50' END AS alert FROM lagged
+    WHERE (remaining <= 20 AND (previous IS NULL OR previous > 20)) OR (remaining <= 50 AND (previous IS NULL OR previous > 50))
+  UNION ALL SELECT window_id, seq, CASE WHEN remaining <= 0.0001 THEN 'depleted' ELSE 'restored' END FROM lagged WHERE (remaining <= 0.0001) <> coalesce(previous <= 0.0001, false)"""
