@@ -36,7 +36,7 @@ def line_keys(lines: pa.Array) -> pa.Array:
 
 
 def _digests(min_chars: int):
-    """Rows (id, at, digest) of a task's lines of min_chars code points or more: their numbers and SHA-256 hashes."""
+    """Rows (id, row, at, digest) of a task's lines of min_chars code points or more: their numbers and SHA-256 hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,9 +46,8 @@ def _digests(min_chars: int):
             long = np.flatnonzero(pc.greater_equal(pc.utf8_length(keys), min_chars).to_numpy(zero_copy_only=False))
             digests = [hashlib.sha256(k.as_buffer()).digest() for k in keys.take(pa.array(long))]
             at = (long - (starts[of[long]] - starts[0])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(of[long])), pa.array(at), pa.array(digests, pa.binary())], ["id", "at", "digest"]
-            )
+            own = [batch.column(c).take(pa.array(of[long])) for c in ("id", "row")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(digests, pa.binary())], ["id", "row", "at", "digest"])
 
     return rows
 
@@ -129,11 +128,14 @@ def _suspected(filter_cast, bits: int):
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """Rows (id, drops): the numbers, from 0, of the lines that a document loses; only documents that lose some."""
+    """Rows (id, row, drops): the numbers, from 0, of the lines that a row loses; only rows that lose some.
+
+    row is a hash of the text, so that rows that repeat an id with other texts keep their own line numbers.
+    """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, at int, digest binary"
-    whole = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    schema = f"id {id_type}, row long, at int, digest binary"
+    whole = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("row"), col(text_col).alias("text"))
     # A line that one document holds twice goes in twice: it is suspected, and the exact count clears it.
     rows = stored(whole.mapInArrow(_digests(min_chars), schema), "line-digests")
     bits, segments = repeated_filter(rows.select("digest"), rows.count())
@@ -142,7 +144,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     held = suspects.groupBy("digest", "id").agg(F.lit(1).alias("one"))
     counts = held.groupBy("digest").agg(F.count("one").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     gone = suspects.join(counts, "digest").where(~F.col("id").eqNullSafe(F.col("keeper")))
-    return gone.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("drops"))
+    return gone.groupBy("id", "row").agg(F.collect_set("at").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -151,9 +153,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A key is a line stripped and lower-cased (see line_keys). Keys of min_chars code points or more, found in min_docs
     documents or more, lose their lines in all but the document with the largest id that holds the key.
     """
-    n_lines, n_dropped, drops, lines, key = fresh(docs, "n_lines", "n_dropped", "drops", "lines", "id_")
-    gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs).toDF(key, drops)
-    joined = docs.join(gone, col(id_col).eqNullSafe(col(key)), "left").drop(key)
+    n_lines, n_dropped, drops, lines, key, row = fresh(docs, "n_lines", "n_dropped", "drops", "lines", "id_", "row")
+    gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs).toDF(key, row, drops)
+    joined = docs.join(gone, col(id_col).eqNullSafe(col(key)) & (F.xxhash64(col(text_col)) == col(row)), "left").drop(key, row)
     split = joined.withColumn(lines, F.split(F.coalesce(col(text_col), F.lit("")), "\n", -1))
     kept = F.filter(col(lines), lambda line, i: ~F.array_contains(col(drops), i))
     text = F.when(col(drops).isNull(), col(text_col)).otherwise(F.concat_ws("\n", kept)).alias(text_col)
