@@ -143,6 +143,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     suspects = stored(rows.mapInArrow(_suspected(cast, bits), schema), "suspect-lines")
     held = suspects.groupBy("digest", "id").agg(F.lit(1).alias("one"))
     counts = held.groupBy("digest").agg(F.count("one").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    counts = stored(counts.select("digest", "keeper"), "repeated-lines")  # as a table, so that the join can split a hot line
     gone = suspects.join(counts, "digest").where(~F.col("id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("id", "row").agg(F.collect_set("at").alias("drops"))
 
