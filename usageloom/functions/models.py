@@ -31,5 +31,15 @@ def display_name(model: Column) -> Column:
     return F.regexp_replace(model, "^claude-", "")
 
 
-def price_table(spark: SparkSession, rows: list[tuple[str, float, float]] | None = None) -> DataFrame:
-    return spark.createDataFrame(PRICES if rows is None else rows, "model string, price_in double, price_out double")
+def price_table(spark: SparkSession) -> DataFrame:
+    """The fixed prices, as a relation whose size the planner knows."""
+    rows = ", ".join(f"('{model}', double({low!r}), double({high!r}))" for model, low, high in PRICES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS prices(model, price_in, price_out)")
+
+
+def default_price(prices: DataFrame | None = None) -> tuple[float, float]:
+    """The default model's prices per input and output token: of a table, or else the fixed ones."""
+    if prices is None:
+        return next((low, high) for model, low, high in PRICES if model == DEFAULT_MODEL)
+    found = prices.where(F.col("model") == DEFAULT_MODEL).select("price_in", "price_out").first()
+    return (found[0], found[1]) if found else default_price()

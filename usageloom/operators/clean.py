@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from usageloom.functions.models import DEFAULT_MODEL, price_table
+from usageloom.functions.models import default_price, price_table
 from usageloom.functions.scalars import volume
 
+#: Prices that may be broadcast (some 10 MB).
+MOST_PRICES = 100_000
 TOKENS = ["input_tokens", "output_tokens", "cache_read", "cache_write"]
 
 
@@ -30,25 +32,26 @@ def has_tokens(*names: str) -> Column:
 def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """The last row by `order` for each value of the keys in each `within`; rows with a null key all stay.
 
-    One pass, one shuffle; a null key is dealt by the order columns, so that many such rows don't meet.
+    One pass, one shuffle, and tasks drop older rows before it; rows with a null key are each a group of their own.
     """
     unkeyed = F.lit(False)
     for k in keys:
         unkeyed = unkeyed | F.col(k).isNull()
-    own = F.when(unkeyed, F.struct(*order))
-    ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy(*within, *keys, own).orderBy(*[F.col(c).desc() for c in order])))
-    return ranked.where(unkeyed | (F.col("rank_") == 1)).drop("rank_")
+    alone = rows.withColumn("alone_", F.when(unkeyed, F.monotonically_increasing_id()))
+    newest = Window.partitionBy(*within, *keys, "alone_").orderBy(*[F.col(c).desc() for c in order])
+    return alone.withColumn("rank_", F.row_number().over(newest)).where(F.col("rank_") == 1).drop("rank_", "alone_")
 
 
 def priced(rows: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Adds cost and volume. A model without a price has the default model's; cached tokens cost nothing here.
 
-    The price table is small and its size known to the planner, which broadcasts it if it fits.
+    The fixed prices, and a table of up to MOST_PRICES rows, are broadcast: few models have all the rows, and a shuffle
+    by model would put them into few tasks.
     """
+    low, high = default_price(prices)
+    small = prices is None or prices.limit(MOST_PRICES + 1).count() <= MOST_PRICES
     prices = price_table(rows.sparkSession) if prices is None else prices
-    default = prices.where(F.col("model") == DEFAULT_MODEL).select("price_in", "price_out").first()
-    low, high = (default["price_in"], default["price_out"]) if default else (0.0, 0.0)
-    found = rows.join(prices, "model", "left")
+    found = rows.join(F.broadcast(prices) if small else prices, "model", "left")
     cost = F.col("input_tokens") * F.coalesce("price_in", F.lit(low)) + F.col("output_tokens") * F.coalesce("price_out", F.lit(high))
     return found.select(*rows.columns, cost.alias("cost"), volume(*[F.col(c) for c in TOKENS]).alias("volume"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from usageloom.functions.models import CACHE_READ_SHARE, DEFAULT_MODEL, price_table
+from usageloom.functions.models import CACHE_READ_SHARE, default_price, price_table
 from usageloom.functions.scalars import lerp3, log_midpoint, log_scale, ratio, volume, weekday
 from usageloom.operators.aggregates import DIGITS, days_axis, ranked, total, total_cost
 from usageloom.operators.clean import TOKENS
@@ -79,7 +79,7 @@ def cache_hit_rate(axis: DataFrame) -> DataFrame:
 def cache_savings(axis: DataFrame, models: DataFrame) -> DataFrame:
     """What the cached tokens would have cost at the price of the model that cost most (ties: the lesser name)."""
     prices = price_table(axis.sparkSession)
-    low, high = prices.where(F.col("model") == DEFAULT_MODEL).select("price_in", "price_out").first()
+    low, high = default_price()
     top = models.orderBy(F.desc("cost"), "model").limit(1).select("model")
     price = top.join(prices, "model", "left").select(F.col("model").alias("dominant_model"), F.coalesce("price_in", F.lit(low)).alias("p"), F.coalesce("price_out", F.lit(high)).alias("q"))
     saved = F.col("cache_read") * F.greatest(F.lit(0.0), F.col("q") - CACHE_READ_SHARE * F.col("p"))
