@@ -20,11 +20,12 @@ CACHE_READ_SHARE = 0.1
 
 def normal_model(raw: Column) -> Column:
     """Trimmed and lower-cased, without provider prefix and build date, collapsed to its family."""
-    s = F.lower(F.regexp_replace(raw, r"^\s+|\s+$", ""))
-    s = F.regexp_replace(F.regexp_replace(s, r"^anthropic\.", ""), "^anthropic/", "")
-    s = F.regexp_replace(s, r"-\d{8}$", "")
+    s = F.lower(F.btrim(raw, F.lit(" \t\n\x0b\x0c\r")))
+    for prefix in ("anthropic.", "anthropic/"):
+        s = F.when(s.startswith(prefix), F.substring(s, len(prefix) + 1, 1 << 30)).otherwise(s)
+    # A family is told by its start, with or without a date; only other names need the pattern.
     family = F.coalesce(*[F.when(s.startswith(f), F.lit(f)) for f in FAMILIES])
-    return F.coalesce(family, s)
+    return F.coalesce(family, F.regexp_replace(s, r"-\d{8}$", ""))
 
 
 def display_name(model: Column) -> Column:
