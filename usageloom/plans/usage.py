@@ -218,7 +218,7 @@ _add("day_lookup", _of_rows(lambda r: dash.day_models(dash.by_day_by_model(agg.b
 _add("axis_ticks", _of_axis(lambda a: dash.axis_ticks(a, DAYS)), f"SELECT day FROM axis WHERE (day - (DATE '{TODAY}' - {DAYS - 1})) % 4 = 0", axis_sql())
 _add(
     "csv_rows", _of_axis(dash.csv_rows),
-    "SELECT strftime(day, '%Y-%m-%d') AS date, printf('%.4f', cost) AS cost_usd, input_tokens, output_tokens, cache_read AS cache_read_tokens, cache_write AS cache_write_tokens FROM axis", axis_sql(),
+    "SELECT strftime(day, '%Y-%m-%d') AS date, printf('%.4f', ((CAST(round(cost * 1e9) AS BIGINT) + 50000) // 100000) / 1e4) AS cost_usd, input_tokens, output_tokens, cache_read AS cache_read_tokens, cache_write AS cache_write_tokens FROM axis", axis_sql(),
 )
 _add("is_empty", _of_rows(lambda r: dash.is_empty(agg.by_day_model(r))), "SELECT count(*) = 0 AS is_empty FROM bdm", BY_DAY)
 
