@@ -283,6 +283,29 @@ def test_near_copies_of_all_kinds(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_runs_share_no_coordinate_and_reach_the_target():
+    paths = jaccard_join._PATHS
+    assert len(set(paths.ravel().tolist())) == paths.size
+    # What was planned, met by simulated pairs at the threshold: equal coordinates, and bytes that are equal by chance.
+    rng = np.random.default_rng(1)
+    equal = rng.random((200_000, jaccard_join.COORDINATES)) < 0.8
+    same = (equal | (rng.random(equal.shape) < 1 / 256)).sum(axis=1) >= jaccard_join.LEAST_SAME
+    met = np.zeros(len(equal), bool)
+    for path in paths:
+        met |= equal[:, path].all(axis=1)
+    assert jaccard_join.found_probability(0.8, jaccard_join.RUNS) >= 0.998 and (met & same).mean() >= 0.9975
+
+
+def test_pairs_at_the_threshold_are_found_in_the_deepest_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)  # so that all buckets are split to the full depth
+    rows = []
+    for i in range(1000):
+        shared = [f"p{i}x{j}" for j in range(124)]
+        rows += [(2 * i + s, " ".join(shared + [f"s{s}p{i}x{j}" for j in range(15)])) for s in (0, 1)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sum(r["n_links"] == 1 for r in got) >= 0.994 * len(rows)
+
+
 def test_repeated_and_null_document_ids(spark):
     text = words(1, 30)
     rows = [(5, text), (5, text), (None, text), (3, text), (9, words(2, 30)), (None, None)]

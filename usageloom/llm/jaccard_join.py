@@ -3,8 +3,8 @@
 Every document is mapped to COORDINATES minimum hashes of its 5-gram set. A run splits the distinct sets by a sampled
 coordinate: those that share its token go on together. Buckets of up to SMALL sets are compared by brute force; larger
 ones are split again by the next sampled coordinate, down to DEPTH. Two sets of similarity s share a bucket of depth d
-with probability s^d, so RUNS independent runs reach the target recall even for pairs at the threshold in the deepest buckets. A bucket
-that is still large is compared whole, in blocks.
+with probability s^d; no two runs share a coordinate, so RUNS runs reach the target recall even for pairs at the threshold in the
+deepest buckets, with what the sketches lose counted in (found_probability). A bucket that is still large is compared whole, in blocks.
 
 Brute force in a bucket compares one-byte sketches of the coordinates, and hands on a spanning forest of its candidates.
 The candidates' components are then verified with the exact sets, in groups (large components in blocks, each pair in one
@@ -35,24 +35,43 @@ GRAM = 5
 THRESHOLD = Fraction(4, 5)
 COORDINATES = 128
 DEPTH, SMALL = 5, 64
-TARGET_RECALL = 0.98
-#: A pair goes on if its estimated similarity is over the threshold less MARGIN (about three standard errors).
-MARGIN = 0.1
+TARGET_RECALL = 0.998
+#: A pair goes on if its estimated similarity is over the threshold less MARGIN (nearly four standard errors).
+MARGIN = 0.13
 #: Rows of a large bucket, and sets or grams of a large component, that meet in one group.
 BLOCK_ROWS, BLOCK_SETS, BLOCK_GRAMS = 1024, 2048, 2_000_000
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def runs_for(recall: float, similarity: float, depth: int) -> int:
-    """The runs after which a pair of that similarity has met with that probability, if all buckets are that deep."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
+def found_probability(similarity: float, runs: int) -> float:
+    """With which a pair becomes a candidate if all its buckets are DEPTH deep: a run's whole path agrees, and so do enough bytes of the sketch.
+
+    Exact for paths without a common coordinate. The polynomials hold the probability of each number of equal bytes.
+    """
+    chance = (1 - similarity) / 256
+    one = np.array([1 - similarity - chance, similarity + chance])
+    path = _power(one, DEPTH)
+    path[DEPTH] -= similarity**DEPTH
+    missed = np.convolve(_power(path, runs), _power(one, COORDINATES - DEPTH * runs))
+    return float((_power(one, COORDINATES) - missed)[math.ceil(LEAST_SAME) :].sum())
+
+
+def _power(polynomial: np.ndarray, n: int) -> np.ndarray:
+    out = np.ones(1)
+    for _ in range(n):
+        out = np.convolve(out, polynomial)
+    return out
 
 
-RUNS = runs_for(TARGET_RECALL, float(THRESHOLD), DEPTH)
+#: Bytes of the sketch that must be equal.
+LEAST_SAME = (float(THRESHOLD) - MARGIN) * COORDINATES
+#: The least number of runs that finds pairs at the threshold with TARGET_RECALL, the sketch's loss included.
+RUNS = next(n for n in range(1, COORDINATES // DEPTH + 1) if found_probability(float(THRESHOLD), n) >= TARGET_RECALL)
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PATHS = np.stack([_RANDOM.permutation(COORDINATES)[:DEPTH] for _ in range(RUNS)])
+#: Each run has coordinates of its own, so that runs fail independently.
+_PATHS = _RANDOM.permutation(COORDINATES)[: RUNS * DEPTH].reshape(RUNS, DEPTH)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -156,7 +175,6 @@ def _forest(digests: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBatc
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each bucket's pairs whose sketches agree enough."""
-    least = (float(THRESHOLD) - MARGIN) * COORDINATES
     for table in _groups(batches, "bucket"):
         table = table.combine_chunks()
         bucket = table.column("bucket").to_numpy()
@@ -172,7 +190,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(rows := rows[rows + step < ends[rows]]):
             for part in np.array_split(rows, len(rows) // 65536 + 1):
                 same = (sketches[part] == sketches[part + step]).sum(axis=1)
-                hit = part[same >= least]
+                hit = part[same >= LEAST_SAME]
                 pairs_i.append(hit)
                 pairs_j.append(hit + step)
             step += 1
