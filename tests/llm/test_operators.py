@@ -113,6 +113,27 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.reject_toxic(docs.limit(0), none).count() == 0
 
 
+def test_all_labelled_rows_choose_the_slots(spark, monkeypatch):
+    # A rare toxic word: too few in the sample to tell, enough in all rows.
+    monkeypatch.setattr(toxicity, "SAMPLE_A_CLASS", 40)
+    rows = [(i, words(i, 6) + (" qzxjv" if i % 2 and i % 10 == 1 else ""), i % 2) for i in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counts = toxicity.count_slots(table)
+    assert (counts.n_toxic, counts.n_other) == (600, 600)
+    slot = toxicity.features("qzxjv")
+    assert counts.p[slot].min() >= 120 and counts.q[slot].min() == 0
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    held = ~np.array([r[0] for r in table.select(toxicity.is_held_out("doc_id")).collect()])
+    kept = [r for r, k in zip(rows, held, strict=True) if k]
+    plain = np.zeros((2, 1 << toxicity.SLOT_BITS))
+    for _, text, toxic in kept:
+        plain[toxic, toxicity.features(text)] += 1
+    n_toxic = sum(r[2] for r in kept)
+    ratio = toxicity.Counts(plain[1], plain[0], n_toxic, len(kept) - n_toxic).ratios()
+    assert (ratio[slot] > 0).any() and set(np.flatnonzero(model.weights)) <= set(np.flatnonzero(ratio))
+    assert model.score("qzxjv") > model.score("w1")
+
+
 # 4: vectors
 
 

@@ -3,8 +3,9 @@
 A text's features are the distinct character n-grams of its lower-cased, blank-padded words, hashed into a fixed number
 of slots. Each slot is scaled by the log ratio of its smoothed counts in toxic and other training texts, and a logistic
 regression is fitted on the scaled features of those slots whose counts differ beyond chance; the rest weigh nothing, so
-that a long text's many ordinary n-grams don't drown the few that tell. Fitting takes a bounded sample of labelled rows (SAMPLE_A_CLASS of each
-class, by hash of the id); the shares of the classes come from all of them. Scoring covers every whole text, map-only.
+that a long text's many ordinary n-grams don't drown the few that tell. The counts, and with them the ratios and the choice of slots, are of all
+labelled training rows, summed in the executors; only the regression takes a bounded sample (SAMPLE_A_CLASS of each class, by hash of the id).
+The shares of the classes come from all labels. Scoring covers every whole text, map-only.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; rows without a label, or with
 a null label or id, aren't learnt from; a document with several labels is toxic if one says so; with labels of one class
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.shared import col, fresh
+from usageloom.llm.shared import col, fresh, stored
 
 SLOT_BITS = 18
 SIZES = (3, 4, 5)
 #: The sample that is fitted: so many labelled rows of each class at most.
-SAMPLE_A_CLASS = 2000
+SAMPLE_A_CLASS = 3000
 #: Added to each slot's counts.
 SMOOTHING = 1.0
 #: A slot counts if the shares of toxic and other texts that hold it differ by so many standard errors.
@@ -33,6 +34,10 @@ LEAST_Z = 3.5
 #: Weight of the squared coefficients, and the passes over the sample.
 PENALTY, STEPS = 1e-3, 150
 HELD_OUT = 5
+#: Slots whose counts are summed in one group.
+CHUNK = 4096
+#: Labels that may be broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def is_held_out(id_col: str) -> Column:
@@ -76,20 +81,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> Model:
-    """Fit on feature lists with their 0/1 labels; share is that of toxic rows among all that are labelled."""
+@dataclass(frozen=True)
+class Counts:
+    """How many toxic and other texts hold each slot, and how many there are."""
+
+    p: np.ndarray
+    q: np.ndarray
+    n_toxic: int
+    n_other: int
+
+    def ratios(self) -> np.ndarray:
+        """The slots' log-count ratios, 0 for those that don't differ beyond chance."""
+        p, q, n_toxic, n_other = self.p, self.q, self.n_toxic, self.n_other
+        if not n_toxic or not n_other:
+            return np.zeros(len(p))
+        mean = (p + q) / (n_toxic + n_other)
+        error = np.sqrt(mean * (1 - mean) * (1 / n_toxic + 1 / n_other))
+        telling = np.abs(p / n_toxic - q / n_other) > LEAST_Z * np.maximum(error, 1e-12)
+        ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
+        return np.where(telling, ratio, 0.0)
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, ratio: np.ndarray) -> Model:
+    """Fit on feature lists with their 0/1 labels; share is that of toxic rows among all that are labelled, ratio the slots' scales."""
     n_slots, share = 1 << SLOT_BITS, min(max(share, 0.0), 1.0)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(np.zeros(n_slots), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    p, q = np.zeros(n_slots), np.zeros(n_slots)
-    for r, y in zip(rows, toxic, strict=True):
-        (p if y else q)[r] += 1
-    n_toxic, n_other = toxic.sum(), (1 - toxic).sum()
-    mean = (p + q) / len(rows)
-    error = np.sqrt(mean * (1 - mean) * (1 / n_toxic + 1 / n_other))
-    telling = np.abs(p / n_toxic - q / n_other) > LEAST_Z * np.maximum(error, 1e-12)
-    ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
-    ratio = np.where(telling, ratio, 0.0)
+    telling = ratio != 0
     rows = [r[telling[r]] for r in rows]
     flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     value = ratio[flat]
@@ -110,25 +128,73 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> Model:
     return Model(w * ratio, float(b + 0.5 * np.log(share / (1 - share)) if 0 < share < 1 else b))
 
 
-def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slot counts of a task's texts, in chunks; the numbers of texts go with each."""
+    counts, n = np.zeros((2, 1 << SLOT_BITS), np.int64), [0, 0]
+    for batch in batches:
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            counts[toxic, features(text.as_py())] += 1
+            n[toxic] += 1
+    if sum(n):
+        parts = counts.reshape(2, -1, CHUNK)
+        k = parts.shape[1]
+        columns = [pa.array(np.arange(k), pa.int32()), *(pa.array([x.tobytes() for x in parts[y]], pa.binary()) for y in (1, 0)), *(pa.array([n[y]] * k, pa.int64()) for y in (1, 0))]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "p", "q", "n_toxic", "n_other"])
+
+
+def _sum_chunk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums, n = np.zeros((2, CHUNK), np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        slots = [features(t.as_py()).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(slots, pa.binary())], ["id", "toxic", "slots"])
+        for i, (one, number) in enumerate((("p", "n_toxic"), ("q", "n_other"))):
+            for x in batch.column(one):
+                sums[i] += np.frombuffer(x.as_py(), np.int64)
+            n[i] += sum(batch.column(number).to_pylist())
+    columns = [pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sums), *(pa.array([x], pa.int64()) for x in n)]
+    yield pa.RecordBatch.from_arrays(columns, ["chunk", "p", "q", "n_toxic", "n_other"])
+
+
+CHUNKS = "chunk int, p binary, q binary, n_toxic long, n_other long"
+
+
+def count_slots(rows: DataFrame) -> Counts:
+    """Counts of all rows (text, toxic); 4 MB reach the driver, whatever the rows."""
+    found = rows.select("text", "toxic").mapInArrow(_counts_of, CHUNKS).groupBy("chunk").applyInArrow(_sum_chunk, CHUNKS).collect()
+    counts, n = np.zeros((2, 1 << SLOT_BITS)), (0, 0)
+    for r in found:
+        at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
+        counts[0, at], counts[1, at] = np.frombuffer(r["p"], np.int64), np.frombuffer(r["q"], np.int64)
+        n = (r["n_toxic"], r["n_other"])
+    return Counts(counts[0], counts[1], *n)
+
+
+def _features_in(telling):
+    """Features of the slots that telling, a broadcast mask, holds; the others weigh nothing."""
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t.as_py()) for t in batch.column("text")]
+            slots = pa.array([x[telling.value[x]].tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), slots], ["id", "toxic", "slots"])
+
+    return features_of
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the labelled documents that aren't held out; the sample that reaches the driver is bounded by SAMPLE_A_CLASS."""
     known = labels.select(col(id_col).alias("id"), col(label_col).alias("toxic")).where("id is not null and toxic is not null")
-    known = known.where(~is_held_out("id")).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = stored(known.where(~is_held_out("id")).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")), "training-labels")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    labelled = F.broadcast(known) if sum(counts.values()) <= BROADCAST_IDS else known
+    ratio = count_slots(texts.join(labelled.where("toxic in (0, 1)"), "id").dropDuplicates(["id"])).ratios()
     per_class = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_A_CLASS) for y in (0, 1)]
     sample = F.broadcast(per_class[0].unionByName(per_class[1]))  # 2 * SAMPLE_A_CLASS rows at most
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = texts.join(sample, "id").dropDuplicates(["id"]).mapInArrow(_features_of, f"id {id_type}, toxic int, slots binary").collect()
+    telling = docs.sparkSession.sparkContext.broadcast(ratio != 0)  # 0.3 MB
+    rows = texts.join(sample, "id").dropDuplicates(["id"]).mapInArrow(_features_in(telling), f"id {id_type}, toxic int, slots binary").collect()
     rows.sort(key=lambda r: r[0])
-    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), share)
+    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), share, ratio)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
