@@ -1,12 +1,12 @@
 """Token counts of a unigram tokenizer, by a Viterbi pass that keeps the best score and the piece count only.
 
-Blanks become the piece mark and one is put before the text, as the tokenizer does; no piece crosses the start of a
-marked word, so words are counted one by one and each distinct word of
+Blanks become the piece mark and one is put before the text, as the tokenizer does. A piece holds marks at its start only (or
+is a run of them), so each run of marks with the word after it is a unit that is counted by itself, and each distinct unit of
 a batch once. An Aho-Corasick automaton enumerates the pieces that end at each character, the longest first; a piece
 replaces another only if its path scores more, so ties go to the longest piece, the tokenizer's rule. A character that is
 no piece by itself may also be unknown, at the least score less 10, and then counts once for each byte.
 
-Defined cases: a null or empty text has no tokens and the score 0; blanks alone are words of their own; texts of any
+Defined cases: a null or empty text has no tokens and the score 0; blanks at a text's end are a unit without a word; texts of any
 length are counted whole; repeated rows give equal results; an empty table gives an empty result.
 """
 
@@ -29,17 +29,22 @@ UNKNOWN_PENALTY = 10.0
 KEPT_WORDS = 500_000
 
 
-def read_vocabulary(path: str) -> list[tuple[str, float]]:
+def read_vocabulary(path: str, own_scores: bool = False) -> list[tuple[str, float]]:
     """The ordinary pieces of a sentencepiece file with their scores, as a unigram vocabulary.
 
-    Specials and byte pieces match no text. Scores under minus the number of pieces, which stand for "only if nothing
-    else does", are raised to that, so that sums stay exact. Pieces that go on past a mark are left out, as words are cut there.
+    Specials and byte pieces match no text. Counting takes the file's own scores: runs of marks have -1e9, of which sums in double
+    precision stay exact over millions of pieces. The sentencepiece library sums in single precision, where one -1e9 hides the
+    scores that follow; for it, and without own_scores, those under minus the number of pieces are raised to that.
     """
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
     special = [model.is_unknown, model.is_control, model.is_byte, model.is_unused]
-    rows = [(model.id_to_piece(i), max(model.get_score(i), -float(size))) for i in range(size) if not any(is_(i) for is_ in special)]
-    return [(piece, score) for piece, score in rows if MARK not in piece[1:]]
+    least = -np.inf if own_scores else -float(size)
+    rows = [(model.id_to_piece(i), max(model.get_score(i), least)) for i in range(size) if not any(is_(i) for is_ in special)]
+    crossing = [piece for piece, _ in rows if MARK in piece.lstrip(MARK)]
+    if crossing:
+        raise ValueError(f"pieces go on past a word's end: {crossing[:5]}")
+    return rows
 
 
 class Counter:
@@ -84,7 +89,7 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(read_vocabulary(path))
+    return Counter(read_vocabulary(path, own_scores=True))
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -99,10 +104,19 @@ def _count(path: str):
             texts = batch.column("text").fill_null("")
             words = pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")
             offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-            coded = words.flatten().dictionary_encode()
-            found = known.words(coded.dictionary.to_pylist())
+            values, ends = words.flatten(), offsets[1:] - 1
+            # Empty words stand for further blanks: they go to the next word of the text, or to its last one.
+            whole = pc.greater(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).copy()
+            whole[ends] = True
+            blanks = np.diff(np.flatnonzero(whole), prepend=-1) - 1
+            offsets = np.concatenate([[0], np.cumsum(whole)[ends]]).astype(np.int64)
+            coded = values.filter(pa.array(whole)).dictionary_encode()
+            most = int(blanks.max(initial=0)) + 1
+            units, which = np.unique(coded.indices.to_numpy().astype(np.int64) * most + blanks, return_inverse=True)
+            names = coded.dictionary.to_pylist()
+            found = known.words([MARK * (u % most) + names[u // most] for u in units.tolist()])
             n, score = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], float)
-            which, some = coded.indices.to_numpy(), pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            some = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             columns = [pa.array(np.where(some, _sums(v[which], offsets), 0).astype(v.dtype)) for v in (n, score)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_tokens", "score"])
 
