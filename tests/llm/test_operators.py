@@ -165,6 +165,26 @@ def test_graph_search_finds_neighbours():
     assert np.mean([len(set(t) & set(r[:5])) / 5 for t, r in zip(truth.tolist(), rows.tolist(), strict=True)]) >= 0.9
 
 
+def test_audit_needs_links_other_than_own_rows():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3000, 24))
+    x = np.concatenate([base, base[:300] + rng.normal(size=(300, 24)) * 0.1])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, everyone = vector_dedup.Graph(x), np.arange(len(x))
+    lonely = np.arange(1000, 1500)
+    assert all(seen == 0 for _, seen, _ in vector_dedup.audit(graph, x, x[lonely], lonely))
+    truth = (x @ x.T >= vector_dedup.THRESHOLD).sum() - len(x)
+    audits = {beam: (seen, found) for beam, seen, found in vector_dedup.audit(graph, x, x, everyone)}
+    assert {seen for seen, _ in audits.values()} == {truth}
+    beam = vector_dedup.decided(audits, True)
+    who, _ = vector_dedup.links_in_shard(graph, x, x, everyone, beam)
+    assert len(who) >= vector_dedup.RECALL * truth
+    # Nothing seen is no evidence, a miss widens the beam, and brute force takes over.
+    assert vector_dedup.decided({48: (0, 0), 96: (0, 0)}, False) is None
+    assert vector_dedup.decided({48: (2000, 1900), 96: (2000, 1990)}, False) == 96
+    assert vector_dedup.decided({48: (2000, 1900), 96: (2000, 1900)}, False) == 0
+
+
 # 5: secrets
 
 

@@ -2,9 +2,9 @@
 
 Equal vectors are collapsed first. The distinct ones are dealt to shards by hash; each shard's graph is built by one task
 and written as a file to the shared folder. Every block of queries then searches every shard: many queries walk a graph
-in step, so that each hop is one array operation. A sample of each block is audited against brute force in the shard, and
-the beam is widened until the audit passes; a query whose whole beam links, so that more may, is compared with the whole
-shard. Links are verified by cosine in double precision; what leaves a task is a forest of its links and their numbers.
+in step, so that each hop is one array operation. Before that, a sample of queries is audited against brute force in all shards,
+their own rows left out, until LEAST_LINKS true links are seen; the beam is the least that finds RECALL of them. A query whose
+whole beam links, so that more may, is compared with the whole shard. Links are verified by cosine in double precision; what leaves a task is a forest of its links and their numbers.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept; vectors
 of different lengths never link; equal vectors link with each other; rows with a null id take part but never name a
@@ -29,8 +29,10 @@ THRESHOLD = 0.9
 #: Shards of about SHARD_ROWS vectors (some 25 MB at 64 dimensions), LEAST_SHARDS at least.
 LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 32_768, 2048
 LINKS, BASE_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 48
-#: Every AUDITED-th query is audited; the beam doubles until the recall is RECALL, and past WIDEST brute force takes over.
-AUDITED, RECALL, WIDEST = 32, 0.99, 384
+#: The beam doubles up to WIDEST until its recall of the audited links is RECALL; brute force takes over if none has it.
+RECALL, WIDEST = 0.99, 384
+#: True links that an audit must see; its queries at first and, fourfold each time, at most. Queries with links that a shard's graph walks for it.
+LEAST_LINKS, AUDITED, MOST_AUDITED, WALKED = 500, 1024, 16_384, 1024
 STEP_QUERIES, EXPANDED = 512, 4
 
 
@@ -163,31 +165,70 @@ class Graph:
         return graph
 
 
-def links_in_shard(graph: Graph, units: np.ndarray, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the links found; units are the shard's vectors in double precision, own a query's row there or -1."""
-    found_q, found_r = [], []
+def beams() -> list[int]:
+    return [BEAM << i for i in range((WIDEST // BEAM).bit_length())]
+
+
+def _walked(graph: Graph, units: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row) of the links found, and the queries of which the beam may have left links out as it links to its end."""
+    sims, rows = graph.search(q, beam)
+    who, at = np.nonzero(sims >= THRESHOLD - 1e-4)
+    row = rows[who, at]
+    exact = np.einsum("qd,qd->q", q[who], units[row]) >= THRESHOLD
+    return who[exact], row[exact], np.flatnonzero(sims[:, -1] >= THRESHOLD - 1e-4)
+
+
+def audit(graph: Graph, units: np.ndarray, queries: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int]]:
+    """For each beam (beam, true links, those found) of the queries that the beam decides; their own rows don't count.
+
+    Queries that are compared with the whole shard anyway are no evidence for the graph, and neither are those without links.
+    """
+    linked, truth = [], []
+    for start in range(0, len(queries), STEP_QUERIES):
+        q, at = queries[start : start + STEP_QUERIES], own[start : start + STEP_QUERIES]
+        true = q @ units.T >= THRESHOLD
+        true[np.flatnonzero(at >= 0), at[at >= 0]] = False
+        some = np.flatnonzero(true.any(axis=1))[: WALKED - len(linked)]
+        linked += (some + start).tolist()
+        truth += [np.flatnonzero(true[i]) for i in some]
+        if len(linked) == WALKED:
+            break
+    out = []
+    for beam in (b for b in beams() if b < len(units)):
+        seen = found = 0
+        for start in range(0, len(linked), STEP_QUERIES):
+            mine = linked[start : start + STEP_QUERIES]
+            who, row, rest = _walked(graph, units, queries[mine], beam)
+            for i in np.setdiff1d(np.arange(len(mine)), rest):
+                true = truth[start + i]
+                seen += len(true)
+                found += int(np.isin(true, row[who == i]).sum())
+        out.append((beam, seen, found))
+    return out
+
+
+def decided(audits: dict[int, tuple[int, int]], complete: bool) -> int | None:
+    """The least beam of which enough links were seen and that has the recall; 0 for brute force, None if the audit can't say.
+
+    A complete audit, of all queries, needs no number of links.
+    """
+    known = {beam: (seen, found) for beam, (seen, found) in audits.items() if complete or seen >= LEAST_LINKS}
+    good = [beam for beam, (seen, found) in known.items() if found >= RECALL * seen]
+    return min(good) if good else 0 if len(known) == len(audits) else None
+
+
+def links_in_shard(graph: Graph, units: np.ndarray, queries: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the links found; units are the shard's vectors in double precision, own a query's row there or -1.
+
+    A beam of 0, or one of the shard's size, stands for brute force.
+    """
+    found_q, found_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start in range(0, len(queries), STEP_QUERIES):
         q = queries[start : start + STEP_QUERIES]
-        audited = np.arange(0, len(q), AUDITED)
-        truth = q[audited] @ units.T >= THRESHOLD
-        beam, rest = BEAM, np.arange(len(q))
-        while True:
-            if beam > WIDEST or beam >= len(units):
-                who, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                break
-            sims, rows = graph.search(q, beam)
-            who, at = np.nonzero(sims >= THRESHOLD - 1e-4)
-            row = rows[who, at]
-            exact = np.einsum("qd,qd->q", q[who], units[row]) >= THRESHOLD
-            who, row = who[exact], row[exact]
-            # A beam that links to its end may have left links out.
-            rest = np.flatnonzero(sims[:, -1] >= THRESHOLD - 1e-4)
-            hit = np.zeros((len(q), len(units)), bool)
-            hit[who, row] = True
-            hit[rest] = True
-            if (hit[audited] & truth).sum() >= RECALL * truth.sum():
-                break
-            beam, rest = 2 * beam, np.arange(len(q))
+        if 0 < beam < len(units):
+            who, row, rest = _walked(graph, units, q, beam)
+        else:
+            who, row, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(q))
         open_ = ~np.isin(who, rest)
         more_q, more_r = np.nonzero(q[rest] @ units.T >= THRESHOLD)
         found_q += [who[open_] + start, rest[more_q] + start]
@@ -239,7 +280,55 @@ def _forest(names: list[bytes], i: np.ndarray, j: np.ndarray, n: np.ndarray) ->
     )
 
 
-def _searcher(shards: list[tuple[int, str]]):
+def _opened(file: str) -> tuple[dict, list[bytes]]:
+    fs, path = _filesystem(file)
+    with fs.open_input_file(path) as f:
+        found = dict(np.load(io.BytesIO(f.read())))
+    return found, [x.tobytes() for x in found["digests"].reshape(-1, 16)]
+
+
+def _auditor(sample):
+    """For each shard (a row with its file) the audit of the queries in `sample`, a broadcast dictionary by size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, file in zip(batch.column("size").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                found, theirs = _opened(file)
+                place, rows = {d: i for i, d in enumerate(theirs)}, sample.value[size]
+                queries = np.frombuffer(b"".join(v for _, v in rows)).reshape(-1, size)
+                own = np.array([place.get(d, -1) for d, _ in rows])
+                audits = audit(Graph.load(found, found["units"]), found["units"], queries, own)
+                yield pa.RecordBatch.from_arrays([pa.array([size] * len(audits), pa.int32()), *(pa.array([a[i] for a in audits], pa.int64()) for i in range(3))], ["size", "beam", "seen", "found"])
+
+    return run
+
+
+def beam_of_each_size(distinct: DataFrame, files: DataFrame) -> dict[int, int]:
+    """The beam for each length of vectors, from audits that are pooled over all shards.
+
+    Where MOST_AUDITED queries show fewer than LEAST_LINKS links, there is no evidence for a beam, and brute force compares all.
+    """
+    spark, n_files = distinct.sparkSession, files.count()
+    sizes = {r[0]: r[1] for r in distinct.groupBy((F.octet_length("vector") / 8).cast("int")).count().collect()}
+    chosen: dict[int, int] = {}
+    n = AUDITED
+    while n <= MOST_AUDITED and len(chosen) < len(sizes):
+        sample = {}
+        for size in sorted(set(sizes) - set(chosen)):
+            rows = distinct.where(F.octet_length("vector") == 8 * size).orderBy(F.xxhash64("digest", F.lit(n)), "digest").limit(n)
+            sample[size] = [(bytes(r[0]), bytes(r[1])) for r in rows.select("digest", "vector").collect()]
+        cast = spark.sparkContext.broadcast(sample)
+        todo = files.where(F.col("size").isin(list(sample))).repartition(n_files)
+        pooled = todo.mapInArrow(_auditor(cast), "size int, beam long, seen long, found long").groupBy("size", "beam").agg(F.sum("seen"), F.sum("found")).collect()
+        for size in sample:
+            beam = decided({r[1]: (r[2], r[3]) for r in pooled if r[0] == size}, sizes[size] <= n)
+            if beam is not None:
+                chosen[size] = beam
+        n *= 4
+    return {size: chosen.get(size, 0) for size in sizes}
+
+
+def _searcher(shards: list[tuple[int, str]], beam: dict[int, int]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, BLOCK_ROWS) for i in range(0, batch.num_rows, BLOCK_ROWS)):
@@ -249,14 +338,11 @@ def _searcher(shards: list[tuple[int, str]]):
                     queries = np.frombuffer(b"".join(vectors[i] for i in mine)).reshape(-1, size)
                     names = [digests[i] for i in mine]
                     for _, file in (s for s in shards if s[0] == size):
-                        fs, path = _filesystem(file)
-                        with fs.open_input_file(path) as f:
-                            found = dict(np.load(io.BytesIO(f.read())))
+                        found, theirs = _opened(file)
                         units = found["units"]
-                        theirs = [x.tobytes() for x in found["digests"].reshape(-1, 16)]
                         place = {d: i for i, d in enumerate(theirs)}
                         own = np.array([place.get(d, -1) for d in names])
-                        who, row = links_in_shard(Graph.load(found, units), units, queries, own)
+                        who, row = links_in_shard(Graph.load(found, units), units, queries, own, beam[size])
                         # A query that is in the shard itself is one node, not two.
                         number = {d: i for i, d in enumerate(names)}
                         extra = sorted({theirs[r] for r in row.tolist()} - set(number))
@@ -281,9 +367,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(n_shards))).withColumn("size", F.octet_length("vector"))
     folder = scratch(spark, "graphs")
     built = dealt.groupBy("size", "shard").applyInArrow(_builder(folder), "size int, file string")
-    shards = [(r[0], r[1]) for r in stored(built, "graph-files").orderBy("file").collect()]  # a row for each shard
+    files = stored(built, "graph-files")
+    shards = [(r[0], r[1]) for r in files.orderBy("file").collect()]  # a row for each shard
+    beam = beam_of_each_size(distinct, files)
     n_blocks = max(1, -(-distinct.count() // BLOCK_ROWS), spark.sparkContext.defaultParallelism)
     queries = distinct.select("digest", "vector").repartition(n_blocks, "digest")
-    links = stored(queries.mapInArrow(_searcher(shards), "a binary, b binary, n bigint"), "vector-links")
+    links = stored(queries.mapInArrow(_searcher(shards, beam), "a binary, b binary, n bigint"), "vector-links")
     found = linked_classes(vectors.select("id", "digest"), distinct.select("digest", "id", "copies"), links)
     return found.select(F.col("id").alias(id_col), "n_links", F.col("class_id").alias("component_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
