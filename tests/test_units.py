@@ -188,3 +188,34 @@ import __spark_entry__ as e
 assert e.llm is None and e.corpus_pipeline is None and "by_day_model" in e.queries() and set(e.queries()) == set(e.oracle_sql())
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_null_keys_and_times_lose_no_rows(spark):
+    day = dt.datetime(2025, 6, 11)
+    rows = [(1, "a", day, 5.0), (2, "a", None, 6.0), (3, None, day, 7.0), (4, None, None, 8.0), (5, "a", day + dt.timedelta(days=1), 9.0), (6, None, day + dt.timedelta(days=2), 1.0)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz, used double")
+    before = {r["id"]: r["previous"] for r in series.previous(df, "key", ["ts", "id"], F.to_date("ts"), F.col("used")).collect()}
+    assert before == {2: None, 1: 6.0, 5: 5.0, 4: None, 3: 8.0, 6: 7.0}
+    kept = {r["id"]: r["carried"] for r in series.carried(df, "key", ["ts", "id"], F.to_date("ts"), F.when(F.col("id") % 3 != 0, F.col("used"))).collect()}
+    assert kept == {2: 6.0, 1: 5.0, 5: 9.0, 4: 8.0, 3: 8.0, 6: 8.0}
+    told = series.running_forecasts(df.withColumn("reset", F.lit(9e9)), "key", ["ts", "id"], "used", "reset").collect()
+    assert sorted(r["id"] for r in told) == [1, 2, 3, 4, 5, 6]
+
+
+def test_running_forecasts_don_t_depend_on_slices(spark):
+    start = dt.datetime(2025, 6, 1)
+    rows = [(i, "ab"[i % 7 == 0], start + dt.timedelta(hours=(i * i) % 997), float((i * 37) % 91), 1e6) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz, used double, reset double")
+    told = {}
+    for name, cut in (("day", None), ("whole", F.lit(0)), ("hour", F.date_trunc("hour", "ts"))):
+        found = series.running_forecasts(df, "key", ["ts", "id"], "used", "reset", cut)
+        told[name] = sorted((r["id"], r["confidence"], None if r["minutes"] is None else round(r["minutes"], 6)) for r in found.collect())
+    assert told["day"] == told["whole"] == told["hour"] and len({r[1] for r in told["day"]}) >= 3
+
+
+def test_hashes_are_of_utf16_units(spark):
+    texts = {"ab": "2e9", "a\U0001f600b": "yfx3y"}
+    one = spark.range(1)
+    assert list(one.select(*[fn.string_hash(F.lit(t)).alias(f"c{i}") for i, t in enumerate(texts)]).first()) == [texts[t] for t in texts]
+    names = one.select(*[fn.directory_name(x).alias(f"c{i}") for i, x in enumerate([fn.composed(F.lit("/x/a\U0001f600b")), fn.composed(F.lit("e\u0301")), F.lit("e\u0301"), fn.composed(F.lit(None).cast("string"))])])
+    assert list(names.first()) == ["-x-a--b", "-", "e-", None]

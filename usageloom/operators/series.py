@@ -79,41 +79,62 @@ def forecasts(samples: DataFrame, key: str, order: Sequence[str], value: str, un
     return sums.select(key, "n", "slope", minutes.alias("minutes"), label.alias("confidence"))
 
 
-def running_forecasts(samples: DataFrame, key: str, order: Sequence[str], value: str, until_reset: str) -> DataFrame:
-    """Adds to each sample the forecast as of it."""
-    whole = Window.partitionBy(key).orderBy(*order)
+def running_forecasts(samples: DataFrame, key: str, order: Sequence[str], value: str, until_reset: str, slice_: Column | None = None) -> DataFrame:
+    """Adds to each sample the forecast as of it. slice_ (the day of ts) must not fall along the order.
+
+    A slice is a group of its own, led in by the HISTORY - 1 rows before it, which are taken from the slices' last rows.
+    """
+    cut = samples.withColumn("slice_", F.to_date("ts") if slice_ is None else slice_)
+    wanted = list(dict.fromkeys([*order, value, "ts"]))
+    newest = Window.partitionBy(key, "slice_").orderBy(*[F.col(c).desc() for c in order])
+    last = cut.select(key, "slice_", F.struct(*wanted).alias("row_"), F.row_number().over(newest).alias("age_")).where(F.col("age_") < HISTORY)
+    by_age = F.sort_array(F.collect_list(F.struct("age_", "row_")), asc=False)  # HISTORY - 1 rows at most, oldest first
+    tails = last.groupBy(key, "slice_").agg(F.transform(by_age, lambda x: x["row_"]).alias("own_"))
+    # Every slice has a row, so no more slices than rows are needed.
+    slices = Window.partitionBy(key).orderBy("slice_").rowsBetween(1 - HISTORY, -1)
+    before = tails.withColumn("lead_", F.flatten(F.collect_list("own_").over(slices)))
+    lead_in = F.slice("lead_", F.greatest(F.size("lead_") - HISTORY + 2, F.lit(1)), HISTORY - 1)
+    leads = before.select(key, "slice_", F.explode(lead_in).alias("row_")).select(key, "slice_", *[F.col("row_")[c].alias(c) for c in wanted if c != key], F.lit(True).alias("lead_"))
+    every = cut.withColumn("lead_", F.lit(False)).unionByName(leads, allowMissingColumns=True)
+    whole = Window.partitionBy(key, "slice_").orderBy(F.col("lead_").desc(), *order)
     recent = whole.rowsBetween(1 - RECENT, 0)
-    x = local_seconds(F.col("ts"))
-    seen = samples.withColumns({
+    seen = every.withColumns({
         "n_": F.count(F.lit(1)).over(whole.rowsBetween(1 - HISTORY, 0)),
         "n_recent_": F.count(F.lit(1)).over(recent),
-        "slope_": F.regr_slope(F.col(value), x).over(recent),
-    })
+        "slope_": F.regr_slope(F.col(value), local_seconds(F.col("ts"))).over(recent),
+    }).where(~F.col("lead_"))
     minutes, label = forecast_ladder(F.col("n_"), F.col("n_recent_"), F.col("slope_"), F.col(value), F.col(until_reset))
-    return seen.withColumn("minutes", minutes).withColumn("confidence", label).drop("n_", "n_recent_", "slope_")
+    return seen.select(*samples.columns, minutes.alias("minutes"), label.alias("confidence"))
+
+
+def _with_slice(here: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """Each row with what came before its slice; a null key or slice is a value like any other."""
+    named = before.toDF("its_key_", "its_slice_", "before_")
+    return here.join(named, F.col(key).eqNullSafe(F.col("its_key_")) & F.col("slice_").eqNullSafe(F.col("its_slice_")))
 
 
 def previous(rows: DataFrame, key: str, order: Sequence[str], slice_: Column, value: Column, name: str = "previous") -> DataFrame:
-    """Adds the value of the key's row before, null for the first. slice_ must not fall along the order; value is never null."""
+    """Adds the value of the key's row before, null for the first. slice_ must not fall along the order; value is never null.
+
+    A null key is a key like any other; a null slice is the first one, as nulls come first in the order.
+    """
     cut = rows.withColumn("slice_", slice_).withColumn("value_", value)
     inside = Window.partitionBy(key, "slice_").orderBy(*order)
     here = cut.withColumn("lag_", F.lag("value_").over(inside))
     tails = cut.groupBy(key, "slice_").agg(F.max_by("value_", F.struct(*order)).alias("tail_"))
     before = tails.withColumn("before_", F.lag("tail_").over(Window.partitionBy(key).orderBy("slice_"))).select(key, "slice_", "before_")
-    joined = here.join(before, [key, "slice_"])
-    return joined.select(*rows.columns, F.coalesce("lag_", "before_").alias(name))
+    return _with_slice(here, before, key).select(*rows.columns, F.coalesce("lag_", "before_").alias(name))
 
 
 def carried(rows: DataFrame, key: str, order: Sequence[str], slice_: Column, state: Column, name: str = "carried") -> DataFrame:
-    """Adds the key's last state that isn't null, up to and including the row."""
+    """Adds the key's last state that isn't null, up to and including the row; null keys and slices as in `previous`."""
     cut = rows.withColumn("slice_", slice_).withColumn("state_", state)
     inside = Window.partitionBy(key, "slice_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     here = cut.withColumn("own_", F.last("state_", ignorenulls=True).over(inside))
     tails = cut.groupBy(key, "slice_").agg(F.max_by("state_", F.when(F.col("state_").isNotNull(), F.struct(*order))).alias("tail_"))
     earlier = Window.partitionBy(key).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     before = tails.withColumn("before_", F.last("tail_", ignorenulls=True).over(earlier)).select(key, "slice_", "before_")
-    joined = here.join(before, [key, "slice_"])
-    return joined.select(*rows.columns, F.coalesce("own_", "before_").alias(name))
+    return _with_slice(here, before, key).select(*rows.columns, F.coalesce("own_", "before_").alias(name))
 
 
 def crossed_threshold(current: Column, before: Column, thresholds: Column) -> Column:
@@ -163,6 +184,11 @@ def fan_out(snapshots: DataFrame, keep: Sequence[str], updated: str = "ts") -> D
     return rows.select(*keep, "w.window_id", "w.utilization", until.alias("until_reset"))
 
 
+def forecast_of(forecasts: Column, window_id: Column | str) -> Column:
+    """The first of a list of forecasts (structs with window_id) that is the window's; null for none."""
+    return F.get(F.filter(forecasts, lambda f: f.window_id == window_id), 0)
+
+
 def hottest_first(session: Column, weekly: Column) -> Column:
     """The two windows' names; the weekly one leads only if it is there and strictly hotter."""
     swap = weekly.isNotNull() & (weekly > F.coalesce(session, F.lit(-1.0)))
