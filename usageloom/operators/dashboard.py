@@ -14,8 +14,8 @@ from usageloom.functions.scalars import lerp3, log_midpoint, log_scale, ratio, v
 from usageloom.operators.aggregates import DIGITS, days_axis, ranked, total, total_cost
 from usageloom.operators.clean import TOKENS
 
-#: The heat scale's colours at 0, 0.5 and 1, and the days between an axis's ticks by period.
-HEAT_STOPS = ((0.18, 0.20, 0.32), (0.36, 0.42, 0.95), (1.0, 0.55, 0.25))
+#: The heat scale's colours at 0, 0.5 and 1 (of 255), and the days between an axis's ticks by period.
+HEAT_STOPS = ((42, 26, 19), (204, 124, 94), (247, 220, 196))
 TICK_STRIDES = {7: 1, 30: 4, 90: 14}
 
 
@@ -138,8 +138,8 @@ def heat_scale(heat: DataFrame) -> DataFrame:
     most = F.max("tokens").over(everything())
     scaled = heat.select("weekday", "hour", "tokens", least.alias("least"), most.alias("most"))
     level = log_scale(F.col("tokens"), F.col("least"), F.col("most"))
-    coloured = scaled.withColumn("level", level).withColumn("rgb", lerp3(F.col("level"), *HEAT_STOPS))
-    channels = [F.round(F.get("rgb", i), 6).alias(c) for i, c in enumerate(("red", "green", "blue"))]
+    coloured = scaled.withColumn("level", level).withColumn("rgb", lerp3(F.col("level"), *HEAT_STOPS))  # of 255
+    channels = [F.round(F.get("rgb", i) / 255, 6).alias(c) for i, c in enumerate(("red", "green", "blue"))]
     return coloured.select("weekday", "hour", "tokens", F.round("level", 6).alias("level"), *channels, log_midpoint(F.col("most")).cast("long").alias("middle"))
 
 

@@ -179,9 +179,9 @@ _add(
 )
 _add("top_model", _of_rows(lambda r: dash.top_model(agg.by_day_model(r))), f"SELECT model, {_total('volume')} AS volume FROM vols GROUP BY model ORDER BY 2 DESC, 1 LIMIT 1", BY_DAY, VOLUMES)
 _add(
-    "model_topn_overflow", _of_models(lambda m: dash.model_overflow(m, 3)),
-    """SELECT CAST(rank AS INTEGER) AS rank, model, tokens, cost, round(cost / top, 9) AS bar, CAST(1 AS BIGINT) AS n_models FROM ranked WHERE rank <= 3
-    UNION ALL SELECT 4, 'other', CAST(sum(tokens) AS BIGINT), round(sum(cost), 9), NULL, count(*) FROM ranked WHERE rank > 3 HAVING count(*) > 0""",
+    "model_topn_overflow", _of_models(dash.model_overflow),
+    """SELECT CAST(rank AS INTEGER) AS rank, model, tokens, cost, round(cost / top, 9) AS bar, CAST(1 AS BIGINT) AS n_models FROM ranked WHERE rank <= 5
+    UNION ALL SELECT 6, 'other', CAST(sum(tokens) AS BIGINT), round(sum(cost), 9), NULL, count(*) FROM ranked WHERE rank > 5 HAVING count(*) > 0""",
     BY_DAY, MODELS, "ranked AS (SELECT model, input_tokens + output_tokens AS tokens, cost, row_number() OVER (ORDER BY cost DESC, model) AS rank, max(cost) OVER () AS top FROM models)",
 )
 _add("model_share", _of_models(dash.model_share), "SELECT model, cost, round(cost / sum(cost) OVER (), 6) AS share, CAST(round(cost / sum(cost) OVER () * 100) AS INTEGER) AS percent FROM models", BY_DAY, MODELS)
@@ -189,13 +189,13 @@ _add("palette_index", _of_models(lambda m: dash.palette_index(m, 3)), "SELECT mo
 _add("tokens_unpivot", _of_axis(dash.tokens_long), "UNPIVOT (SELECT day, input_tokens, output_tokens, cache_read, cache_write FROM axis) ON input_tokens, output_tokens, cache_read, cache_write INTO NAME kind VALUE tokens", axis_sql())
 
 
-def _lerp(a: float, b: float, c: float, name: str) -> str:
-    return f"round(CASE WHEN level < 0.5 THEN {a} + ({b} - {a}) * level * 2 ELSE {b} + ({c} - {b}) * (level - 0.5) * 2 END, 6) AS {name}"
+def _lerp(a: int, b: int, c: int, name: str) -> str:
+    return f"round(CASE WHEN level < 0.5 THEN {a} + ({b} - {a}) * level * 2 ELSE {b} + ({c} - {b}) * (level - 0.5) * 2 END / 255, 6) AS {name}"
 
 
 _add(
     "heatmap_log_scale", _of_rows(lambda r: dash.heat_scale(agg.heatmap(r))),
-    "SELECT weekday, hour, tokens, round(level, 6) AS level, " + ", ".join(_lerp(*stops, name) for stops, name in zip(zip(*dash.HEAT_STOPS, strict=True), ("red", "green", "blue"), strict=True))
+    "SELECT weekday, hour, tokens, round(level, 6) AS level, " + ", ".join([_lerp(42, 204, 247, "red"), _lerp(26, 124, 220, "green"), _lerp(19, 94, 196, "blue")])
     + ", CAST(round(exp(ln(1 + most) / 2) - 1) AS BIGINT) AS middle FROM levels",
     HEAT,
     """scaled AS (SELECT *, coalesce(min(CASE WHEN tokens > 0 THEN tokens END) OVER (), 0) AS least, max(tokens) OVER () AS most FROM heat),
@@ -211,8 +211,8 @@ _add(
     "ranked AS (SELECT *, row_number() OVER (ORDER BY cost DESC, model) AS rank FROM models), running AS (SELECT model, rank, round(sum(cost) OVER (ORDER BY rank), 9) AS running FROM ranked)",
 )
 _add(
-    "day_top_models", _of_rows(lambda r: dash.day_top_models(dash.by_day_by_model(agg.by_day_model(r)), 3)),
-    "SELECT day, CAST(rank AS INTEGER) AS rank, model, volume FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY volume DESC, model) AS rank FROM vols WHERE volume > 0) WHERE rank <= 3", BY_DAY, VOLUMES,
+    "day_top_models", _of_rows(lambda r: dash.day_top_models(dash.by_day_by_model(agg.by_day_model(r)))),
+    "SELECT day, CAST(rank AS INTEGER) AS rank, model, volume FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY volume DESC, model) AS rank FROM vols WHERE volume > 0) WHERE rank <= 6", BY_DAY, VOLUMES,
 )
 _add("day_lookup", _of_rows(lambda r: dash.day_models(dash.by_day_by_model(agg.by_day_model(r)), dt.date(2024, 1, 15))), "SELECT * FROM vols WHERE day = DATE '2024-01-15' AND volume > 0", BY_DAY, VOLUMES)
 _add("axis_ticks", _of_axis(lambda a: dash.axis_ticks(a, DAYS)), f"SELECT day FROM axis WHERE (day - (DATE '{TODAY}' - {DAYS - 1})) % 4 = 0", axis_sql())
