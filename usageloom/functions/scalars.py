@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,16 +127,31 @@ def is_newer(remote: Column, local: Column) -> Column:
     return version_parts(remote) > version_parts(local)
 
 
+def utf16_units(text: Column) -> Column:
+    """array<long>: the numbers of a text's UTF-16 code units; two for a character beyond the basic plane."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    return F.transform(F.regexp_extract_all(digits, F.lit("[0-9A-F]{4}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
+
+
+def composed(text: Column) -> Column:
+    """Canonically composed (NFC), for which there is no function on the JVM's side."""
+
+    def compose(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(compose, "string")(text)
+
+
 def string_hash(text: Column) -> Column:
-    """h = 31 h + code unit in 32 bits, as the magnitude in base 36; characters of the basic plane."""
-    units = F.transform(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), lambda c: F.ascii(c).cast("long"))
+    """h = 31 h + UTF-16 code unit in 32 bits, as the magnitude in base 36."""
+    units = utf16_units(text)
     h = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31))
     return F.lower(F.conv(F.abs(h).cast("string"), 10, 36))
 
 
 def directory_name(path: Column, longest: int = 200) -> Column:
-    """A path with other characters than letters and digits as dashes; longer ones are cut and tagged with their hash."""
-    clean = F.regexp_replace(path, "[^0-9A-Za-z]", "-")
+    """A composed path with other UTF-16 units than ASCII letters and digits as dashes; longer ones are cut and tagged with their hash."""
+    clean = F.regexp_replace(F.regexp_replace(path, r"[\x{10000}-\x{10FFFF}]", "--"), "[^0-9A-Za-z]", "-")
     return F.when(F.length(clean) <= longest, clean).otherwise(F.concat(F.substring(clean, 1, longest), F.lit("-"), string_hash(path)))
 
 

@@ -69,7 +69,7 @@ _add(
     f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Unknown' ELSE list_filter(string_split({SQL_PATH}, '/'), lambda x: length(x) > 0)[-1] END AS project FROM pages",
 )
 _add(
-    "path_hash", "pages", lambda: ["page_id", fn.string_hash(F.col("url")).alias("hash"), fn.directory_name(F.col("url"), 30).alias("name")],
+    "path_hash", "pages", lambda: ["page_id", fn.string_hash(F.col("url")).alias("hash"), fn.directory_name(fn.composed(F.col("url")), 30).alias("name")],
     r"""WITH h AS (SELECT page_id, url, abs(list_reduce(list_transform(string_split(url, ''), lambda c: CAST(ord(c) AS BIGINT)),
         lambda a, c: ((((a * 31 + c + 2147483648) % 4294967296) + 4294967296) % 4294967296) - 2147483648, CAST(0 AS BIGINT))) AS n FROM pages),
       digits AS (SELECT page_id, url, list_transform([6, 5, 4, 3, 2, 1, 0], lambda i: CAST(n // CAST(pow(36, i) AS BIGINT) % 36 AS BIGINT)) AS d FROM h),
