@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -295,9 +296,27 @@ def test_any_text_comes_back(spark):
     back = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()
     assert {r["id"]: bytes(r["decoded"]).decode() for r in back} == {i: t or "" for i, t in enumerate(texts)}
     added = byte_bpe.add_tokens(docs, path, public_tokenizers.PATTERN)
-    assert added.columns == ["doc_id", "text", "ids", "n_tokens", "ids_sha256"]
-    assert {r["doc_id"]: r["n_tokens"] for r in added.collect()} == {r["id"]: len(r["ids"]) for r in back}
-    assert byte_bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+    assert added.columns == ["doc_id", "text", "ids", "ids_", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r["doc_id"]: (r["ids_"], r["n_tokens"], r["decoded_sha256"]) for r in added.collect()} == {r["id"]: (r["ids"], len(r["ids"]), brute.sha(bytes(r["decoded"]))) for r in back}
+    for fn in (byte_bpe.encode, byte_bpe.digests, byte_bpe.add_tokens):
+        assert fn(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_slices_of_any_size_give_the_same(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(i % 7, words(i, i * i % 97)) for i in range(60)] + [(3, None), (3, ""), (4, words(4, 3000))] * 2
+    lists = pa.array([(t or "").split() for _, t in rows], pa.list_(pa.string()))
+    known = byte_bpe.codec(path)
+    whole = [x for ids, sizes in byte_bpe._encoded(known, lists) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    for size in (1, 7, 500):
+        monkeypatch.setattr(byte_bpe, "SLICE_PIECES", size)
+        parts = [x for ids, sizes in byte_bpe._encoded(known, lists.slice(2)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert [x.tolist() for x in parts] == [x.tolist() for x in whole[2:]]
+        back = [known.decode(x).tobytes().decode() for x in parts]
+        assert back == ["".join(x) for x in lists.slice(2).to_pylist()]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = byte_bpe.digests(docs, path, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(rows) and sorted(r["decoded_sha256"] for r in got) == sorted(brute.sha((t or "").encode()) for _, t in rows)
 
 
 # 9: line dedup

@@ -32,7 +32,7 @@ def test_stages_equal_plain_versions(spark, sf_dir):
     found = {r["doc_id"] for r in decontamination.find_matches(leaks[1], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert sorted(rows(leaks[2])) == sorted(set(rows(leaks[1])) - found)
 
-    assert encoded[2].columns == [*names, "n_tokens", "ids_sha256"] and rows(encoded[2]) == rows(encoded[1])
+    assert encoded[2].columns == [*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and rows(encoded[2]) == rows(encoded[1])
     assert public_tokenizers.path(corpus_pipeline.BYTE_BPE)
 
 

@@ -3,10 +3,14 @@
 Every byte is mapped to one printable character; a vocabulary entry becomes a piece of such characters with the score
 -rank, and the model neither normalises nor adds blanks. Highest score first, leftmost first, is lowest rank first,
 leftmost first: the merges of a byte-level BPE. Texts are cut into pre-tokens by the JVM's regular expressions; each
-distinct pre-token of a batch is encoded once, and a text's ids are gathered from them. Decoding maps pieces back to bytes.
+distinct pre-token of a slice is encoded once, and a text's ids are gathered from them. Decoding maps pieces back to bytes.
+
+A worker goes through an Arrow batch in slices of about SLICE_PIECES pre-tokens, and a longer text in parts, so that what
+it holds beside the batch (which Spark bounds by bytes) doesn't follow the number or length of the texts.
 
 Defined cases: a null text is an empty text, with no tokens; repeated rows give equal results; a text of any length is
-encoded whole; an empty table gives an empty result. Extra columns pass through.
+encoded whole; an empty table gives an empty result. encode and digests ignore extra columns; add_tokens keeps them, and
+clashing result names get a trailing underscore.
 """
 
 import base64
@@ -15,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from usageloom.llm.shared import col, fresh
 
 #: Pre-tokens that a worker keeps encoded; beyond it the store starts anew, with the same results.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 100_000
+#: Pre-tokens, and ids to be decoded, that are worked on at once.
+SLICE_PIECES = 1 << 17
 
 #: Unicode's White_Space, which \s stands for in the tokenizer's pattern; Java's \s is ASCII only.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -91,13 +96,16 @@ class Codec:
     """Ids of pre-tokens and bytes of ids, for one rank file."""
 
     def __init__(self, path: str):
-        self.ranks = read_ranks(path)
-        self.whole = {entry: rank for rank, entry in enumerate(self.ranks)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
+        ranks = read_ranks(path)
+        self.whole = {entry: rank for rank, entry in enumerate(ranks)}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         chars = byte_characters()
         self.to_chars = {b: c for b, c in enumerate(chars)}
         back = {c: b for b, c in enumerate(chars)}
-        self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.ranks))]
+        pieces = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(ranks))]
+        self.sizes = np.array([len(p) for p in pieces])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes_of = np.frombuffer(b"".join(pieces), np.uint8)
         self.known: dict[str, bytes] = {}
 
     def ids(self, pieces: list[str]) -> list[bytes]:
@@ -115,9 +123,25 @@ class Codec:
         self.known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(new, found, strict=True))
         return [self.known[p] for p in pieces]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids.tolist()])
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all pre-tokens one after the other, how many each has)."""
+        coded = pieces.dictionary_encode()
+        codes = self.ids(coded.dictionary.to_pylist())
+        which, sizes = coded.indices.to_numpy(), np.array([len(c) // 4 for c in codes], np.int64)
+        return _gathered(np.frombuffer(b"".join(codes), "<u4"), (np.cumsum(sizes) - sizes)[which], sizes[which]), sizes[which]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids stand for, one after the other."""
+        parts = [ids[i : i + SLICE_PIECES] for i in range(0, len(ids), SLICE_PIECES)]
+        return np.concatenate([np.zeros(0, np.uint8), *(_gathered(self.bytes_of, self.starts[p], self.sizes[p]) for p in parts)])
+
+
+def _gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of a table that begin at starts, one after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return table[:0]
+    return table[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
 @lru_cache(maxsize=2)
@@ -125,23 +149,48 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _encoded(known: Codec, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, the number of ids of each row) for slices of rows that have about SLICE_PIECES pre-tokens, in order."""
+    offsets = lists.offsets.to_numpy()
+    values, row = lists.values, 0
+    if not len(lists):
+        yield np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    while row < len(lists):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_PIECES, side="right")) - 1)
+        stop, first, last = min(stop, len(lists)), int(offsets[row]), int(offsets[min(stop, len(lists))])
+        # One text may hold more than a slice; it goes in parts.
+        parts = [known.encode(values.slice(i, min(SLICE_PIECES, last - i))) for i in range(first, last, SLICE_PIECES)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(p[0] for p in parts)])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]))])
+        yield ids, np.diff(ends[offsets[row : stop + 1] - first])
+        row = stop
+
+
+def _rows(flat: np.ndarray, sizes: np.ndarray) -> list[memoryview]:
+    """The bytes of each row's stretch of flat."""
+    view, ends = memoryview(flat).cast("B"), np.cumsum(sizes) * flat.itemsize
+    return [view[a:b] for a, b in zip(ends - sizes * flat.itemsize, ends, strict=True)]
+
+
+def _byte_sizes(known: Codec, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many bytes each row decodes to."""
+    ends = np.concatenate([[0], np.cumsum(known.sizes[ids])])
+    stops = np.cumsum(sizes)
+    return ends[stops] - ends[stops - sizes]
+
+
+def _id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.view(np.int32)))
+
+
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
         for batch in batches:
-            lists = batch.column("pieces")
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            coded = lists.flatten().dictionary_encode()
-            codes = known.ids(coded.dictionary.to_pylist())
-            table, sizes = np.frombuffer(b"".join(codes), "<u4"), np.array([len(c) // 4 for c in codes], np.int64)
-            which = coded.indices.to_numpy()
-            of = sizes[which]
-            ends = np.concatenate([[0], np.cumsum(of)])
-            first = (np.cumsum(sizes) - sizes)[which]
-            ids = table[np.repeat(first - ends[:-1], of) + np.arange(ends[-1])] if len(which) else table
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(ids.view(np.int32)))], ["id", "ids"]
-            )
+            row = 0
+            for ids, sizes in _encoded(known, batch.column("pieces")):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(sizes)), _id_lists(ids, sizes)], ["id", "ids"])
+                row += len(sizes)
 
     return encode
 
@@ -150,7 +199,7 @@ def _decoder(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
         for batch in batches:
-            rows = [known.decode(ids.values.to_numpy()) for ids in batch.column("ids")]
+            rows = [known.decode(ids.values.to_numpy()).tobytes() for ids in batch.column("ids")]
             yield batch.append_column("decoded", pa.array(rows, pa.binary()))
 
     return decode
@@ -169,16 +218,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(_decoder(path), f"id {id_type}, ids array<int>, decoded binary")
 
 
-def _digester(path: str):
-    both = _encoder(path), _decoder(path)
+def _digested(known: Codec, lists: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]:
+    """(ids, n_tokens, ids_sha256, decoded_sha256) of slices of rows; the last is of what the ids decode to."""
+    for ids, sizes in _encoded(known, lists):
+        decoded = known.decode(ids)
+        shas = [hashlib.sha256(x).hexdigest() for x in _rows(ids, sizes)]
+        back = [hashlib.sha256(x).hexdigest() for x in _rows(decoded, _byte_sizes(known, ids, sizes))]
+        yield _id_lists(ids, sizes), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())
 
+
+def _digester(path: str):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in both[1](both[0](batches)):
-            packed = [ids.values.to_numpy().tobytes() for ids in batch.column("ids")]
-            shas = [hashlib.sha256(x).hexdigest() for x in packed]
-            back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
-            n = pa.array([len(x) // 4 for x in packed], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), n, pa.array(shas), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        known = codec(path)
+        for batch in batches:
+            row = 0
+            for _, n, shas, back in _digested(known, batch.column("pieces")):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(n)), n, shas, back], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                row += len(n)
 
     return digest
 
@@ -191,16 +247,16 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def add_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens and ids_sha256; every column of docs stays."""
-    n, sha = fresh(docs, "n_tokens", "ids_sha256")
+    """docs with ids, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to); every column of docs stays."""
+    names = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    @F.pandas_udf("struct<n long, sha string>")
-    def count(pieces: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def tokens(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = codec(path)
-        for batch in pieces:
-            rows = [b"".join(known.ids(list(p))) for p in batch]
-            yield pd.DataFrame({"n": [len(r) // 4 for r in rows], "sha": [hashlib.sha256(r).hexdigest() for r in rows]})
+        for lists in pieces:
+            slices = list(_digested(known, lists))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(x) for x in zip(*slices, strict=True)], names)
 
+    coded = F.arrow_udf(tokens, "struct<ids: array<int>, n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     (both,) = fresh(docs, "tokens")
-    counted = docs.withColumn(both, count(pre_tokens(col(text_col), pattern)))
-    return counted.select(*[col(c) for c in docs.columns], F.col(both).n.alias(n), F.col(both).sha.alias(sha))
+    counted = docs.withColumn(both, coded(pre_tokens(col(text_col), pattern)))
+    return counted.select(*[col(c) for c in docs.columns], *[F.col(both)[n].alias(x) for n, x in zip(names, fresh(docs, *names), strict=True)])
