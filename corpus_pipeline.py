@@ -6,7 +6,7 @@ again as the next one's docs. All stages but the last return the columns of docu
   2. line dedup: repeated lines go from the texts; n_chars follows the text;
   3. n-gram Jaccard join: of each class of near copies the document with the least id stays;
   4. benchmark decontamination: documents in which a benchmark item occurs within its error budget go;
-  5. byte-level BPE: the columns n_tokens and ids_sha256 are added.
+  5. byte-level BPE: texts are encoded, and the ids decoded again; the columns ids, n_tokens, ids_sha256 and decoded_sha256 are added.
 The classifier, the join and the edit distance have no SQL form, so the rows are tested against brute force instead.
 """
 
