@@ -35,8 +35,10 @@ def cost_rollup(partials: DataFrame) -> DataFrame:
     return partials.groupBy("day", "model").agg(total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total_cost().alias("cost"))
 
 
-def by_day_model(rows: DataFrame) -> DataFrame:
-    found = rows.groupBy("day", "model").agg(*token_sums(), total_cost().alias("cost"))
+def by_day_model(rows: DataFrame, now: dt.datetime | None = None) -> DataFrame:
+    """Sums by day and model; with now also `month_cost`, the part of the cost that is of now's month and not after now."""
+    month = [] if now is None else [total_cost(F.when(_of_month(now), F.col("cost"))).alias("month_cost")]
+    found = rows.groupBy("day", "model").agg(*token_sums(), total_cost().alias("cost"), *month)
     return found.orderBy(F.desc("cost"), F.desc("day"), "model")
 
 
@@ -86,11 +88,19 @@ def top_sessions(rows: DataFrame, n: int = 10) -> DataFrame:
     return sessions(rows).orderBy(F.desc("cost"), F.desc("started"), "session_id").limit(n)
 
 
-def month_to_date(rows: DataFrame, now: dt.datetime) -> DataFrame:
-    """Cost from the month's first instant up to now, of the rows given."""
+def _of_month(now: dt.datetime) -> Column:
     start = now.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
-    inside = F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz"))
-    return rows.agg(total_cost(F.when(inside, F.col("cost"))).alias("mtd_cost"))
+    return F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz"))
+
+
+def month_to_date(rows: DataFrame, now: dt.datetime) -> DataFrame:
+    """Cost from the month's first instant up to now, of the rows given: those of a window, or of month_window for the whole month."""
+    return rows.agg(total_cost(F.when(_of_month(now), F.col("cost"))).alias("mtd_cost"))
+
+
+def month_window(now: dt.datetime, days: int) -> int:
+    """The days of a window that holds the last `days` days and all of the month so far."""
+    return max(days, now.day)
 
 
 def days_axis(spark: SparkSession, today: dt.date, days: int) -> DataFrame:

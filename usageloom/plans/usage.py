@@ -6,10 +6,12 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from usageloom.operators import aggregates as agg
 from usageloom.operators import dashboard as dash
-from usageloom.operators.clean import clean_usage, keep_last, priced
+from usageloom.operators.clean import clean_usage, in_window, keep_last, priced
+from usageloom.sources.folders import stored
 from usageloom.sources.usage import usage_of_events
 
 NOW, DAYS = dt.datetime(2024, 1, 30, 18), 30
@@ -142,17 +144,24 @@ _add("by_day_by_model", _of_rows(lambda r: dash.by_day_by_model(agg.by_day_model
 _add("period_windows", _of_windows(lambda w: w), "SELECT * FROM averaged", axis_sql(), WINDOWS)
 
 
-def _projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, sf_dir)
-    windows = dash.period_windows(dash.daily_axis(agg.by_day_model(found), TODAY, DAYS), TODAY)
-    return dash.projection(agg.month_to_date(found, NOW), windows, NOW)
+def _projection(spark: SparkSession, sf_dir: str, days: int = DAYS) -> DataFrame:
+    """One roll-up gives both the period's windows and the whole month so far, which a short period doesn't hold."""
+    found = stored(agg.by_day_model(rows(spark, sf_dir, agg.month_window(NOW, days)), NOW), "by-day-model")
+    in_period = found.where(in_window(F.col("day"), TODAY, days))
+    mtd = found.agg(agg.total_cost("month_cost").alias("mtd_cost"))
+    return dash.projection(mtd, dash.period_windows(dash.daily_axis(in_period, TODAY, days), TODAY), NOW)
 
 
+PROJECTED = """SELECT mtd_cost, round(mtd_cost / 30 * 31, 9) AS projected_cost,
+    CASE WHEN period_cost > 0 THEN CAST(round(period_volume / period_cost * round(mtd_cost / 30 * 31, 9)) AS BIGINT) ELSE 0 END AS projected_tokens FROM mtd, windows"""
+_add(
+    "projection_7d", lambda spark, sf_dir: _projection(spark, sf_dir, 7), PROJECTED,
+    axis_sql(7).replace("FROM bdm GROUP BY day)", f"FROM bdm WHERE day > DATE '{TODAY}' - 7 GROUP BY day)"), WINDOWS, MTD,
+)
+_add("mtd_cost_7d", _of_rows(lambda r: agg.month_to_date(r, NOW), days=7), "SELECT * FROM mtd", MTD, days=7)
 _add(
     "projection", _projection,
-    """SELECT mtd_cost, round(mtd_cost / 30 * 31, 9) AS projected_cost,
-    CASE WHEN period_cost > 0 THEN CAST(round(period_volume / period_cost * round(mtd_cost / 30 * 31, 9)) AS BIGINT) ELSE 0 END AS projected_tokens FROM mtd, windows""",
-    axis_sql(), WINDOWS, MTD,
+    PROJECTED, axis_sql(), WINDOWS, MTD,
 )
 _add(
     "cache_hit_rate", _of_axis(dash.cache_hit_rate),

@@ -144,7 +144,7 @@ def write_logs(events: DataFrame, path: str) -> None:
         F.concat(F.lit("/home/dev/p"), project).alias("cwd"),
         F.struct(F.col("user_id").cast("string").alias("id"), raw_model(F.col("event_type")).alias("model"), usage.alias("usage")).alias("message"),
     )
-    rows = events.select((F.col("user_id") % 7).alias("part"), "event_id", F.to_json(line).alias("value"))
-    # A log file holds its sessions in order; its lines come from one task.
-    dealt = rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value")
+    rows = events.select((F.col("user_id") % 7).alias("part"), F.to_date("ts").alias("day"), "event_id", F.to_json(line).alias("value"))
+    # A task writes a folder's lines of some days, in order; a message's lines are of one day, so they meet in one file.
+    dealt = rows.repartition("part", "day").sortWithinPartitions("part", "event_id").select("part", "value")
     dealt.write.partitionBy("part").text(path)

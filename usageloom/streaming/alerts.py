@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,16 +18,21 @@ STATE = "previous double, fired array<int>, depleted boolean, history array<doub
 def alerts(samples: DataFrame, thresholds: list[int], enabled: str = "enabled") -> DataFrame:
     """Rows (window_id, seq, alert) of a stream (window_id, seq, utilization, enabled): threshold numbers, `depleted`, `restored`.
 
-    A sample while alerts are off changes no alert state. Each window's last HISTORY utilizations are kept along.
+    A sample while alerts are off changes no alert state. Each window's last HISTORY utilizations are kept along. Of a
+    micro-batch a window's samples are held as numbers, 17 bytes each, as they must be put in order; how many there are is
+    bounded at the source (maxBytesPerTrigger).
     """
     marks = sorted(t for t in set(thresholds) if 1 <= t <= 100)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         previous, fired, depleted, history = state.get if state.exists else (None, [], False, [])
         fired, history, out = set(fired), list(history), []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, used, on in zip(rows["seq"], rows["utilization"], rows[enabled], strict=True):
-            history = [*history, float(used)][-HISTORY:]
+        kinds = {"seq": np.int64, "utilization": float, enabled: bool}
+        parts = [[b[c].to_numpy(kind) for c, kind in kinds.items()] for b in batches]
+        seqs, uses, ons = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(seqs, kind="stable")
+        for seq, used, on in ((int(seqs[i]), float(uses[i]), bool(ons[i])) for i in order):
+            history = [*history, used][-HISTORY:]
             if not on:
                 continue
             left = 100 - used
@@ -38,7 +44,7 @@ def alerts(samples: DataFrame, thresholds: list[int], enabled: str = "enabled")
             if (left <= USED_UP) != depleted:
                 depleted = not depleted
                 out.append((key[0], seq, "depleted" if depleted else "restored"))
-            previous = float(left)
+            previous = left
         state.update((previous, sorted(fired), depleted, history))
         yield pd.DataFrame(out, columns=["window_id", "seq", "alert"])
 

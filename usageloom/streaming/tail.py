@@ -1,7 +1,10 @@
 """Incremental reading of append-only JSON-lines logs: a stream source that keeps an offset for each file.
 
-Offsets go up to the last line end only, so a half-written line waits for its rest; a file that has shrunk is read anew,
-and its rows are marked, so that what was stored of it is replaced. Files are reached through Arrow's file systems.
+An offset keeps for every known file [the end of its last whole line, its size, its time of modification, how often it
+was begun anew]. Ends go up to the last line end only, so a half-written line waits for its rest. A file whose size and time
+haven't changed isn't opened. A file that has shrunk is read anew, and so is one that was gone: each such beginning gets
+another number, with which its rows are marked, so that what was stored of the beginnings before is replaced, even where
+the new file has no whole line yet. Files are reached through Arrow's file systems.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from usageloom.sources.usage import parse_lines
 
 #: Bytes that one task reads; lines that begin in them are its.
 PART_BYTES, CHUNK = 64 << 20, 64 << 10
+#: The seconds between two readings that are offered; 0 is by hand.
+INTERVALS = [0, 60, 120, 300, 900, 1800]
 
 
 def _open(root: str):
@@ -34,46 +39,65 @@ class Stretch(InputPartition):
     start: int
     stop: int
     begins: bool
-    restarted: bool
+    life: int
+
+
+def _last_line_end(file, size: int) -> int:
+    at = size
+    while at > 0:
+        low = max(0, at - CHUNK)
+        file.seek(low)
+        cut = file.read(at - low).rfind(b"\n")
+        if cut >= 0:
+            return low + cut + 1
+        at = low
+    return 0
 
 
 class LogTailReader(DataSourceStreamReader):
     def __init__(self, root: str, suffix: str):
         self.root, self.suffix = root, suffix
+        self.known: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self, *_: object) -> dict:
-        """The end of the last whole line of each file."""
+        """For each file that is or was there [end, size, time in ns, life]; a file that is gone has the end and size 0 and the time -1."""
         from pyarrow import fs as pafs
 
         fs, root = _open(self.root)
-        ends = {}
+        now = {path: [0, 0, -1, life] for path, (_, _, _, life) in self.known.items()}
         for info in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
-            if info.is_file and info.path.endswith(self.suffix):
+            if not info.is_file or not info.path.endswith(self.suffix):
+                continue
+            end, size, time, life = self.known.get(info.path, [0, 0, 0, 0])
+            if (info.size, info.mtime_ns) != (size, time) or time < 0:
+                anew = info.size < size or time < 0
                 with fs.open_input_file(info.path) as f:
-                    at = info.size
-                    while at > 0:
-                        low = max(0, at - CHUNK)
-                        f.seek(low)
-                        cut = f.read(at - low).rfind(b"\n")
-                        if cut >= 0:
-                            ends[info.path] = low + cut + 1
-                            break
-                        at = low
-        return ends
+                    end, life = _last_line_end(f, info.size), life + anew
+            now[info.path] = [end, info.size, info.mtime_ns, life]
+        self.known = now
+        return now
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
+        # After a restart of the query the offsets tell what is known.
+        self.known = {**start, **end, **self.known}
         parts = []
-        for path, stop in sorted(end.items()):
-            restarted = stop < start.get(path, 0)
-            first = 0 if restarted else start.get(path, 0)
-            parts += [Stretch(path, a, min(a + PART_BYTES, stop), a == first, restarted) for a in range(first, stop, PART_BYTES)]
+        for path, (stop, _, _, life) in sorted(end.items()):
+            at, _, _, before = start.get(path, [0, 0, 0, 0])
+            anew = life != before
+            first = 0 if anew else at
+            parts += [Stretch(path, a, min(a + PART_BYTES, stop), a == first, life) for a in range(first, stop, PART_BYTES)]
+            if anew and not stop:
+                parts.append(Stretch(path, 0, 0, True, life))  # only tells that it began anew
         return parts
 
     def read(self, part: Stretch) -> Iterator[tuple]:
         fs, _ = _open(self.root)
+        if part.stop == part.start:
+            yield part.path, 0, part.life, ""
+            return
         with fs.open_input_file(part.path) as f:
             f.seek(part.start if part.begins else part.start - 1)
             at, rest = f.tell(), b""
@@ -84,47 +108,53 @@ class LogTailReader(DataSourceStreamReader):
                     if at >= part.stop:
                         return
                     if not skip and line.strip():
-                        yield part.path, at, part.restarted, line.decode("utf-8", "replace")
+                        yield part.path, at, part.life, line.decode("utf-8", "replace")
                     skip, at = False, at + len(line) + 1
                 if at >= part.stop:
                     return
 
 
 class LogTail(DataSource):
-    """Format `log_tail`, with the options `path` and `suffix` (.jsonl): rows (file, offset, restarted, value)."""
+    """Format `log_tail`, with the options `path` and `suffix` (.jsonl): rows (file, offset, life, value)."""
 
     @classmethod
     def name(cls) -> str:
         return "log_tail"
 
     def schema(self) -> str:
-        return "file string, offset long, restarted boolean, value string"
+        return "file string, offset long, life int, value string"
 
     def streamReader(self, schema) -> LogTailReader:
         return LogTailReader(self.options["path"], self.options.get("suffix", ".jsonl"))
 
 
-def tail_costs(spark: SparkSession, logs: str, store: str, zone: str = "UTC", suffix: str = ".jsonl") -> StreamingQuery:
-    """Read what the logs have gained, once, and store its cost partials: one folder a batch, so that a batch that runs twice counts once.
+def tail_costs(spark: SparkSession, logs: str, store: str, zone: str = "UTC", suffix: str = ".jsonl", every_seconds: int = 0) -> StreamingQuery:
+    """Read what the logs have gained, once or at an interval, and store its cost partials: one folder a batch, so that a batch that runs twice counts once.
 
-    Neither windows nor present-day prices are baked in beyond the batch's own: partials keep file, day and model.
+    every_seconds of 0 reads what is there and ends; with one of INTERVALS, or any other, the query goes on. Neither windows
+    nor present-day prices are baked in beyond the batch's own: partials keep file, day and model.
     """
     spark.dataSource.register(LogTail)
     lines = spark.readStream.format("log_tail").option("path", logs).option("suffix", suffix).load()
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        rows = keep_last(parse_lines(batch, zone).where(has_tokens("input_tokens", "output_tokens")), ["message_key"], ["offset"], within=["file"])
-        again = batch.groupBy("file").agg(F.max("restarted").alias("restarted"))
-        partials = again.join(cost_partials(priced(rows)), "file", "left")
+        # Read once: the lines of a batch are few, and stored they can't differ between the two uses.
+        path = f"{store}/lines/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        read = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        rows = keep_last(parse_lines(read, zone).where(has_tokens("input_tokens", "output_tokens")), ["message_key"], ["offset"], within=["file"])
+        lives = read.groupBy("file").agg(F.max("life").alias("life"))
+        partials = lives.join(cost_partials(priced(rows)), "file", "left")
         partials.write.mode("overwrite").parquet(f"{store}/partials/batch={batch_id}")
 
     writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", f"{store}/progress")
+    if every_seconds:
+        return writer.trigger(processingTime=f"{every_seconds} seconds").start()
     return writer.trigger(availableNow=True).start()
 
 
 def stored_costs(spark: SparkSession, store: str) -> DataFrame:
-    """(day, model) sums of what tail_costs has stored; of a file that was restarted only what came since."""
+    """(day, model) sums of what tail_costs has stored; of a file that was begun anew only what came since."""
     partials = spark.read.option("basePath", f"{store}/partials").parquet(f"{store}/partials")
-    last = partials.where("restarted").groupBy("file").agg(F.max("batch").alias("since"))
-    valid = partials.join(last, "file", "left").where("day is not null and batch >= coalesce(since, 0)")
-    return cost_rollup(valid)
+    last = partials.groupBy("file").agg(F.max("life").alias("last"))
+    return cost_rollup(partials.join(last, "file").where("day is not null and life = last"))
