@@ -130,8 +130,8 @@ def test_all_labelled_rows_choose_the_slots(spark, monkeypatch):
     for _, text, toxic in kept:
         plain[toxic, toxicity.features(text)] += 1
     n_toxic = sum(r[2] for r in kept)
-    ratio = toxicity.Counts(plain[1], plain[0], n_toxic, len(kept) - n_toxic).ratios()
-    assert (ratio[slot] > 0).any() and set(np.flatnonzero(model.weights)) <= set(np.flatnonzero(ratio))
+    slots, ratio = toxicity.Counts(plain[1], plain[0], n_toxic, len(kept) - n_toxic).scales()
+    assert set(slots[ratio > 0]) & set(slot) and set(np.flatnonzero(model.weights)) <= set(slots)
     assert model.score("qzxjv") > model.score("w1")
 
 

@@ -2,14 +2,16 @@
 
 A text's features are the distinct character n-grams of its lower-cased, blank-padded words, hashed into a fixed number
 of slots. Each slot is scaled by the log ratio of its smoothed counts in toxic and other training texts, and a logistic
-regression is fitted on the scaled features of those slots whose counts differ beyond chance; the rest weigh nothing, so
-that a long text's many ordinary n-grams don't drown the few that tell. The counts, and with them the ratios and the choice of slots, are of all
-labelled training rows, summed in the executors; only the regression takes a bounded sample (SAMPLE_A_CLASS of each class, by hash of the id).
-The shares of the classes come from all labels. Scoring covers every whole text, map-only.
+regression is fitted on the scaled features of the FEATURES slots whose shares differ most, beyond chance (LEAST_Z); the
+rest weigh nothing, so that a long text's many ordinary n-grams don't drown the few that tell. The counts, and with them
+the ratios and the choice of slots, are of all labelled training rows, summed in the executors; only the regression takes
+a bounded sample (SAMPLE_A_CLASS of each class, by hash of the id), of which a row is a bit for each feature, whatever its
+text's length. The shares of the classes come from all labels. Scoring covers every whole text, map-only.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; rows without a label, or with
-a null label or id, aren't learnt from; a document with several labels is toxic if one says so; with labels of one class
-only, or none, every score is the toxic share (0 without labels). Repeated rows get equal scores. Extra columns pass.
+a null label or id, aren't learnt from; a document with several labels is toxic if one says so; rows that repeat a labelled
+id are each learnt from, with their own texts; with labels of one class only, or none, every score is the toxic share (0
+without labels). Repeated rows get equal scores. Extra columns pass, and train reads only the columns named to it.
 """
 
 from collections.abc import Iterator
@@ -29,15 +31,16 @@ SIZES = (3, 4, 5)
 SAMPLE_A_CLASS = 3000
 #: Added to each slot's counts.
 SMOOTHING = 1.0
-#: A slot counts if the shares of toxic and other texts that hold it differ by so many standard errors.
-LEAST_Z = 3.5
+#: A slot may count if the shares of toxic and other texts that hold it differ by so many standard errors; so many slots,
+#: those that differ most, are the features of the regression.
+LEAST_Z, FEATURES = 3.5, 4096
 #: Weight of the squared coefficients, and the passes over the sample.
 PENALTY, STEPS = 1e-3, 150
 HELD_OUT = 5
-#: Slots whose counts are summed in one group.
-CHUNK = 4096
-#: Labels that may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Slots whose counts are summed in one group, and rows of the sample that the fit goes through at once.
+CHUNK, FIT_ROWS = 4096, 512
+#: Labels that may be broadcast (some 15 MB in memory); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def is_held_out(id_col: str) -> Column:
@@ -90,47 +93,56 @@ class Counts:
     n_toxic: int
     n_other: int
 
-    def ratios(self) -> np.ndarray:
-        """The slots' log-count ratios, 0 for those that don't differ beyond chance."""
+    def scales(self) -> tuple[np.ndarray, np.ndarray]:
+        """The feature slots, in order, and their log-count ratios."""
         p, q, n_toxic, n_other = self.p, self.q, self.n_toxic, self.n_other
         if not n_toxic or not n_other:
-            return np.zeros(len(p))
+            return np.zeros(0, np.int64), np.zeros(0)
         mean = (p + q) / (n_toxic + n_other)
         error = np.sqrt(mean * (1 - mean) * (1 / n_toxic + 1 / n_other))
-        telling = np.abs(p / n_toxic - q / n_other) > LEAST_Z * np.maximum(error, 1e-12)
+        z = np.abs(p / n_toxic - q / n_other) / np.maximum(error, 1e-12)
+        slots = np.sort([i for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] > LEAST_Z]).astype(np.int64)
         ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
-        return np.where(telling, ratio, 0.0)
+        return slots, ratio[slots]
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, ratio: np.ndarray) -> Model:
-    """Fit on feature lists with their 0/1 labels; share is that of toxic rows among all that are labelled, ratio the slots' scales."""
-    n_slots, share = 1 << SLOT_BITS, min(max(share, 0.0), 1.0)
+def fit(rows: np.ndarray, toxic: np.ndarray, share: float, slots: np.ndarray, ratio: np.ndarray) -> Model:
+    """Fit on packed rows of a bit for each of the slots, with their 0/1 labels.
+
+    share is that of toxic rows among all that are labelled, ratio the slots' scales.
+    """
+    n, share = len(slots), min(max(share, 0.0), 1.0)
     if not len(toxic) or toxic.min() == toxic.max():
-        return Model(np.zeros(n_slots), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    telling = ratio != 0
-    rows = [r[telling[r]] for r in rows]
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = ratio[flat]
-    w, b, y = np.zeros(n_slots), 0.0, toxic.astype(float)
+        return Model(np.zeros(1 << SLOT_BITS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    w, b, y = np.zeros(n), 0.0, toxic.astype(float)
     # Adam on the whole sample: deterministic, and sure of its step whatever the slots' scales.
-    m, v, mb, vb = np.zeros(n_slots), np.zeros(n_slots), 0.0, 0.0
+    m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    parts = []
+    for i in range(0, len(rows), FIT_ROWS):
+        row, column = np.nonzero(np.unpackbits(rows[i : i + FIT_ROWS], axis=1, count=n))
+        parts.append((slice(i, i + FIT_ROWS), row.astype(np.int16), column.astype(np.int32)))
     for t in range(1, STEPS + 1):
-        z = np.bincount(row, weights=value * w[flat], minlength=len(rows)) + b
-        r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
-        g = np.bincount(flat, weights=value * r[row], minlength=n_slots) + PENALTY * w
-        gb, rate = r.sum(), 0.05 / (1 + t / 40)
+        g, gb, rate = PENALTY * w, 0.0, 0.05 / (1 + t / 40)
+        scaled = ratio * w
+        for part, row, column in parts:
+            z = np.bincount(row, weights=scaled[column], minlength=len(y[part])) + b
+            r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[part]) * weight[part]
+            g += ratio * np.bincount(column, weights=r[row], minlength=n)
+            gb += r.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     # The fit weighs both classes alike; half the log odds of the classes' shares goes back in, between balance and prior.
-    return Model(w * ratio, float(b + 0.5 * np.log(share / (1 - share)) if 0 < share < 1 else b))
+    weights = np.zeros(1 << SLOT_BITS)
+    weights[slots] = w * ratio
+    return Model(weights, float(b + 0.5 * np.log(share / (1 - share)) if 0 < share < 1 else b))
 
 
 def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The slot counts of a task's texts, in chunks; the numbers of texts go with each."""
-    counts, n = np.zeros((2, 1 << SLOT_BITS), np.int64), [0, 0]
+    counts, n = np.zeros((2, 1 << SLOT_BITS), np.uint32), [0, 0]
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic, features(text.as_py())] += 1
@@ -143,11 +155,12 @@ def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_chunk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' counts are of 32 bits, their sums of 64."""
     sums, n = np.zeros((2, CHUNK), np.int64), np.zeros(2, np.int64)
     for batch in batches:
         for i, (one, number) in enumerate((("p", "n_toxic"), ("q", "n_other"))):
             for x in batch.column(one):
-                sums[i] += np.frombuffer(x.as_py(), np.int64)
+                sums[i] += np.frombuffer(x.as_py(), np.uint32)
             n[i] += sum(batch.column(number).to_pylist())
     columns = [pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sums), *(pa.array([x], pa.int64()) for x in n)]
     yield pa.RecordBatch.from_arrays(columns, ["chunk", "p", "q", "n_toxic", "n_other"])
@@ -167,34 +180,34 @@ def count_slots(rows: DataFrame) -> Counts:
     return Counts(counts[0], counts[1], *n)
 
 
-def _features_in(telling):
-    """Features of the slots that telling, a broadcast mask, holds; the others weigh nothing."""
+def _bits_of(slots):
+    """Rows (order, toxic, bits): a bit for each of the slots, a broadcast array."""
 
-    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column("text")]
-            slots = pa.array([x[telling.value[x]].tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), slots], ["id", "toxic", "slots"])
+            held = [np.packbits(np.isin(slots.value, features(t.as_py()), assume_unique=True)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(held, pa.binary())], ["order", "toxic", "bits"])
 
-    return features_of
+    return bits_of
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the labelled documents that aren't held out; the sample that reaches the driver is bounded by SAMPLE_A_CLASS."""
+    """Fit on the labelled documents that aren't held out; the sample that reaches the driver is bounded by SAMPLE_A_CLASS and FEATURES (3 MB)."""
     known = labels.select(col(id_col).alias("id"), col(label_col).alias("toxic")).where("id is not null and toxic is not null")
     known = stored(known.where(~is_held_out("id")).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")), "training-labels")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     labelled = F.broadcast(known) if sum(counts.values()) <= BROADCAST_IDS else known
-    ratio = count_slots(texts.join(labelled.where("toxic in (0, 1)"), "id").dropDuplicates(["id"])).ratios()
-    per_class = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_A_CLASS) for y in (0, 1)]
+    slots, ratio = count_slots(texts.join(labelled.where("toxic in (0, 1)"), "id")).scales()
+    order = F.xxhash64("id").alias("order")
+    per_class = [known.where(F.col("toxic") == y).select("id", "toxic", order).orderBy("order", "id").limit(SAMPLE_A_CLASS) for y in (0, 1)]
     sample = F.broadcast(per_class[0].unionByName(per_class[1]))  # 2 * SAMPLE_A_CLASS rows at most
-    id_type = docs.schema[id_col].dataType.simpleString()
-    telling = docs.sparkSession.sparkContext.broadcast(ratio != 0)  # 0.3 MB
-    rows = texts.join(sample, "id").dropDuplicates(["id"]).mapInArrow(_features_in(telling), f"id {id_type}, toxic int, slots binary").collect()
-    rows.sort(key=lambda r: r[0])
-    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), share, ratio)
+    cast = docs.sparkSession.sparkContext.broadcast(slots)  # 32 KB
+    coded = stored(texts.join(sample, "id").select("order", "toxic", "text").mapInArrow(_bits_of(cast), "order long, toxic int, bits binary"), "training-sample")
+    # Ids may repeat: then the rows are bounded once more, in the same order.
+    rows = [r for y in (0, 1) for r in coded.where(F.col("toxic") == y).orderBy("order", "bits").limit(SAMPLE_A_CLASS).collect()]
+    return fit(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]).reshape(len(rows), (len(slots) + 7) // 8), np.array([r["toxic"] for r in rows]), share, slots, ratio)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
