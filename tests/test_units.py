@@ -17,6 +17,8 @@ from usageloom.operators import aggregates as agg
 from usageloom.operators import dashboard as dash
 from usageloom.operators import series
 from usageloom.operators.clean import clean_usage, keep_last, priced
+from usageloom.operators.result_cache import cached_result, kept_catalog
+from usageloom.sources import payloads
 from usageloom.sources.usage import log_roots, modified_floor, parse_lines, read_lines
 from usageloom.streaming.alerts import alerts
 from usageloom.streaming.tail import stored_costs, tail_costs
@@ -273,3 +275,94 @@ def test_hashes_are_of_utf16_units(spark):
     assert list(one.select(*[fn.string_hash(F.lit(t)).alias(f"c{i}") for i, t in enumerate(texts)]).first()) == [texts[t] for t in texts]
     names = one.select(*[fn.directory_name(x).alias(f"c{i}") for i, x in enumerate([fn.composed(F.lit("/x/a\U0001f600b")), fn.composed(F.lit("e\u0301")), F.lit("e\u0301"), fn.composed(F.lit(None).cast("string"))])])
     assert list(names.first()) == ["-x-a--b", "-", "e-", None]
+
+
+CATALOG = {
+    "anthropic": {"models": {
+        "claude-opus-4-1": {"cost": {"input": 15, "output": "75"}},
+        "claude-sonnet-4-20250514": {"cost": {"input": 3, "output": 15}},
+        "claude-sonnet-4-5": {"cost": {"input": 4, "output": 16}},
+        "claude-free": {"cost": {"input": None, "output": 1}},
+    }},
+    "other": {"models": {"some-model": {"cost": {"input": 1, "output": 2}}}},
+    "claude-haiku-3-5": {"cost": {"input": 0.8, "output": 4}},
+}
+
+
+def test_price_catalogues(spark):
+    found = payloads.price_catalog(spark.createDataFrame([(json.dumps(CATALOG),), ("{",), (None,)], "value string")).collect()
+    assert {r["model"]: (round(r["price_in"], 12), round(r["price_out"], 12)) for r in found} == {"claude-opus-4": (1.5e-5, 7.5e-5), "claude-sonnet-4": (3e-6, 1.5e-5), "claude-haiku-3-5": (8e-7, 4e-6)}
+
+
+@pytest.mark.parametrize(("payload", "want"), [
+    ({"five_hour": {"utilization": 12.5, "resets_at": "2025-12-25T12:00:00.000Z"}, "seven_day": {"utilization": 30}, "seven_day_sonnet": {"utilization": 5}}, (12.5, 30, None)),
+    ({"seven_day": {"utilization": 42}, "seven_day_routines": None}, (42, 42, 0)),
+    ({"seven_day_routines": {"utilization": "x"}, "cowork": {"utilization": 7}, "five_hour": {"utilization": 1}}, (1, None, 0)),
+    ({"five_hour": {"utilization": 1}, "cowork": {"utilization": 7}}, (1, None, 7)),
+    ({}, (None, None, None)),
+    ("no json", None),
+    (None, None),
+])
+def test_rate_payloads(spark, payload, want):
+    text = payload if payload is None or isinstance(payload, str) else json.dumps(payload)
+    w = spark.createDataFrame([(text,)], "value string").select(payloads.rate_windows(F.col("value")).alias("w")).first()["w"]
+    assert (w is None) == (want is None)
+    assert w is None or tuple(x and x["utilization"] for x in (w["session"], w["weekly"], w["dailyRoutines"])) == tuple(want)
+
+
+PANELS = [
+    ("Current session\n40% used\nCurrent week (all models)\n10% used", 40, 10),
+    ("\x1b[1mCurrent session\x1b[0m\n\x1b[31m40%\x1b[0m used\nCurrent week (all models)\n10% used", 40, 10),
+    ("Current session\n12% remaining\nCurrent week\n40% remaining", 88, 60),
+    ("Current session: 12.5% used\nCurrent week: 4.2% used", 12.5, 4.2),
+    ("Current session\n2% used", 2, 0),
+    ("55% of this\n22% of that", 55, 22),
+    ("claude | Opus 0% | default\nCurrent session\n45% used\nCurrent week\n9% used", 45, 9),
+    ("no figures here", None, None),
+    ("", None, None),
+    (None, None, None),
+]
+
+
+def test_panels(spark):
+    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PANELS)], "i int, value string")
+    p = payloads.panel(F.col("value"))
+    assert [(r[1], r[2]) for r in df.select("i", p.session, p.weekly).orderBy("i").collect()] == [p[1:] for p in PANELS]
+
+
+def test_release_feeds(spark):
+    feeds = [json.dumps({"tag_name": "v1.2.0", "assets": [{"name": "a.dmg", "browser_download_url": "u1"}, {"name": "A.ZIP", "browser_download_url": "u2"}]}), json.dumps({"tag_name": "1.3", "assets": []}), "{", None]
+    df = spark.createDataFrame(list(enumerate(feeds)), "i int, value string")
+    r = payloads.release(F.col("value"))
+    assert [tuple(x)[1:] for x in df.select("i", r.version, r.url).orderBy("i").collect()] == [("1.2.0", "u2"), ("1.3", None), (None, None), (None, None)]
+
+
+def test_results_are_kept_while_the_sources_stay(spark, tmp_path):
+    logs, built = tmp_path / "logs", []
+    logs.mkdir()
+    (logs / "a.jsonl").write_text("x\n")
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    ask = lambda period: cached_result(spark, str(tmp_path / "store"), period, [str(logs)], build).count()
+    assert (ask("7d"), ask("7d"), ask("30d"), ask("7d"), len(built)) == (1, 1, 2, 1, 2)
+    (logs / "b.jsonl").write_text("y\n")
+    assert (ask("7d"), ask("7d"), len(built)) == (3, 3, 3)
+
+
+def test_catalogue_lives_a_day(spark, tmp_path):
+    start, fetched = dt.datetime(2025, 6, 1), []
+
+    def fetch():
+        fetched.append(1)
+        if len(fetched) == 3:
+            raise OSError("no answer")
+        return spark.createDataFrame([("m", float(len(fetched)), 2.0)], "model string, price_in double, price_out double")
+
+    at = lambda hours, store="a": kept_catalog(spark, str(tmp_path / store), fetch, start + dt.timedelta(hours=hours)).first()["price_in"]
+    assert [at(0), at(23), at(25), at(48)] == [1.0, 1.0, 2.0, 2.0] and len(fetched) == 2
+    assert at(80) == 2.0 and len(fetched) == 3  # stale, as fetching fails
+    fetched[:] = [1, 1]
+    assert kept_catalog(spark, str(tmp_path / "none"), fetch, start).count() == 4  # the fixed prices

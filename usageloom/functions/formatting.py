@@ -25,7 +25,7 @@ def short_count_text(n: Column) -> Column:
 
 
 def currency(value: Column, digits: int = 2) -> Column:
-    return F.format_string(f"$%.{digits}f", value)
+    return F.when(value.isNotNull(), F.format_string(f"$%.{digits}f", value))
 
 
 def compact_currency(value: Column) -> Column:
@@ -67,7 +67,46 @@ def updated_text(seconds: Column) -> Column:
 
 
 def remaining_text(left: Column) -> Column:
-    return F.format_string("%d%%", F.round(clamp(left)).cast("long"))
+    return F.when(left.isNotNull(), F.format_string("%d%%", F.round(clamp(left)).cast("long")))
+
+
+def title_text(left: Column, pace: Column) -> Column:
+    """The share left, with the pace where it is ahead; a leading blank where it stands alone; null without a window."""
+    ahead = F.concat(remaining_text(left), F.format_string(" · +%d%%", F.round(pace).cast("long")))
+    return F.when(pace > 0, ahead).otherwise(F.concat(F.lit(" "), remaining_text(left)))
+
+
+def menu_text(mode: Column, left: Column, cost_today: Column, seconds: Column) -> Column:
+    """What a status item shows: the share left, today's cost or the time to the reset; null where that isn't known."""
+    return F.when(mode == "percentRemaining", remaining_text(left)).when(mode == "costToday", currency(cost_today)).when(mode == "timeUntilReset", reset_text(seconds))
+
+
+def reset_line(at: Column, seconds: Column, absolute: Column) -> Column:
+    """The clock time of a reset, or the countdown to it; null without a reset."""
+    return F.when(at.isNull(), None).when(absolute, F.concat(F.lit("Resets "), F.date_format(at, "HH:mm"))).otherwise(F.concat(F.lit("Resets in "), countdown(seconds)))
+
+
+def percent_line(utilization: Column, show_used: Column) -> Column:
+    used, left = F.round(utilization).cast("long"), F.round(100 - utilization).cast("long")
+    return F.when(show_used, F.format_string("%d%% used", used)).otherwise(F.format_string("%d%% left", left))
+
+
+def weekday_name(day: Column) -> Column:
+    """Of 0 (Sunday) to 6; any other number as it is."""
+    names = F.array(*[F.lit(x) for x in ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")])
+    return F.when(day.between(0, 6), F.get(names, day.cast("int"))).otherwise(day.cast("string"))
+
+
+def busiest_text(day: Column, cost: Column) -> Column:
+    return F.when(day.isNull(), "—").otherwise(F.concat(weekday_name(day), F.lit(" · "), currency(cost)))
+
+
+def alert_post(window_id: Column, alert: Column, left: Column) -> Column:
+    """struct<id, body> of the message that an alert posts: a threshold's number, `depleted` or `restored`."""
+    edge = alert.isin("depleted", "restored")
+    name = F.when(edge, F.concat_ws("-", alert, window_id)).otherwise(F.concat_ws("-", F.lit("threshold"), window_id, alert))
+    ended = F.concat(window_id, F.when(alert == "depleted", " quota exhausted").otherwise(" quota restored"))
+    return F.struct(name.alias("id"), F.when(edge, ended).otherwise(F.concat(window_id, F.lit(" at "), remaining_text(left), F.lit(" remaining"))).alias("body"))
 
 
 def reset_text(seconds: Column) -> Column:

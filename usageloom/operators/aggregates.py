@@ -90,7 +90,7 @@ def top_sessions(rows: DataFrame, n: int = 10) -> DataFrame:
 
 def _of_month(now: dt.datetime) -> Column:
     start = now.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
-    return F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz"))
+    return F.col("ts").between(F.lit(str(start)).cast("timestamp_ntz"), F.lit(str(now)).cast("timestamp_ntz"))
 
 
 def month_to_date(rows: DataFrame, now: dt.datetime) -> DataFrame:

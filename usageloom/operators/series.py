@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,19 @@ def recent_values(samples: DataFrame, key: str, order: Sequence[str], value: str
     return rows.agg(F.transform(pairs, lambda p: p.value).alias("values"))
 
 
+def add_samples(new: DataFrame, key: str, order: Sequence[str], store: str, run: int) -> None:
+    """Write the history that is stored after a run: the last HISTORY of what the run before stored and of the new samples.
+
+    A run's folder is written whole, so a run that is repeated replaces its own; the earlier one stays until it is deleted.
+    """
+    before = stored_samples(new.sparkSession, store, run - 1) if run else new.limit(0)
+    last_n(before.select(*new.columns).unionByName(new), key, order, HISTORY).drop("age").write.mode("overwrite").parquet(f"{store}/run={run}")
+
+
+def stored_samples(spark: SparkSession, store: str, run: int) -> DataFrame:
+    return spark.read.parquet(f"{store}/run={run}")
+
+
 def sparkline(series: DataFrame, values: str = "values") -> DataFrame:
     """Heights from 0 to 1 of the last values over their largest; 0.5 throughout if that is 0 or there is one sample."""
     v = F.transform(F.col(values), lambda x: clamp(x))

@@ -1,144 +1,146 @@
-"""Queries over inline payloads with known results; their SQL states the results."""
+"""Queries over payloads, panels, headers and names that are made from every row of a table; their SQL computes the results anew."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.functions import formatting as fmt
 from usageloom.functions import scalars as fn
-from usageloom.plans.usage import Query
+from usageloom.plans.usage import Query, load
 from usageloom.sources import payloads
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _texts(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "name string, value string")
+def _id() -> Column:
+    return F.col("event_id")
+
+
+def _whole(column: Column) -> Column:
+    return column.cast("bigint").cast("string")
 
 
-CATALOG = {
-    "anthropic": {"models": {
-        "claude-opus-4-1": {"cost": {"input": 15, "output": "75"}},
-        "claude-sonnet-4-20250514": {"cost": {"input": 3, "output": 15}},
-        "claude-sonnet-4-5": {"cost": {"input": 4, "output": 16}},
-        "claude-free": {"cost": {"input": None, "output": 1}},
-    }},
-    "other": {"models": {"some-model": {"cost": {"input": 1, "output": 2}}}},
-    "claude-haiku-3-5": {"cost": {"input": 0.8, "output": 4}},
-}
+def _choice(number: Column, texts: list[str | None]) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (number % len(texts) + 1).cast("int"))
 
 
 def price_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = payloads.price_catalog(_texts(spark, [("catalog", json.dumps(CATALOG)), ("broken", "{")]))
+    """A catalogue for each part: by provider, flat, of another family, or broken."""
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("claude-m"), _whole(key % 40), F.lit("-"), F.lpad(_whole(key), 8, "0"))
+    cost = F.concat(F.lit('{"cost": {"input": '), F.col("p_size").cast("string"), F.lit(', "output": "'), F.col("p_retailprice").cast("string"), F.lit('"}}'))
+    nested = F.concat(F.lit('{"anthropic": {"models": {"'), name, F.lit('": '), cost, F.lit("}}}"))
+    flat = F.concat(F.lit('{"'), name, F.lit('": '), cost, F.lit("}"))
+    other = F.concat(F.lit('{"other": {"models": {"some-model": '), cost, F.lit("}}}"))
+    text = F.when(key % 4 == 0, nested).when(key % 4 == 1, flat).when(key % 4 == 2, other).otherwise("{broken")
+    found = payloads.price_catalog(load(spark, sf_dir, "part").select(text.alias("value")))
     return found.select("model", *[F.round(c, 12).alias(c) for c in ("price_in", "price_out")])
 
 
 QUERIES["price_catalog"] = price_catalog
-ORACLE["price_catalog"] = """SELECT model, CAST(price_in AS DOUBLE) AS price_in, CAST(price_out AS DOUBLE) AS price_out
-  FROM (VALUES ('claude-opus-4', 1.5e-5, 7.5e-5), ('claude-sonnet-4', 3e-6, 1.5e-5), ('claude-haiku-3-5', 8e-7, 4e-6)) t(model, price_in, price_out)"""
-
-RATES = [
-    ("full", {"five_hour": {"utilization": 12.5, "resets_at": "2025-12-25T12:00:00.000Z"}, "seven_day": {"utilization": 30}, "seven_day_sonnet": {"utilization": 5}}),
-    ("cascade", {"seven_day": {"utilization": 42}, "seven_day_routines": None}),
-    ("extra", {"five_hour": {"utilization": 1}, "cowork": {"utilization": 7}, "extra_usage": {"is_enabled": True, "monthly_limit": 2000, "used_credits": 520, "currency": "usd"}}),
-    ("nothing", {}),
-]
+ORACLE["price_catalog"] = """SELECT 'claude-m' || (p_partkey % 40) AS model, round(p_size / 1e6, 12) AS price_in, round(p_retailprice / 1e6, 12) AS price_out FROM part
+  WHERE p_partkey % 4 < 2 QUALIFY row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey % 4 = 0, lpad(CAST(p_partkey AS VARCHAR), 8, '0')) = 1"""
 
 
 def payload_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(name, json.dumps(x)) for name, x in RATES] + [("broken", "no json"), ("none", None)]
+    """A rate payload for each event, with the windows that its number calls for."""
+    used = lambda name, n: F.concat(F.lit(f'"{name}": {{"utilization": '), (F.col("value") / n).cast("string"), F.lit(', "resets_at": "2025-12-25T12:00:00.000Z"}'))
+    parts = F.concat_ws(
+        ", ",
+        F.when(_id() % 2 == 0, used("five_hour", 1)), F.when(_id() % 3 == 0, used("seven_day", 2)), F.when(_id() % 5 == 0, used("seven_day_sonnet", 4)),
+        F.when(_id() % 7 == 0, '"cowork": {"utilization": 7}').when(_id() % 7 == 1, '"seven_day_routines": null'),
+        F.when(_id() % 11 == 0, F.concat(F.lit('"extra_usage": {"is_enabled": true, "monthly_limit": '), _whole(_id() % 1000), F.lit(', "used_credits": 520, "currency": "usd"}'))),
+    )
+    text = F.when(_id() % 13 == 12, "no json").otherwise(F.concat(F.lit("{"), parts, F.lit("}")))
     w = F.col("w")
-    found = _texts(spark, rows).select("name", payloads.rate_windows(F.col("value")).alias("w"))
+    found = load(spark, sf_dir, "events").select("event_id", payloads.rate_windows(text).alias("w"))
     return found.select(
-        "name", w.session.utilization.alias("session"), w.session.minutes.alias("session_minutes"), w.weekly.utilization.alias("weekly"), w.sonnet.utilization.alias("sonnet"),
+        "event_id", w.session.utilization.alias("session"), w.session.minutes.alias("session_minutes"), w.weekly.utilization.alias("weekly"), w.sonnet.utilization.alias("sonnet"),
         w.dailyRoutines.utilization.alias("daily"), w.extra_usage.monthly_limit.alias("monthly_limit"), w.extra_usage.used_credits.alias("used_credits"), w.extra_usage.currency.alias("currency"),
     )
 
 
 QUERIES["payload_cascade"] = payload_cascade
-ORACLE["payload_cascade"] = """SELECT name, CAST(session AS DOUBLE) AS session, CAST(session_minutes AS INTEGER) AS session_minutes, CAST(weekly AS DOUBLE) AS weekly, CAST(sonnet AS DOUBLE) AS sonnet, CAST(daily AS DOUBLE) AS daily,
-    CAST(monthly_limit AS DOUBLE) AS monthly_limit, CAST(used_credits AS DOUBLE) AS used_credits, currency
-  FROM (VALUES ('full', 12.5, 300, 30, 5, NULL, NULL, NULL, NULL), ('cascade', 42, 300, 42, NULL, 0, NULL, NULL, NULL), ('extra', 1, 300, NULL, NULL, 7, 20, 5.2, 'USD'),
-    ('nothing', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('broken', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('none', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
-    t(name, session, session_minutes, weekly, sonnet, daily, monthly_limit, used_credits, currency)"""
-
-PANELS = [
-    ("labels", "Current session\n40% used\nCurrent week (all models)\n10% used", 40, 10),
-    ("colours", "\x1b[1mCurrent session\x1b[0m\n\x1b[31m40%\x1b[0m used\nCurrent week (all models)\n10% used", 40, 10),
-    ("left", "Current session\n12% remaining\nCurrent week\n40% remaining", 88, 60),
-    ("fractions", "Current session: 12.5% used\nCurrent week: 4.2% used", 12.5, 4.2),
-    ("session only", "Current session\n2% used", 2, 0),
-    ("positions", "55% of this\n22% of that", 55, 22),
-    ("meter", "claude | Opus 0% | default\nCurrent session\n45% used\nCurrent week\n9% used", 45, 9),
-    ("nothing", "no figures here", None, None),
-    ("empty", "", None, None),
-]
+ORACLE["payload_cascade"] = """WITH w AS (SELECT event_id, event_id % 13 < 12 AS ok, CASE WHEN event_id % 2 = 0 THEN value END AS five, CASE WHEN event_id % 3 = 0 THEN value / 2 END AS seven,
+    CASE WHEN event_id % 5 = 0 THEN value / 4 END AS son FROM events)
+  SELECT event_id, CASE WHEN ok THEN coalesce(five, seven, son) END AS session, CASE WHEN ok AND coalesce(five, seven, son) IS NOT NULL THEN 300 END AS session_minutes,
+    CASE WHEN ok THEN seven END AS weekly, CASE WHEN ok THEN son END AS sonnet, CASE WHEN ok AND event_id % 7 = 0 THEN 7.0::DOUBLE WHEN ok AND event_id % 7 = 1 THEN 0.0::DOUBLE END AS daily,
+    CASE WHEN ok AND event_id % 11 = 0 THEN (event_id % 1000) / 100.0::DOUBLE END AS monthly_limit, CASE WHEN ok AND event_id % 11 = 0 THEN 5.2::DOUBLE END AS used_credits,
+    CASE WHEN ok AND event_id % 11 = 0 THEN 'USD' END AS currency FROM w"""
 
 
 def panel_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = payloads.panel(F.col("value"))
-    return _texts(spark, [x[:2] for x in PANELS]).select("name", p.session.alias("session"), p.weekly.alias("weekly"))
-
-
-def _literal(x: object) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    """A terminal panel for each event, in one of six forms."""
+    u, w = _whole(_id() % 101), _whole(_id() % 57)
+    forms = [
+        F.concat(F.lit("Current session\n"), u, F.lit("% used\nCurrent week (all models)\n"), w, F.lit("% used")),
+        F.concat(F.lit("\x1b[1mCurrent session\x1b[0m\n\x1b[31m"), u, F.lit("%\x1b[0m used\nCurrent week\n"), w, F.lit(" % used")),
+        F.concat(F.lit("Current session\n"), u, F.lit("% remaining\r\nCurrent week\n"), w, F.lit("% left")),
+        F.concat(u, F.lit("% of this\n"), w, F.lit("% of that")),
+        F.concat(F.lit("name | Opus 0% | default\nCurrent session: "), w, F.lit(".5% used")),
+        F.lit("no figures here"),
+    ]
+    text = F.element_at(F.array(*forms), (_id() % 6 + 1).cast("int"))
+    p = payloads.panel(text)
+    return load(spark, sf_dir, "events").select("event_id", p.session.alias("session"), p.weekly.alias("weekly"))
 
 
 QUERIES["panel_scrape"] = panel_scrape
-
-RELEASES = [
-    ("zip", {"tag_name": "v1.2.0", "assets": [{"name": "a.dmg", "browser_download_url": "u1"}, {"name": "A.ZIP", "browser_download_url": "u2"}]}, "1.2.0", "u2"),
-    ("no zip", {"tag_name": "1.3", "assets": []}, "1.3", None),
-]
+ORACLE["panel_scrape"] = """SELECT event_id, CAST(CASE event_id % 6 WHEN 2 THEN 100 - event_id % 101 WHEN 4 THEN event_id % 57 + 0.5 WHEN 5 THEN NULL ELSE event_id % 101 END AS DOUBLE) AS session,
+    CAST(CASE event_id % 6 WHEN 2 THEN 100 - event_id % 57 WHEN 4 THEN 0 WHEN 5 THEN NULL ELSE event_id % 57 END AS DOUBLE) AS weekly FROM events"""
 
 
 def release_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = payloads.release(F.col("value"))
-    return _texts(spark, [(x[0], json.dumps(x[1])) for x in RELEASES]).select("name", r.version.alias("version"), r.url.alias("url"))
+    """A release feed for each event."""
+    version = F.concat_ws(".", _whole(_id() % 3), _whole(_id() % 19), _whole(_id() % 7))
+    asset = lambda name: F.concat(F.lit(f'{{"name": "{name}", "browser_download_url": "u/'), _whole(_id()), F.lit(f'/{name}"}}'))
+    assets = F.when(_id() % 3 == 0, F.concat_ws(", ", asset("a.dmg"), asset("A.ZIP"))).when(_id() % 3 == 1, "").otherwise(F.concat_ws(", ", asset("b.zip"), asset("c.zip")))
+    feed = F.concat(F.lit('{"tag_name": "'), F.when(_id() % 2 == 0, "v").otherwise(""), version, F.lit('", "assets": ['), assets, F.lit("]}"))
+    r = payloads.release(F.when(_id() % 17 != 0, feed).otherwise("{"))
+    return load(spark, sf_dir, "events").select("event_id", r.version.alias("version"), r.url.alias("url"))
 
 
 QUERIES["release_feed"] = release_feed
-ORACLE["release_feed"] = f"SELECT * FROM (VALUES {', '.join(f'({_literal(n)}, {_literal(v)}, {_literal(u)})' for n, _, v, u in RELEASES)}) t(name, version, url)"
-
-PLANS = [("Claude Max", None, "max", 200.0), ("pro", "x", "pro", 20.0), ("maximal", "tier_team_5x", "team", None), (None, "default_claude_max_20x", "max", 200.0), (None, None, None, None)]
+ORACLE["release_feed"] = """SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN concat_ws('.', event_id % 3, event_id % 19, event_id % 7) END AS version,
+    CASE WHEN event_id % 17 = 0 OR event_id % 3 = 1 THEN NULL ELSE 'u/' || event_id || CASE WHEN event_id % 3 = 0 THEN '/A.ZIP' ELSE '/b.zip' END END AS url FROM events"""
 
 
 def plan_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([x[:2] for x in PLANS], "subscription string, tier string")
-    plan = fn.plan_of(F.col("subscription"), F.col("tier"))
-    return rows.select("subscription", "tier", plan.alias("plan"), fn.plan_price(plan).alias("price"))
+    subscription = _choice(_id(), ["Claude Max", "pro", "maximal", "Team plan", "", None])
+    tier = _choice(_id(), ["x", "tier_team_5x", "default_claude_max_20x", "ENTERPRISE", None])
+    plan = fn.plan_of(subscription, tier)
+    return load(spark, sf_dir, "events").select("event_id", plan.alias("plan"), fn.plan_price(plan).alias("price"))
 
 
 QUERIES["plan_names"] = plan_names
-ORACLE["plan_names"] = f"SELECT subscription, tier, plan, CAST(price AS DOUBLE) AS price FROM (VALUES {', '.join('(' + ', '.join(map(_literal, x)) + ')' for x in PLANS)}) t(subscription, tier, plan, price)"
-
-COUNTS = [(0, "0", "0"), (999, "999", "999"), (500_000, "500.0K", "500K"), (1_000_000, "1.0M", "1.0M"), (4_888_600_000, "4.9B", "4.9B"), (27_000, "27.0K", "27K")]
+ORACLE["plan_names"] = """WITH p AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'max' WHEN 1 THEN 'pro' WHEN 3 THEN 'team' ELSE CASE event_id % 5 WHEN 1 THEN 'team' WHEN 2 THEN 'max' WHEN 3 THEN 'enterprise' END END AS plan FROM events)
+  SELECT event_id, plan, CASE plan WHEN 'max' THEN 200.0::DOUBLE WHEN 'pro' THEN 20.0::DOUBLE END AS price FROM p"""
 
 
 def count_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x[0],) for x in COUNTS], "n long")
-    return rows.select("n", fmt.count_text(F.col("n")).alias("long_text"), fmt.short_count_text(F.col("n")).alias("short_text"), fmt.compact_currency(F.col("n") / 4).alias("money"))
+    n = F.col("n")
+    rows = load(spark, sf_dir, "events").select("event_id", (_id() * 7919 % 100003 * F.pow(F.lit(10.0), _id() % 6).cast("long")).alias("n"))
+    return rows.select("event_id", fmt.count_text(n).alias("long_text"), fmt.short_count_text(n).alias("short_text"), fmt.compact_currency(n / 4).alias("money"), fmt.percent_text(n % 1000 / 1000).alias("percent"))
 
 
 QUERIES["count_texts"] = count_texts
-_MONEY = ["$0.00", "$249.75", "$125.0K", "$250.0K", "$1222150.0K", "$6.8K"]
-ORACLE["count_texts"] = f"SELECT CAST(n AS BIGINT) AS n, long_text, short_text, money FROM (VALUES {', '.join('(' + ', '.join(map(_literal, (*x, m))) + ')' for x, m in zip(COUNTS, _MONEY, strict=True))}) t(n, long_text, short_text, money)"
-
-RETRIES = [("120", 120.0), ("1.5", 1.5), ("Thu, 01 Jan 2026 00:10:00 GMT", 600.0), ("soon", None), (None, None)]
+ORACLE["count_texts"] = """WITH c AS (SELECT event_id, event_id * 7919 % 100003 * CAST(pow(10, event_id % 6) AS BIGINT) AS n FROM events),
+    t AS (SELECT *, (n + 50) // 100 AS k, (n + 50000) // 100000 AS m, (n + 50000000) // 100000000 AS b, (n + 200) // 400 AS q FROM c),
+    s AS (SELECT *, CASE WHEN n < 1000000000 THEN printf('%d.%dM', m // 10, m % 10) ELSE printf('%d.%dB', b // 10, b % 10) END AS large FROM t)
+  SELECT event_id, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN printf('%d.%dK', k // 10, k % 10) ELSE large END AS long_text,
+    CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN printf('%dK', (n + 500) // 1000) ELSE large END AS short_text,
+    CASE WHEN n >= 4000 THEN printf('$%d.%dK', q // 10, q % 10) ELSE printf('$%d.%02d', n // 4, n % 4 * 25) END AS money, printf('%d.%d%%', n % 1000 // 10, n % 10) AS percent FROM s"""
 
 
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([x[:1] for x in RETRIES], "header string")
-    now = F.lit("2026-01-01T00:00:00Z").cast("timestamp")
-    return rows.select("header", ((F.unix_micros(fn.retry_at(F.col("header"), now)) - F.unix_micros(now)) / 1e6).alias("seconds"))
+    now = F.lit("2024-01-01T00:00:00Z").cast("timestamp")
+    date = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    header = F.when(_id() % 4 == 0, _whole(_id() % 5000)).when(_id() % 4 == 1, F.concat(F.lit(" "), _whole(_id() % 100), F.lit(".5"))).when(_id() % 4 == 2, date).when(_id() % 8 == 3, "soon")
+    return load(spark, sf_dir, "events").select("event_id", ((F.unix_micros(fn.retry_at(header, now)) - F.unix_micros(now)) / 1e6).alias("seconds"))
 
 
 QUERIES["retry_after"] = retry_after
-ORACLE["retry_after"] = f"SELECT header, CAST(seconds AS DOUBLE) AS seconds FROM (VALUES {', '.join('(' + ', '.join(map(_literal, x)) + ')' for x in RETRIES)}) t(header, seconds)"
-
-_rows = ", ".join("(" + ", ".join(map(_literal, (name, a, b))) + ")" for name, _, a, b in PANELS)
-ORACLE["panel_scrape"] = f"SELECT name, CAST(session AS DOUBLE) AS session, CAST(weekly AS DOUBLE) AS weekly FROM (VALUES {_rows}) t(name, session, weekly)"
+ORACLE["retry_after"] = """SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 5000 WHEN 1 THEN event_id % 100 + 0.5
+    WHEN 2 THEN (epoch_us(date_trunc('second', ts)) - 1704067200000000) / 1000000 END AS DOUBLE) AS seconds FROM events"""

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.operators import aggregates as agg
 from usageloom.operators.clean import clean_usage, priced
-from usageloom.plans.usage import BY_DAY, COST, DAYS, TODAY, Query, _total, load, usage_sql
+from usageloom.operators import dashboard as dash
+from usageloom.operators.result_cache import cached_result, kept_catalog
+from usageloom.plans.fixtures import ORACLE as PARSED
+from usageloom.plans.fixtures import price_catalog
+from usageloom.plans.usage import BY_DAY, COST, DAYS, TODAY, Query, _total, load, rows, usage_sql
+from usageloom.plans.usage import ORACLE as USAGE_ORACLE
 from usageloom.sources.folders import scratch
-from usageloom.sources.usage import modified_floor, parse_lines, read_lines, write_logs
+from usageloom.sources.usage import log_roots, modified_floor, parse_lines, read_lines, write_logs
 from usageloom.streaming.alerts import alerts
 from usageloom.streaming.tail import stored_costs, tail_costs
 
@@ -33,6 +40,81 @@ QUERIES["log_scan"] = log_scan
 ORACLE["log_scan"] = f"WITH {usage_sql()}, {BY_DAY} SELECT * FROM bdm"
 
 
+def _never() -> DataFrame:
+    raise AssertionError("the stored result is there")
+
+
+def cached_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up from log files, stored by period and listing; the second time it is only read."""
+    logs, store = _logs(spark, sf_dir), scratch(spark, "results")
+    whole = lambda: agg.by_day_model(priced(clean_usage(parse_lines(read_lines(spark, [logs], pattern="*.txt")), TODAY, DAYS)))
+    cached_result(spark, store, f"{DAYS}d", [logs], whole, "*.txt")
+    return cached_result(spark, store, f"{DAYS}d", [logs], _never, "*.txt")
+
+
+QUERIES["cached_scan"] = cached_scan
+ORACLE["cached_scan"] = ORACLE["log_scan"]
+
+
+def roots_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs in two folders, one of which is named twice: each counts once."""
+    events, named = load(spark, sf_dir, "events"), [scratch(spark, "roots"), scratch(spark, "roots")]
+    for i, root in enumerate(named):
+        write_logs(events.where(F.col("user_id") % 7 % 2 == i), f"{root}/projects")
+    roots = log_roots([f"{named[0]}/projects"], {"LOGS": f"{named[1]}, {named[0]}/projects"}, "LOGS", extra=f"{named[1]}/projects/")
+    return agg.by_project(priced(clean_usage(parse_lines(read_lines(spark, roots, pattern="*.txt")), TODAY, DAYS)))
+
+
+QUERIES["roots_scan"] = roots_scan
+ORACLE["roots_scan"] = f"WITH {usage_sql()} SELECT project, {COST} AS cost, {_total('volume')} AS tokens FROM rows GROUP BY project"
+
+
+def session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session of a line: its own, under either name, or else its file's."""
+    e = load(spark, sf_dir, "events")
+    name = F.concat(F.lit("s"), F.col("event_id").cast("string"))
+    line = F.struct(
+        F.lit("assistant").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.when(F.col("event_id") % 3 == 0, name).alias("sessionId"), F.when(F.col("event_id") % 2 == 0, F.concat(name, F.lit("x"))).alias("session_id"),
+        F.struct(F.lit("m").alias("model"), F.struct(F.col("event_id").alias("input_tokens")).alias("usage")).alias("message"),
+    )
+    file = F.concat(F.lit("/logs/p.1/f"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, ".jsonl").otherwise(".txt"))
+    lines = e.select(file.alias("file"), F.col("event_id").alias("offset"), F.to_json(line).alias("value"))
+    return parse_lines(lines).select(F.col("offset").alias("event_id"), "session_id", "input_tokens")
+
+
+QUERIES["session_names"] = session_names
+ORACLE["session_names"] = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 's' || event_id WHEN event_id % 2 = 0 THEN 's' || event_id || 'x' ELSE 'f' || user_id || CASE WHEN user_id % 2 = 0 THEN '' ELSE '.txt' END END AS session_id,
+  event_id AS input_tokens FROM events"""
+
+
+def csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export, written as one file under its name and read again."""
+    path = f"{scratch(spark, 'export')}/{dash.export_name(DAYS, TODAY)}"
+    dash.write_csv(dash.daily_axis(agg.by_day_model(rows(spark, sf_dir)), TODAY, DAYS), path)
+    found = spark.read.option("header", "true").schema("date string, cost_usd string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long").csv(path)
+    return found.withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1))
+
+
+QUERIES["csv_file"] = csv_file
+ORACLE["csv_file"] = f"SELECT *, 'claude-usage-{DAYS}d-{TODAY}.csv' AS file FROM ({USAGE_ORACLE['csv_rows']})"
+
+
+def catalog_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of prices that is fetched once, kept for a day, and outlives failures after that."""
+    store, start = scratch(spark, "catalog"), dt.datetime(2024, 1, 30)
+
+    def broken() -> DataFrame:
+        raise OSError("no answer")
+
+    for hours, fetch in ((0, lambda: price_catalog(spark, sf_dir)), (23, _never), (25, broken)):
+        found = kept_catalog(spark, store, fetch, start + dt.timedelta(hours=hours))
+    return found
+
+
+QUERIES["catalog_store"] = catalog_store
+ORACLE["catalog_store"] = PARSED["price_catalog"]
+
+
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost partials of a stream over the log files, added up."""
     logs, store = _logs(spark, sf_dir), scratch(spark, "costs")

@@ -134,6 +134,26 @@ _add(
           WHEN floor((t + 0.25) / 3600 + 0.5) < 24 THEN printf('%dh ago', CAST(floor((t + 0.25) / 3600 + 0.5) AS BIGINT)) ELSE printf('%dd ago', CAST(floor((t + 0.25) / 86400 + 0.5) AS BIGINT)) END AS updated,
         CASE WHEN f < 60 THEN printf('~%dmin', f) ELSE printf('~%dh %dm', f // 60, f % 60) END AS forecast FROM m""",
 )
+_add(
+    "menu_texts", "events",
+    lambda: [
+        "event_id",
+        fmt.menu_text(F.element_at(F.array(*[F.lit(x) for x in ("percentRemaining", "costToday", "timeUntilReset", "icon")]), (e_id() % 4 + 1).cast("int")), F.when(e_id() % 3 > 0, 100 - value()), F.floor(value()) + 0.25, age() - 100).alias("menu"),
+        fmt.title_text(F.when(e_id() % 3 > 0, F.floor(100 - value())), F.when(e_id() % 4 > 0, (e_id() % 9 - 4).cast("double"))).alias("title"),
+        fmt.reset_line(F.when(e_id() % 5 > 0, F.col("ts")), age(), e_id() % 2 == 0).alias("resets"),
+        fmt.percent_line(F.floor(F.least(F.lit(100.0), value())) + 0.25, e_id() % 2 == 0).alias("percent"),
+        fmt.busiest_text(F.when(e_id() % 7 > 0, e_id() % 9), F.floor(value()) + 0.5).alias("busiest"),
+    ],
+    """WITH s AS (SELECT event_id, ts, value, event_id * 7919 % 300000 AS t, event_id * 7919 % 300000 - 100 AS r, greatest(1, (event_id * 7919 % 300000 + 59) // 60) AS c, CAST(floor(value) AS BIGINT) AS v,
+        greatest(0, CAST(floor(100 - value) AS BIGINT)) AS l, event_id % 9 - 4 AS p FROM events)
+      SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 3 > 0 THEN printf('%d%%', CAST(floor(greatest(0.0, 100 - value) + 0.5) AS BIGINT)) END WHEN 1 THEN printf('$%d.25', v)
+          WHEN 2 THEN CASE WHEN r <= 0 THEN NULL WHEN r >= 3600 THEN printf('%dh%02d', r // 3600, r // 60 % 60) ELSE printf('%dmin', r // 60) END END AS menu,
+        CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 4 > 0 AND p > 0 THEN printf('%d%% · +%d%%', l, p) ELSE printf(' %d%%', l) END END AS title,
+        CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 2 = 0 THEN 'Resets ' || strftime(ts, '%H:%M') ELSE 'Resets in ' || CASE WHEN c >= 1440 AND c // 60 % 24 > 0 THEN printf('%dd %dh', c // 1440, c // 60 % 24)
+          WHEN c >= 1440 THEN printf('%dd', c // 1440) WHEN c >= 60 AND c % 60 > 0 THEN printf('%dh %dm', c // 60, c % 60) WHEN c >= 60 THEN printf('%dh', c // 60) ELSE printf('%dm', c) END END END AS resets,
+        CASE WHEN event_id % 2 = 0 THEN printf('%d%% used', least(100, v)) ELSE printf('%d%% left', 100 - least(100, v)) END AS percent,
+        CASE WHEN event_id % 7 = 0 THEN '—' ELSE coalesce(['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday'][event_id % 9 + 1], CAST(event_id % 9 AS VARCHAR)) || printf(' · $%d.50', v) END AS busiest FROM s""",
+)
 _add(
     "staleness", "events", lambda: ["event_id", stale().alias("stale"), fn.is_critical(stale(), broken(), 100 - value(), F.when(e_id() % 2 == 0, k())).alias("critical")],
     """SELECT event_id, stale, NOT stale AND event_type <> 'error' AND (100 - value <= 10 OR (event_id % 2 = 0 AND CAST(json_extract_string(props, '$.k') AS DOUBLE) <= 10)) AS critical

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usageloom.functions import formatting as fmt
 from usageloom.operators import series as s
 from usageloom.plans.usage import Query, load
+from usageloom.sources.folders import scratch
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -164,6 +166,68 @@ _add(
 )
 
 
+def pace_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pace_status(spark, sf_dir)
+    return p.select("event_id", fmt.pace_label(F.col("status"), F.col("delta"), F.col("expected")).alias("label"), fmt.run_out_label(F.col("lasts"), F.col("run_out_seconds")).alias("run_out"))
+
+
+QUERIES["pace_labels"] = pace_labels
+ORACLE["pace_labels"] = f"""WITH told AS ({ORACLE['pace_status']}), whole AS (SELECT *, CAST(floor(abs(delta) + 0.5) AS BIGINT) AS size, CAST(floor(run_out_seconds + 0.5) AS BIGINT) AS t FROM told)
+  SELECT event_id, CASE status WHEN 'onPace' THEN 'On pace' WHEN 'deficit' THEN printf('%d%% in deficit', size) ELSE printf('%d%% in reserve', size) END || printf(' - %d%%', CAST(floor(expected + 0.5) AS BIGINT)) AS label,
+    CASE WHEN lasts THEN 'Lasts until reset' WHEN run_out_seconds <= 0 THEN 'Runs out now' WHEN t < 60 THEN 'Runs out in now' WHEN t >= 86400 THEN printf('Runs out in %dd %dh', t // 86400, t % 86400 // 3600)
+      WHEN t >= 3600 THEN printf('Runs out in %dh %dm', t // 3600, t % 3600 // 60) WHEN t IS NOT NULL THEN printf('Runs out in %dm', t // 60) END AS run_out FROM whole"""
+
+
+def forecast_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a list of three windows' forecasts that of the one asked for, and whether it is shown."""
+    id_ = F.col("event_id")
+    minutes = lambda n: F.when(id_ % (n + 4) == 0, float("inf")).when(id_ % (n + 4) > 1, F.col("used") - n)
+    every = F.array(*[F.struct(F.lit(w).alias("window_id"), minutes(n).alias("minutes")) for n, w in enumerate(("session", "weekly", "session"))])
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("session", "weekly", "opus")]), (id_ % 3 + 1).cast("int"))
+    found = samples(spark, sf_dir).select("event_id", asked.alias("asked"), s.forecast_of(every, asked).minutes.alias("minutes"))
+    mode = F.when(id_ % 5 < 2, "text").when(id_ % 5 < 4, "bar").otherwise("none")
+    return found.select("event_id", "asked", "minutes", fmt.shows_forecast(mode, id_ % 2 == 0, F.col("minutes")).alias("shown"))
+
+
+_add(
+    "forecast_gate", forecast_gate,
+    """SELECT event_id, asked, minutes, (event_id % 5 < 2 OR (event_id % 5 < 4 AND event_id % 2 = 1)) AND coalesce(minutes >= 0 AND minutes < CAST('inf' AS DOUBLE), false) AS shown FROM told""",
+    """told AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'session' WHEN 1 THEN 'weekly' ELSE 'opus' END AS asked,
+      CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 4 = 0 THEN CAST('inf' AS DOUBLE) WHEN event_id % 4 > 1 THEN used END
+        WHEN 1 THEN CASE WHEN event_id % 5 = 0 THEN CAST('inf' AS DOUBLE) WHEN event_id % 5 > 1 THEN used - 1 END END AS minutes FROM samples)""",
+)
+
+
+def alert_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages that threshold and depletion edges post, with their ids."""
+    before = edges(spark, sf_dir).withColumn("window_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    crossed = s.crossed_threshold(F.col("remaining"), F.col("previous"), F.array(*[F.lit(t) for t in THRESHOLDS])).cast("string")
+    due = F.array_compact(F.array(crossed, s.depletion_edge(F.col("remaining"), F.col("previous"))))
+    post = fmt.alert_post(F.col("window_id"), F.col("alert"), F.col("remaining"))
+    return before.withColumn("alert", F.explode(due)).withColumn("post", post).select("event_id", F.col("post.id").alias("post_id"), F.col("post.body").alias("body"))
+
+
+_add(
+    "alert_posts", alert_posts,
+    """SELECT event_id, 'threshold-u' || user_id || '-' || t AS post_id, printf('u%d at %d%% remaining', user_id, CAST(floor(greatest(remaining, 0) + 0.5) AS BIGINT)) AS body FROM
+      (SELECT *, CASE WHEN remaining <= 20 AND (previous IS NULL OR previous > 20) THEN 20 WHEN remaining <= 50 AND (previous IS NULL OR previous > 50) THEN 50 END AS t FROM lagged) WHERE t IS NOT NULL
+    UNION ALL SELECT event_id, e || '-u' || user_id, 'u' || user_id || CASE e WHEN 'depleted' THEN ' quota exhausted' ELSE ' quota restored' END FROM
+      (SELECT *, CASE WHEN remaining <= 0.0001 AND NOT coalesce(previous <= 0.0001, false) THEN 'depleted' WHEN remaining > 0.0001 AND coalesce(previous <= 0.0001, false) THEN 'restored' END AS e FROM lagged) WHERE e IS NOT NULL""",
+    LAGGED,
+)
+
+
+def sample_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history of each window after two runs, each of which adds what it has seen."""
+    store, every = scratch(spark, "samples"), samples(spark, sf_dir).select("user_id", "ts", "event_id", "used")
+    for half in (0, 1):
+        s.add_samples(every.where(F.col("event_id") % 2 == half), "user_id", ORDER, store, half)
+    return s.stored_samples(spark, store, 1).select("user_id", "event_id", "used")
+
+
+_add("sample_store", sample_store, "SELECT user_id, event_id, used FROM aged WHERE age <= 20", AGED)
+
+
 def hottest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     session, weekly = F.when(F.col("event_id") % 5 != 0, F.col("used")), F.when(F.col("event_id") % 3 != 0, F.col("used") * 1.5 - 10)
     return samples(spark, sf_dir).select("event_id", F.get(s.hottest_first(session, weekly), 0).alias("hottest"))
