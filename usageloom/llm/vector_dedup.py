@@ -1,14 +1,20 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard.
 
 Equal vectors are collapsed first. The distinct ones are dealt to shards by hash; each shard's graph is built by one task
-and written as a file to the shared folder. Every block of queries then searches every shard: many queries walk a graph
-in step, so that each hop is one array operation. Before that, a sample of queries is audited against brute force in all shards,
+and written as a file to the shared folder. All vectors then search every shard: many queries walk a graph in step, so
+that each hop is one array operation. Before that, a sample of queries is audited against brute force in all shards,
 their own rows left out, until LEAST_LINKS true links are seen; the beam is the least that finds RECALL of them. A query whose
-whole beam links, so that more may, is compared with the whole shard. Links are verified by cosine in double precision; what leaves a task is a forest of its links and their numbers.
+whole beam links, so that more may, is compared with the whole shard. Links are verified by cosine in double precision.
+
+A shard's vectors search their own shard first, which gives its components. Then parts of its vectors search the other
+shards, each of which a task loads once: there a link counts for its query, but as an edge only the two components that
+it joins go on, each pair once. So what leaves the tasks is a forest of each shard, and few edges between shards even
+where a group of near copies is in all of them.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept; vectors
-of different lengths never link; equal vectors link with each other; rows with a null id take part but never name a
-component; rows that repeat an id each count. An empty table gives an empty result.
+of different lengths never link, and a vector of any length is compared whole; equal vectors link with each other; rows
+with a null id take part but never name a component; rows that repeat an id each count. An empty table gives an empty
+result. Columns other than the two named are ignored.
 """
 
 import hashlib
@@ -26,8 +32,9 @@ from usageloom.llm.shared import col, scratch, stored
 from usageloom.llm.warc import _filesystem
 
 THRESHOLD = 0.9
-#: Shards of about SHARD_ROWS vectors (some 25 MB at 64 dimensions), LEAST_SHARDS at least.
-LEAST_SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 32_768, 2048
+#: Shards have about SHARD_BYTES of vectors (65,536 at 64 dimensions), and there are LEAST_SHARDS at least; a task's
+#: queries have QUERY_BYTES, and what it compares by brute force at once gives MATRIX_BYTES of cosines.
+LEAST_SHARDS, SHARD_BYTES, QUERY_BYTES, MATRIX_BYTES = 6, 32 << 20, 8 << 20, 32 << 20
 LINKS, BASE_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 48
 #: The beam doubles up to WIDEST until its recall of the audited links is RECALL; brute force takes over if none has it.
 RECALL, WIDEST = 0.99, 384
@@ -178,14 +185,19 @@ def _walked(graph: Graph, units: np.ndarray, q: np.ndarray, beam: int) -> tuple[
     return who[exact], row[exact], np.flatnonzero(sims[:, -1] >= THRESHOLD - 1e-4)
 
 
+def _matrix_rows(units: np.ndarray) -> int:
+    return max(1, MATRIX_BYTES // (8 * max(len(units), 1)))
+
+
 def audit(graph: Graph, units: np.ndarray, queries: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int]]:
     """For each beam (beam, true links, those found) of the queries that the beam decides; their own rows don't count.
 
     Queries that are compared with the whole shard anyway are no evidence for the graph, and neither are those without links.
     """
     linked, truth = [], []
-    for start in range(0, len(queries), STEP_QUERIES):
-        q, at = queries[start : start + STEP_QUERIES], own[start : start + STEP_QUERIES]
+    step = _matrix_rows(units)
+    for start in range(0, len(queries), step):
+        q, at = queries[start : start + step], own[start : start + step]
         true = q @ units.T >= THRESHOLD
         true[np.flatnonzero(at >= 0), at[at >= 0]] = False
         some = np.flatnonzero(true.any(axis=1))[: WALKED - len(linked)]
@@ -230,9 +242,13 @@ def links_in_shard(graph: Graph, units: np.ndarray, queries: np.ndarray, own: np
         else:
             who, row, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(q))
         open_ = ~np.isin(who, rest)
-        more_q, more_r = np.nonzero(q[rest] @ units.T >= THRESHOLD)
-        found_q += [who[open_] + start, rest[more_q] + start]
-        found_r += [row[open_], more_r]
+        found_q.append(who[open_] + start)
+        found_r.append(row[open_])
+        step = _matrix_rows(units)
+        for part in (rest[i : i + step] for i in range(0, len(rest), step)):
+            more_q, more_r = np.nonzero(q[part] @ units.T >= THRESHOLD)
+            found_q.append(part[more_q] + start)
+            found_r.append(more_r)
     who, row = np.concatenate(found_q), np.concatenate(found_r)
     other = own[who] != row
     return who[other], row[other]
@@ -267,17 +283,14 @@ def _builder(folder: str):
         name = f"{uuid.uuid4().hex}.npz"
         with fs.open_output_stream(f"{path}/{name}", compression=None) as f:
             f.write(Graph(units).dump(units=units, copies=copies, digests=np.frombuffer(b"".join(digests), np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array([units.shape[1]], pa.int32()), pa.array([f"{folder}/{name}"])], ["size", "file"])
+        yield pa.RecordBatch.from_arrays([pa.array([units.shape[1]], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(units)], pa.int64())], ["size", "file", "n"])
 
     return build
 
 
-def _forest(names: list[bytes], i: np.ndarray, j: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    label = least_labels(len(names), i, j)
-    linked = np.unique(np.concatenate([i, j]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([names[x] for x in linked], pa.binary()), pa.array([names[label[x]] for x in linked], pa.binary()), pa.array(n[linked].astype(np.int64))], ["a", "b", "n"]
-    )
+def _edges(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["a", "b", "n"])
 
 
 def _opened(file: str) -> tuple[dict, list[bytes]]:
@@ -318,7 +331,7 @@ def beam_of_each_size(distinct: DataFrame, files: DataFrame) -> dict[int, int]:
             rows = distinct.where(F.octet_length("vector") == 8 * size).orderBy(F.xxhash64("digest", F.lit(n)), "digest").limit(n)
             sample[size] = [(bytes(r[0]), bytes(r[1])) for r in rows.select("digest", "vector").collect()]
         cast = spark.sparkContext.broadcast(sample)
-        todo = files.where(F.col("size").isin(list(sample))).repartition(n_files)
+        todo = files.where(F.col("size").isin(list(sample))).repartitionByRange(max(1, n_files), "file")
         pooled = todo.mapInArrow(_auditor(cast), "size int, beam long, seen long, found long").groupBy("size", "beam").agg(F.sum("seen"), F.sum("found")).collect()
         for size in sample:
             beam = decided({r[1]: (r[2], r[3]) for r in pooled if r[0] == size}, sizes[size] <= n)
@@ -328,31 +341,52 @@ def beam_of_each_size(distinct: DataFrame, files: DataFrame) -> dict[int, int]:
     return {size: chosen.get(size, 0) for size in sizes}
 
 
-def _searcher(shards: list[tuple[int, str]], beam: dict[int, int]):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own_links(beam: dict[int, int]):
+    """For each shard (a row with its file): a forest of the links in it and their numbers; its components are written beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, BLOCK_ROWS) for i in range(0, batch.num_rows, BLOCK_ROWS)):
-                digests, vectors = part.column("digest").to_pylist(), part.column("vector").to_pylist()
-                for size in sorted({len(v) // 8 for v in vectors}):
-                    mine = [i for i, v in enumerate(vectors) if len(v) == 8 * size]
-                    queries = np.frombuffer(b"".join(vectors[i] for i in mine)).reshape(-1, size)
-                    names = [digests[i] for i in mine]
-                    for _, file in (s for s in shards if s[0] == size):
-                        found, theirs = _opened(file)
-                        units = found["units"]
-                        place = {d: i for i, d in enumerate(theirs)}
-                        own = np.array([place.get(d, -1) for d in names])
-                        who, row = links_in_shard(Graph.load(found, units), units, queries, own, beam[size])
-                        # A query that is in the shard itself is one node, not two.
-                        number = {d: i for i, d in enumerate(names)}
-                        extra = sorted({theirs[r] for r in row.tolist()} - set(number))
-                        number |= {d: len(names) + i for i, d in enumerate(extra)}
-                        to = np.array([number[theirs[r]] for r in row.tolist()], np.int64)
-                        n = np.bincount(who, weights=found["copies"][row], minlength=len(number))
-                        if len(who):
-                            yield _forest([*names, *extra], who, to, n)
-
-    return search
+            for size, file in zip(batch.column("size").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                found, names = _opened(file)
+                units, copies = found["units"], found["copies"]
+                who, row = links_in_shard(Graph.load(found, units), units, units, np.arange(len(units)), beam[size])
+                label, n = least_labels(len(units), who, row), np.bincount(who, weights=copies[row], minlength=len(units)).astype(np.int64)
+                fs, path = _filesystem(file)
+                with fs.open_output_stream(f"{path}.labels", compression=None) as f:
+                    f.write(label.astype(np.int32).tobytes())
+                linked = np.union1d(who, row)
+                yield _edges([(names[x], names[label[x]], int(n[x])) for x in linked])
+
+    return run
+
+
+def _labels(file: str) -> np.ndarray:
+    fs, path = _filesystem(f"{file}.labels")
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read(), np.int32)
+
+
+def _cross_links(shards: list[tuple[int, str]], beam: dict[int, int]):
+    """For each part (file, first, stop) of a shard: its components' edges to those of other shards, and its vectors' links there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.to_pylist():
+                mine, names = _opened(part["file"])
+                at = slice(part["first"], part["stop"])
+                queries, own = mine["units"][at], _labels(part["file"])[at]
+                n, none = np.zeros(len(queries), np.int64), np.full(len(queries), -1)
+                for size, file in shards:
+                    if size != part["size"] or file == part["file"]:
+                        continue
+                    found, theirs = _opened(file)
+                    who, row = links_in_shard(Graph.load(found, found["units"]), found["units"], queries, none, beam[size])
+                    n += np.bincount(who, weights=found["copies"][row], minlength=len(n)).astype(np.int64)
+                    pairs = np.unique(np.stack([own[who], _labels(file)[row]], axis=1), axis=0) if len(who) else np.zeros((0, 2), int)
+                    yield _edges([(names[a], theirs[b], 0) for a, b in pairs.tolist()])
+                yield _edges([(names[part["first"] + i], names[part["first"] + i], int(n[i])) for i in np.flatnonzero(n)])
+
+    return run
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -363,15 +397,22 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors = stored(raw.mapInArrow(_valid, f"id {id_type}, digest binary, vector binary"), "vectors")
     known = vectors.where("digest is not null")
     distinct = stored(known.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.first("vector").alias("vector")), "distinct-vectors")
-    n_shards = max(LEAST_SHARDS, -(-distinct.count() // SHARD_ROWS))
+    n_bytes = distinct.agg(F.sum(F.octet_length("vector"))).first()[0] or 0
+    n_shards = max(LEAST_SHARDS, -(-n_bytes // SHARD_BYTES))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(n_shards))).withColumn("size", F.octet_length("vector"))
     folder = scratch(spark, "graphs")
-    built = dealt.groupBy("size", "shard").applyInArrow(_builder(folder), "size int, file string")
+    built = dealt.groupBy("size", "shard").applyInArrow(_builder(folder), "size int, file string, n long")
     files = stored(built, "graph-files")
     shards = [(r[0], r[1]) for r in files.orderBy("file").collect()]  # a row for each shard
     beam = beam_of_each_size(distinct, files)
-    n_blocks = max(1, -(-distinct.count() // BLOCK_ROWS), spark.sparkContext.defaultParallelism)
-    queries = distinct.select("digest", "vector").repartition(n_blocks, "digest")
-    links = stored(queries.mapInArrow(_searcher(shards, beam), "a binary, b binary, n bigint"), "vector-links")
+    own = stored(files.repartitionByRange(max(1, len(shards)), "file").mapInArrow(_own_links(beam), "a binary, b binary, n bigint"), "own-links")
+    # Parts of QUERY_BYTES at most, and so many that all tasks have some.
+    spread = -(-4 * spark.sparkContext.defaultParallelism // max(1, len(shards)))
+    rows = F.least(F.ceil(F.col("n") / spread), F.floor(F.lit(QUERY_BYTES) / (8 * F.col("size")))).cast("long")
+    firsts = files.withColumn("rows", F.greatest(rows, F.lit(1))).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("rows"))))
+    parts = stored(firsts.select("size", "file", "first", F.least(F.col("first") + F.col("rows"), "n").alias("stop")), "vector-parts")
+    n_parts = max(1, parts.count())
+    cross = parts.repartitionByRange(n_parts, "file", "first").mapInArrow(_cross_links(shards, beam), "a binary, b binary, n bigint")
+    links = own.unionByName(stored(cross, "cross-links"))
     found = linked_classes(vectors.select("id", "digest"), distinct.select("digest", "id", "copies"), links)
     return found.select(F.col("id").alias(id_col), "n_links", F.col("class_id").alias("component_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
