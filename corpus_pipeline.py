@@ -8,6 +8,13 @@ again as the next one's docs. All stages but the last return the columns of docu
   4. benchmark decontamination: documents in which a benchmark item occurs within its error budget go;
   5. byte-level BPE: texts are encoded, and the ids decoded again; the columns ids, n_tokens, ids_sha256 and decoded_sha256 are added.
 The classifier, the join and the edit distance have no SQL form, so the rows are tested against brute force instead.
+
+Defined cases: a null or empty text is no more toxic than the classifier's intercept, has one empty line, links with
+nothing, holds no item and has no ids, so such rows stay; a text of any length is worked on whole. Rows that repeat an id
+and its text stay or go together; an id on several texts is told by them. Rows with a null id stay unless their text is
+toxic or holds an item; their repeated lines go. Ties don't occur: the keeping document is named by its id. Columns
+besides doc_id and text pass through (n_chars, where there is one, follows the text), and result names that clash with
+them get a trailing underscore. An empty table gives empty stages.
 """
 
 from __future__ import annotations
