@@ -5,10 +5,14 @@ and merging is associative: twice = either's twice, or in both of the once filte
 doesn't hold is in one document only, and never shuffles. The suspected rest is confirmed exactly, by SHA-256 of the
 line's key, with partial counts before the shuffle; a line keeps its place in one document and goes from the others.
 
-The filters' size follows the number of lines, up to a bound: beyond it more lines are suspected, and the result is the
-same. Defined cases: a null text is an empty line; rows with a null id count as one document together and are never the
-one that keeps a line if another holds it; rows with the same id are one document; ties can't occur, as the keeping
-document is named by its id, and all its copies of the line stay. Extra columns pass through.
+The filters' size follows the number of lines. Two filters of MOST_BITS are what a task may hold: more lines are dealt to
+ranges by their hash, of which one after another has filters of its own, so that they never fill up. Each range reads the
+stored digests again, so a cluster with large tasks should raise MOST_BITS.
+
+Defined cases: a null text is an empty line; a text of any length is split whole; rows with a null id count as one document
+together and are never the one that keeps a line if another holds it; rows with the same id are one document; ties can't
+occur, as the keeping document is named by its id, and all its copies of the line stay. An empty table gives an empty
+result. Extra columns pass through, and clashing result names get a trailing underscore.
 """
 
 import hashlib
@@ -18,15 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usageloom.llm.shared import col, fresh, stored
 
 BITS_A_LINE = 12
-#: Filters have from 2^20 to 2^31 bits; they are dealt in segments of 2^20 bits, and the second one is broadcast (256 MB at most).
+#: Filters have from 2^20 to 2^29 bits; they are dealt in segments of 2^20 bits, and the second one is broadcast (64 MB at most).
 SEGMENT_BITS = 20
-LEAST_BITS, MOST_BITS = 20, 31
+LEAST_BITS, MOST_BITS = 20, 29
 PROBES = 3
 
 
@@ -103,6 +107,11 @@ def _merged(segment: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
         yield pa.RecordBatch.from_pydict({"segment": pa.array([segment[0].as_py()], pa.int32()), "twice": [zlib.compress(twice.tobytes(), 1)]})
 
 
+def in_range(digest: str, number: int, n_ranges: int) -> Column:
+    """Whether a digest is of the range; told by other bytes than those that are hashed into the filters."""
+    return F.pmod(F.conv(F.hex(F.substring(digest, 9, 6)), 16, 10).cast("long"), F.lit(n_ranges)) == number
+
+
 def repeated_filter(digests: DataFrame, n_lines: int) -> tuple[int, list[tuple[int, bytes]]]:
     """The second filter over a column of digests: its size as a power of 2, and its packed segments."""
     bits = min(max((max(n_lines, 1) * BITS_A_LINE - 1).bit_length(), LEAST_BITS), MOST_BITS)
@@ -138,9 +147,16 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     whole = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("row"), col(text_col).alias("text"))
     # A line that one document holds twice goes in twice: it is suspected, and the exact count clears it.
     rows = stored(whole.mapInArrow(_digests(min_chars), schema), "line-digests")
-    bits, segments = repeated_filter(rows.select("digest"), rows.count())
-    cast = spark.sparkContext.broadcast(segments)
-    suspects = stored(rows.mapInArrow(_suspected(cast, bits), schema), "suspect-lines")
+    n_lines = rows.count()
+    n_ranges = max(1, -(-n_lines * BITS_A_LINE // (1 << MOST_BITS)))
+    suspects = None
+    for i in range(n_ranges):
+        part = rows.where(in_range("digest", i, n_ranges)) if n_ranges > 1 else rows
+        bits, segments = repeated_filter(part.select("digest"), -(-n_lines // n_ranges))
+        cast = spark.sparkContext.broadcast(segments)
+        found = stored(part.mapInArrow(_suspected(cast, bits), schema), "suspect-lines")
+        cast.unpersist()
+        suspects = found if suspects is None else suspects.unionByName(found)
     held = suspects.groupBy("digest", "id").agg(F.lit(1).alias("one"))
     counts = held.groupBy("digest").agg(F.count("one").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     counts = stored(counts.select("digest", "keeper"), "repeated-lines")  # as a table, so that the join can split a hot line
@@ -158,7 +174,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = dropped_lines(docs, id_col, text_col, min_chars, min_docs).toDF(key, row, drops)
     joined = docs.join(gone, col(id_col).eqNullSafe(col(key)) & (F.xxhash64(col(text_col)) == col(row)), "left").drop(key, row)
     split = joined.withColumn(lines, F.split(F.coalesce(col(text_col), F.lit("")), "\n", -1))
-    kept = F.filter(col(lines), lambda line, i: ~F.array_contains(col(drops), i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), col(drops))
+    kept = F.transform(places, lambda i: F.get(col(lines), i))
     text = F.when(col(drops).isNull(), col(text_col)).otherwise(F.concat_ws("\n", kept)).alias(text_col)
     return split.select(
         *[text if c == text_col else col(c) for c in docs.columns],
