@@ -4,6 +4,7 @@ Writing: each task writes its pages as WARC records, gzipped one by one, into fi
 returns a row for each record: file, offset, length, URL and digest. Only the rows of tasks that succeeded reach the index
 table, so files of lost attempts are never read. Reading: the selected index rows of a file's stretch are sorted by
 offset and neighbours coalesced into ranges; each range is one read, from which its records are parsed and verified.
+Stretches are dealt to tasks in proportion to the bytes that are to be read.
 
 Payloads that occur more than once (of MIN_REVISIT bytes or more) are stored once: the page with the smallest id has a
 response record, the others revisit it. The hash of a payload is counted before the shuffle, and only digests that repeat
@@ -11,7 +12,8 @@ are joined, so a payload that a third of all pages share is split like any skewe
 
 Defined cases: a null page is an empty payload; rows that repeat the smallest id are all responses; a null id is never
 smaller than another and revisits if its payload has a page with an id, else it is a response; a null URL is written as
-an empty one; an empty table writes no files. Columns other than the three named are ignored.
+an empty one; a page of any length is one record, which the task that writes or reads it holds; ids are integers; an
+empty table writes no files. Columns other than the three named are ignored.
 """
 
 import gzip
@@ -32,6 +34,8 @@ from usageloom.llm.shared import col, scratch, stored
 MIN_REVISIT = 100
 #: Bytes after which a task starts another file; of a file's stretch that is read by one group; gaps that a read bridges.
 FILE_BYTES, STRETCH_BYTES, GAP_BYTES = 256 << 20, 4 << 20, 64 << 10
+#: Compressed bytes that a task reads back.
+TASK_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -52,7 +56,9 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if re.match(r"\w+:/", uri) else f"file://{uri}")
+    """Arrow's file system of a folder that Spark names: s3a and s3n are s3 there."""
+    named = re.sub(r"^s3[an]:", "s3:", uri)
+    return pafs.FileSystem.from_uri(named if re.match(r"\w+:/", named) else f"file://{named}")
 
 
 def _headers(fields: dict[str, str]) -> bytes:
@@ -144,10 +150,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def ranges(index: DataFrame) -> DataFrame:
     """Rows (file, start, stop, records): sorted index rows, coalesced into byte ranges of about STRETCH_BYTES at most.
 
-    Stretches are cut at multiples of STRETCH_BYTES, so that no group grows with its file.
+    Stretches are cut at multiples of STRETCH_BYTES, so that no group grows with its file. The index rows are few bytes, but
+    stand for many: so a stated number of tasks, by what they read, which isn't merged when Spark sees small partitions.
     """
     stretch = F.floor(F.col("offset") / STRETCH_BYTES).alias("stretch")
-    rows = index.select("file", stretch, "offset", (F.col("offset") + F.col("length")).alias("end"))
+    n_tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    rows = index.select("file", stretch, "offset", (F.col("offset") + F.col("length")).alias("end")).repartition(n_tasks, "file", "stretch")
     order = Window.partitionBy("file", "stretch").orderBy("offset")
     gap = F.col("offset") - F.lag("end", 1).over(order) > GAP_BYTES
     runs = rows.withColumn("run", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order))
