@@ -4,8 +4,8 @@ Every shard has a preference order over the slots of a table of prime size; the
 free slot until the table is full. A row's key is hashed to a slot, so placing it is one probe of a broadcast table whose
 size is fixed by its prime, whatever the number of rows. Adding or removing a shard moves few slots of the others.
 
-Defined cases: a null in a key column counts as a value of its own, distinct from any text; rows with equal keys share a
-shard; an empty table gives an empty result; columns of the input stay as they are, and clashing result names get a
+Defined cases: a null in a key column counts as a value of its own, distinct from any text; an empty or very long key is
+hashed whole, like any other; rows with equal keys share a shard; an empty table gives an empty result; columns of the input stay as they are, and clashing result names get a
 trailing underscore.
 """
 
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from usageloom.llm.shared import col, fresh
 
-#: The table is broadcast: 2^20 slots of two integers are at most 8 MB.
-MOST_SLOTS = 1 << 20
-SLOTS_A_SHARD = 100
+#: Slots for each shard; of more than MOST_SLOTS in all (some 40 MB in memory, broadcast) as many as that, but two a shard.
+SLOTS_A_SHARD, MOST_SLOTS, LEAST_SLOTS_A_SHARD = 100, 1 << 20, 2
 
 
 def next_prime(n: int) -> int:
@@ -32,8 +31,13 @@ def next_prime(n: int) -> int:
 
 
 def table_size(n_shards: int) -> int:
-    """The least prime with SLOTS_A_SHARD slots for each shard: no shard has over about 1 % more than another."""
-    return next_prime(max(n_shards, 1) * SLOTS_A_SHARD)
+    """The least prime with SLOTS_A_SHARD slots for each shard: no shard has over about 1 % more than another.
+
+    From 10,485 shards on the table grows no further and its slots are shared out; beyond half a million it follows the
+    list of shards, which the caller holds anyway.
+    """
+    n = max(n_shards, 1)
+    return next_prime(max(n * LEAST_SLOTS_A_SHARD, min(n * SLOTS_A_SHARD, MOST_SLOTS)))
 
 
 def _number(seed: str, name: str) -> int:
@@ -44,8 +48,8 @@ def lookup_table(shards: Sequence[str], size: int) -> list[int]:
     """The index of the shard that holds each slot."""
     if len(set(shards)) != len(shards) or not shards:
         raise ValueError("shards need distinct names, one at least")
-    if size > MOST_SLOTS or size < len(shards) or next_prime(size) != size:
-        raise ValueError(f"the table needs a prime size, from {len(shards)} to {MOST_SLOTS}")
+    if size < len(shards) or next_prime(size) != size:
+        raise ValueError(f"the table needs a prime size, {len(shards)} at least")
     offsets = [_number("offset", s) % size for s in shards]
     skips = [_number("skip", s) % (size - 1) + 1 for s in shards]
     turn, table, free = [0] * len(shards), [-1] * size, size
