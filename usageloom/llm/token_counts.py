@@ -7,7 +7,8 @@ replaces another only if its path scores more, so ties go to the longest piece,
 no piece by itself may also be unknown, at the least score less 10, and then counts once for each byte.
 
 Defined cases: a null or empty text has no tokens and the score 0; blanks at a text's end are a unit without a word; texts of any
-length are counted whole; repeated rows give equal results; an empty table gives an empty result.
+length are counted whole; repeated rows give equal results; an empty table gives an empty result. Columns other than the
+two named are ignored.
 """
 
 from collections.abc import Iterator
@@ -19,7 +20,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from usageloom.llm.shared import col
 
@@ -127,4 +127,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Rows (id, n_tokens, score): the piece count and the score of each whole text's best path. Map-only."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    return texts.mapInArrow(_count(path), f"id {id_type}, n_tokens long, score double").withColumn("score", F.col("score")).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(_count(path), f"id {id_type}, n_tokens long, score double").withColumnRenamed("id", id_col)
