@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one is made and set."""
+    """The folder named in spark.checkpoint.dir; where that is unset and all runs on this machine (tests), one is made and set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not re.match(r"local(\[.*)?$", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     if not named:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="usageloom-"))
         named = sc.getCheckpointDir()
