@@ -6,11 +6,14 @@ must occur unchanged: an Aho-Corasick automaton of all pieces finds those hits i
 around each is verified by the edit distance of the whole item to the best substring.
 
 The items are the stated query set: they are broadcast in blocks of at most BLOCK_CHARS characters, one pass over the
-documents for each block; documents are never shuffled. Defined cases: null or empty texts match nothing, and so do
-items without a letter or digit; items with a budget of 0 must match whole words; equal items match each by itself;
-repeated rows give repeated results. Extra columns are ignored by find_matches and kept by drop_contaminated.
+documents for each block; documents are never shuffled. A worker builds a block's automaton once and keeps it for its
+further tasks. Defined cases: null or empty texts match nothing, and so do items without a letter or digit; a text of any
+length is searched whole; items with a budget of 0 must match whole words; equal items match each by itself; repeated rows
+give repeated results; without documents or items there are no matches. Extra columns are ignored by find_matches and kept
+by drop_contaminated, whatever their names.
 """
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from usageloom.llm.shared import col
 
 ERROR_RATE = 0.06
-#: Characters of items that are broadcast at once, and the automaton's text.
-BLOCK_CHARS = 8_000_000
+#: Characters of items that are broadcast at once, and the automaton's text (some 70 MB in a worker).
+BLOCK_CHARS = 1_000_000
 
 
 def normal_text(text: Column) -> Column:
@@ -105,6 +108,17 @@ class Matcher:
         return found
 
 
+_kept: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, block: list, rate: float) -> Matcher:
+    """The matcher of a block of items, which this worker builds once; one block is kept at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Matcher([(i, text) for i, (_, text) in enumerate(block)], rate)
+    return _kept[name]
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
     """The items as (id, normal text), in blocks of about BLOCK_CHARS."""
     normal = items.select(col(id_col).alias("id"), normal_text(col(text_col)).alias("text"))
@@ -122,11 +136,11 @@ def find_matches(
     texts = docs.select(col(id_col).alias("id"), normal_text(col(text_col)).alias("text"))
 
     def of_block(block: list) -> DataFrame:
-        cast = docs.sparkSession.sparkContext.broadcast(block)
+        cast, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
         kind = pa.from_numpy_dtype("int64")
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([(i, text) for i, (_, text) in enumerate(cast.value)], rate)
+            matcher = matcher_of(name, cast.value, rate)
             for batch in batches:
                 rows = [(i, *hit) for i, text in enumerate(batch.column("text")) for hit in matcher.find(text.as_py())]
                 ids = batch.column("id").take(pa.array([r[0] for r in rows], kind))
@@ -140,8 +154,10 @@ def find_matches(
 
 
 def _cleaner(cast, rate: float):
+    name = uuid.uuid4().hex
+
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher([(i, text) for i, (_, text) in enumerate(cast.value)], rate)
+        matcher = matcher_of(name, cast.value, rate)
         for batch in texts:
             yield pd.Series([not matcher.find(t) for t in batch], dtype=bool)
 
