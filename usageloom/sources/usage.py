@@ -64,7 +64,9 @@ def local_time(instant: Column, zone: str) -> Column:
 
 def parse_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     """Usage rows of (file, offset, value); lines that aren't usage records, or have no valid time, go."""
-    parsed = lines.where(may_be_usage(F.col("value"))).withColumn("r", F.from_json("value", LINE))
+    # Exploded, so that the filters that follow aren't pushed below and each parse the line again.
+    record = F.explode(F.array(F.from_json("value", LINE))).alias("r")
+    parsed = lines.where(may_be_usage(F.col("value"))).select("file", "offset", record)
     usage, message = F.col("r.message.usage"), F.col("r.message")
     parsed = parsed.where((F.col("r.type") == "assistant") & message.model.isNotNull() & usage.isNotNull())
     parsed = parsed.withColumn("ts", local_time(iso_timestamp(F.col("r.timestamp")), zone)).where("ts is not null")
