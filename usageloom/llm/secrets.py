@@ -1,19 +1,24 @@
 """Secret scanning by patterns and a randomness test battery, in DataFrame functions only.
 
 Base kinds are found by pattern: `assign` (a password-like assignment), `access` (AKIA ids) and `hex` (long
-runs of lower-case hex digits). The battery adds the kind `random`: runs of LEAST_CHARS or more symbols with a digit that
-overlap no base span. The encoding of each is inferred from its symbols (decimal, hex, base 32, 36, 62 or 64), which
-fixes an alphabet of k symbols, and over the n symbol numbers three statistics are taken:
-  - chi-squared of uniform use of the alphabet;
+runs of lower-case hex digits). The battery adds the kind `random`: runs of LEAST_CHARS or more symbols that overlap no
+base span. The encoding of each is inferred from its symbols (decimal, hex, base 32, 36, 62 or 64), which fixes an
+alphabet of k symbols, and over the n symbol numbers three tests of randomness are taken:
+  - chi-squared of uniform use of the alphabet, with its exact mean k - 1 and variance 2 (k - 1) (1 - 1 / n);
   - the number of runs above and below the alphabet's middle;
   - the lag-1 serial correlation.
-A token passes if neither runs nor serial correlation reject randomness at level GATE, and if its chi-squared is too small
-for ordinary text. Under text, chi-squared is non-central with n * TEXT_SKEW, so that longer tokens are told more surely;
-the false-discovery rate of that p-value is held at FDR by Benjamini and Hochberg's rule within each encoding and length
-stratum, over all documents. P-values are counted in bins, rounded up, so the counts that leave the executors are bounded.
+A token passes the battery if randomness isn't rejected: the least of the three p-values is GATE / 3 or more. Short tokens
+of ordinary text pass now and then, so the rest is a matter of false discoveries: the hypothesis that a token is text is
+tested by the same chi-squared, as the normal score z. Under text z grows with the length, as skew * n with a deviation of
+spread * sqrt(n); skew and spread are those of each encoding's tokens without a digit, over all documents, of which a random
+key is one in some thirty at most (base 62, 20 symbols). Benjamini and Hochberg's rule holds the false-discovery rate at FDR
+within each encoding and length stratum, over all of its tokens; those that fail the battery count as p = 1. An encoding with
+fewer than LEAST_TEXT tokens without a digit (decimal and hex have none) has no text to be mistaken for; there the
+battery decides. What leaves the executors are counts: by encoding, and by stratum and p-value in bins, rounded up.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; repeated rows have equal
-results but count twice in the p-values; texts are scanned whole; an empty table gives an empty result.
+results but count twice in the p-values; texts of any length are scanned whole; an empty table gives an empty result.
+Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +50,9 @@ ENCODINGS = {
     "base64": (r"", LOWER.upper() + LOWER + DIGITS + "+/"),
 }
 LENGTHS = [20, 24, 32, 48, 96, 192]
-TEXT_SKEW = 1.5
-GATE, FDR = 0.005, 0.05
-BINS = 1000
+GATE, FDR, LEAST_TEXT = 0.01, 0.05, 50
+#: P-values are counted in bins of a twentieth of a power of ten.
+BINS, MOST_BIN = 20, 600
 
 
 def located(text: Column, pattern: str, value_group: int = 0) -> Column:
@@ -89,9 +94,14 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _normal_cdf(z: Column) -> Column:
-    """The standard normal distribution function, by a logistic curve (error under 0.0002)."""
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+    """The standard normal distribution function: a logistic curve in the middle (error under 0.0002), a continued fraction in the tails."""
+    middle = 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+    x = F.least(F.abs(z), F.lit(35.0))
+    below = x
+    for i in (5, 4, 3, 2, 1):
+        below = x + i / below
+    tail = F.exp(-x * x / 2) / (2.5066282746310002 * below)
+    return F.when(x < 2, middle).when(z < 0, tail).otherwise(1 - tail)
 
 
 def _two_sided(z: Column) -> Column:
@@ -106,7 +116,7 @@ def encoding_of(token: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<encoding, n, p_text, p_runs, p_serial> of a token of symbols."""
+    """struct<encoding, n, z, p_uniform, p_runs, p_serial> of a token of symbols; z is chi-squared as a normal score."""
     encoding = encoding_of(token)
     plain = F.when(encoding.isin("hex", "base32", "base36"), F.lower(token)).when(encoding == "base64", F.translate(token, "-_", "+/")).otherwise(token)
     alphabets = F.create_map(*[F.lit(x) for name, (_, alphabet) in ENCODINGS.items() for x in (name, alphabet)])
@@ -144,7 +154,9 @@ def battery(token: Column) -> Column:
     def tested(x: Column) -> Column:
         n, k, a = x.n.cast("double"), x.k.cast("double"), x.sums
         chi = x.squares * k / n - n
-        p_text = _normal_cdf((chi - (k - 1) - n * TEXT_SKEW) / F.sqrt(2 * (k - 1) + 4 * n * TEXT_SKEW))
+        # A gamma distribution of the statistic's mean and variance, by Wilson and Hilferty's cube root.
+        nine = 9 * (k - 1) / (2 * (1 - 1 / n))
+        z = (F.cbrt(chi / (k - 1)) - 1 + 1 / nine) * F.sqrt(nine)
         n1, n0 = a.n_high.cast("double"), n - a.n_high
         mean = 1 + 2 * n1 * n0 / n
         variance = (mean - 1) * (mean - 2) / (n - 1)
@@ -153,7 +165,7 @@ def battery(token: Column) -> Column:
         # The ends of the token are joined, which makes the statistic's mean -1/(n-1) and its variance about 1/n.
         r = (n * (a.sp + a["last"] * x.first) - a.s * a.s) / F.greatest(spread, F.lit(1e-9))
         p_serial = F.when(spread <= 0, 0.0).otherwise(_two_sided((r + 1 / (n - 1)) * F.sqrt(n)))
-        return F.struct(x.encoding.alias("encoding"), x.n.alias("n"), p_text.alias("p_text"), p_runs.alias("p_runs"), p_serial.alias("p_serial"))
+        return F.struct(x.encoding.alias("encoding"), x.n.alias("n"), z.alias("z"), _normal_cdf(-z).alias("p_uniform"), p_runs.alias("p_runs"), p_serial.alias("p_serial"))
 
     # A one-element array binds what is used often, so that it is computed once.
     numbered = F.transform(F.split(plain, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
@@ -169,32 +181,56 @@ def battery(token: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, stratum, bin>> of the tokens that pass the gates; bin is the p-value in 1/BINS, rounded up."""
+    """array<struct<start, end, encoding, n, z, words, passed>> of the tokens; words tells that a token has no digit."""
     some = _where(text.rlike(CANDIDATE), located(text, CANDIDATE))
-    clear = F.filter(some, lambda s: s.value.rlike("[0-9]") & ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
-    scored = F.transform(clear, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), battery(s.value).alias("t")))
-    passed = F.filter(scored, lambda s: (s.t.p_runs >= GATE) & (s.t.p_serial >= GATE))
-    stratum = lambda n: sum(((n >= x).cast("int") for x in LENGTHS[1:]), F.lit(0))
+    clear = F.filter(some, lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
+    scored = F.transform(clear, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), (~s.value.rlike("[0-9]")).alias("words"), battery(s.value).alias("t")))
     return F.transform(
-        passed,
+        scored,
         lambda s: F.struct(
-            s.start.alias("start"),
-            s.end.alias("end"),
-            F.concat_ws(":", s.t.encoding, stratum(s.t.n).cast("string")).alias("stratum"),
-            F.ceil(s.t.p_text * BINS).cast("int").alias("bin"),
+            s.start.alias("start"), s.end.alias("end"), s.t.encoding.alias("encoding"), s.t.n.alias("n"), s.t.z.alias("z"), s.words.alias("words"),
+            (F.least(s.t.p_uniform, s.t.p_runs, s.t.p_serial) >= GATE / 3).alias("passed"),
         ),
     )
 
 
-def thresholds(found: DataFrame) -> dict[str, int]:
-    """For each stratum the largest bin that Benjamini and Hochberg's rule accepts; at most 6 encodings times 6 lengths."""
-    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").count()
+def ordinary_text(found: DataFrame) -> dict[str, tuple[float, float]]:
+    """(skew, spread) of z in each encoding that has LEAST_TEXT tokens without a digit; at most as many rows as encodings."""
+    c = F.col("c")
+    sums = found.select(F.explode("candidates").alias("c")).where(c.words).groupBy(c.encoding.alias("encoding")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(c.z).alias("z"), F.sum(c.n).alias("n"), F.sum(c.z * c.z / c.n).alias("zz")
+    )
+    out = {}
+    for r in sums.where(F.col("count") >= LEAST_TEXT).collect():
+        skew = r["z"] / r["n"]
+        out[r["encoding"]] = (skew, max((r["zz"] - 2 * skew * r["z"] + skew * skew * r["n"]) / r["count"], 1e-6) ** 0.5)
+    return out
+
+
+def stratum(encoding: Column, n: Column) -> Column:
+    return F.concat_ws(":", encoding, sum(((n >= x).cast("int") for x in LENGTHS[1:]), F.lit(0)).cast("string"))
+
+
+def bin_of(c: Column, text: dict[str, tuple[float, float]]) -> Column:
+    """The bin of a candidate's p-value of being text: p is 10 ^ (-bin / BINS) at most. Those that fail the battery have p = 1."""
+    p = F.lit(0.0)
+    for encoding, (skew, spread) in text.items():
+        p = F.when(c.encoding == encoding, _normal_cdf((c.z - skew * c.n) / (spread * F.sqrt(c.n.cast("double"))))).otherwise(p)
+    small = F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_BIN)), F.floor(-BINS * F.log10(F.greatest(p, F.lit(1e-300))))))
+    return F.when(c.passed, small).otherwise(0.0).cast("int")
+
+
+def thresholds(found: DataFrame, text: dict[str, tuple[float, float]]) -> dict[str, int]:
+    """For each stratum the least bin that Benjamini and Hochberg's rule accepts; at most 6 encodings times 6 lengths."""
+    c = F.col("c")
+    binned = found.select(F.explode("candidates").alias("c")).select(stratum(c.encoding, c.n).alias("stratum"), bin_of(c, text).alias("bin"))
+    counts = binned.groupBy("stratum", "bin").count()
     whole = Window.partitionBy("stratum")
     ranked = counts.select(
-        "stratum", "bin", F.sum("count").over(whole.orderBy("bin")).alias("rank"), F.sum("count").over(whole).alias("total")
+        "stratum", "bin", F.sum("count").over(whole.orderBy(F.desc("bin"))).alias("rank"), F.sum("count").over(whole).alias("total")
     )
-    accepted = ranked.where(F.col("bin") / F.lit(float(BINS)) <= FDR * F.col("rank") / F.col("total"))
-    return {r[0]: r[1] for r in accepted.groupBy("stratum").agg(F.max("bin")).collect()}
+    accepted = ranked.where((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / BINS) <= FDR * F.col("rank") / F.col("total")))
+    return {r[0]: r[1] for r in accepted.groupBy("stratum").agg(F.min("bin")).collect()}
 
 
 def _spanned(order: int):
@@ -208,11 +244,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = F.concat(*[F.transform(kind, _spanned(i)) for i, kind in enumerate(KINDS[:3])])
     based = by_kind.select("id", "text", base.alias("base"))
     found = stored(based.select("id", "base", candidates(F.col("text"), F.col("base")).alias("candidates")), "secret-spans")
-    limits = thresholds(found)
+    text = ordinary_text(found)
+    limits = thresholds(found, text)
     if not limits:
         return found.select("id", F.array_sort("base").alias("spans")).withColumnRenamed("id", id_col)
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    random = F.filter("candidates", lambda c: c.bin <= F.coalesce(F.try_element_at(limit, c.stratum), F.lit(-1)))
+    random = F.filter("candidates", lambda c: bin_of(c, text) >= F.coalesce(F.try_element_at(limit, stratum(c.encoding, c.n)), F.lit(MOST_BIN + 1)))
     spans = F.concat("base", F.transform(random, _spanned(3)))
     return found.select("id", F.array_sort(spans).alias("spans")).withColumnRenamed("id", id_col)
 
