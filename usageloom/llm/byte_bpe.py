@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from usageloom.llm.shared import col, fresh
 
 #: Pre-tokens that a worker keeps encoded; beyond it the store starts anew, with the same results.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 200_000
 #: Pre-tokens, and ids to be decoded, that are worked on at once.
-SLICE_PIECES = 1 << 17
+SLICE_PIECES = 1 << 19
 
 #: Unicode's White_Space, which \s stands for in the tokenizer's pattern; Java's \s is ASCII only.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
