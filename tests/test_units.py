@@ -149,11 +149,11 @@ def test_tail_at_an_interval(spark, tmp_path):
     (logs / "a.jsonl").write_text(line("2025-06-11T14:00:00Z", tokens=(7, 0)) + "\n")
     query = tail_costs(spark, str(logs), store, every_seconds=1)
     try:
-        until = time.time() + 60
-        for n, want in ((8, 7), (0, 15)):
+        until = time.time() + 120
+        for batches, n, want in ((1, 8, 7), (2, 0, 15)):
             while time.time() < until:
                 time.sleep(0.5)
-                if (tmp_path / "store" / "partials").exists() and stored_costs(spark, store).agg(F.sum("input_tokens")).first()[0] == want:
+                if len(list(tmp_path.glob("store/partials/*/_SUCCESS"))) == batches and stored_costs(spark, store).agg(F.sum("input_tokens")).first()[0] == want:
                     break
             else:
                 raise AssertionError(want)
