@@ -63,7 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_classes(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (id, class_id, n_links) for rows (id, digest).
+    """Rows (id, class_id, n_links) for rows (id, digest); other columns of rows stay, before class_id.
 
     distinct: (digest, id, copies), the least id and the number of rows of each digest. links: (a, b, n), where the edges
     (a, b) of digests connect every class and the n of a digest a sum to its linked rows, its own copies left out. A row
@@ -77,4 +77,5 @@ def linked_classes(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> Da
     names = stored(info.groupBy("component").agg(F.min("id").alias("class_id")), "class-names")
     found = stored(info.join(names, "component").select("digest", "class_id", "n_links"), "classes")
     class_id = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    return rows.join(found, "digest", "left").select("id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    kept = [c for c in rows.columns if c != "digest"]
+    return rows.join(found, "digest", "left").select(*kept, class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

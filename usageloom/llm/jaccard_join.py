@@ -1,19 +1,26 @@
 """Jaccard self-join of documents on their sets of word 5-grams, by chosen paths.
 
-Every document is mapped to COORDINATES minimum hashes of its 5-gram set. A run splits the distinct sets by a sampled
-coordinate: those that share its token go on together. Buckets of up to SMALL sets are compared by brute force; larger
+Every document is mapped to COORDINATES minimum hashes of its 5-gram set. Those with which the runs begin are kept whole, and
+of all of them two bytes each, the sketch. A run splits the distinct sets by a sampled coordinate: those that share its token go on together. Buckets of up to SMALL sets are compared by brute force; larger
 ones are split again by the next sampled coordinate, down to DEPTH. Two sets of similarity s share a bucket of depth d
 with probability s^d; no two runs share a coordinate, so RUNS runs reach the target recall even for pairs at the threshold in the
 deepest buckets, with what the sketches lose counted in (found_probability). A bucket that is still large is compared whole, in blocks.
 
-Brute force in a bucket compares one-byte sketches of the coordinates, and hands on a spanning forest of its candidates.
+Brute force in a bucket compares the sketches, and hands on a spanning forest of its candidates.
 The candidates' components are then verified with the exact sets, in groups (large components in blocks, each pair in one
 group only): that gives the number of links and the forest of the exact links, without pairs as rows.
 
+The recall is also measured, on the links that were verified: of the times that a run's full path meets a link, the share
+of links that another run's path meets, too. That is what all runs but one find of what one finds by itself. While it is
+under TARGET_RECALL, MORE_RUNS further runs are made, as long as there are coordinates for them. It leans to the better,
+as links that are found at all are rather the more similar ones.
+
 Words are the lower-cased text's runs without white space; a text with one to four words has one gram, of all its words.
 Defined cases: a null, empty or blank text has no grams, links with nothing and is a class of its own; equal sets are one
-class whatever their number, and count in each other's links; rows with a null id take part, but never name a class;
-rows that repeat an id each count. An empty table gives an empty result.
+class whatever their number, and count in each other's links; a text of any length is one set of all its grams, which is
+held by the tasks that verify it; rows with a null id take part, but never name a class; rows that repeat an id each
+count, with their own texts. An empty table gives an empty result. near_duplicates ignores columns other than the two
+named; keep_one_of_each keeps all columns, whatever their names.
 """
 
 import hashlib
@@ -33,23 +40,28 @@ from usageloom.llm.shared import col, shared_dir, stored
 
 GRAM = 5
 THRESHOLD = Fraction(4, 5)
-COORDINATES = 128
+#: A sketch holds a token of 16 bits for each coordinate.
+COORDINATES, TOKENS = 128, 1 << 16
 DEPTH, SMALL = 5, 64
 TARGET_RECALL = 0.998
 #: A pair goes on if its estimated similarity is over the threshold less MARGIN (nearly four standard errors).
 MARGIN = 0.13
 #: Rows of a large bucket, and sets or grams of a large component, that meet in one group.
 BLOCK_ROWS, BLOCK_SETS, BLOCK_GRAMS = 1024, 2048, 2_000_000
-#: Ids that may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows that may be broadcast (some 16 MB at 400 bytes in memory); more are joined by a shuffle.
+BROADCAST_ROWS = 40_000
+#: Bytes that one task compares or verifies.
+TASK_BYTES = 64 << 20
+#: Links of a group on which the recall is measured, at most.
+MEASURED = 4096
 
 
 def found_probability(similarity: float, runs: int) -> float:
-    """With which a pair becomes a candidate if all its buckets are DEPTH deep: a run's whole path agrees, and so do enough bytes of the sketch.
+    """With which a pair becomes a candidate if all its buckets are DEPTH deep: a run's whole path agrees, and so do enough tokens of the sketch.
 
-    Exact for paths without a common coordinate. The polynomials hold the probability of each number of equal bytes.
+    Exact for paths without a common coordinate. The polynomials hold the probability of each number of equal tokens.
     """
-    chance = (1 - similarity) / 256
+    chance = (1 - similarity) / TOKENS
     one = np.array([1 - similarity - chance, similarity + chance])
     path = _power(one, DEPTH)
     path[DEPTH] -= similarity**DEPTH
@@ -64,14 +76,15 @@ def _power(polynomial: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: Bytes of the sketch that must be equal.
+#: Tokens of the sketch that must be equal.
 LEAST_SAME = (float(THRESHOLD) - MARGIN) * COORDINATES
 #: The least number of runs that finds pairs at the threshold with TARGET_RECALL, the sketch's loss included.
-RUNS = next(n for n in range(1, COORDINATES // DEPTH + 1) if found_probability(float(THRESHOLD), n) >= TARGET_RECALL)
+MOST_RUNS, MORE_RUNS = COORDINATES // DEPTH, 3
+RUNS = next(n for n in range(1, MOST_RUNS + 1) if found_probability(float(THRESHOLD), n) >= TARGET_RECALL)
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Each run has coordinates of its own, so that runs fail independently.
-_PATHS = _RANDOM.permutation(COORDINATES)[: RUNS * DEPTH].reshape(RUNS, DEPTH)
+_PATHS = _RANDOM.permutation(COORDINATES)[: MOST_RUNS * DEPTH].reshape(MOST_RUNS, DEPTH)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -120,33 +133,34 @@ def minima(grams: np.ndarray) -> np.ndarray:
     return least
 
 
+SIGNATURE = "row bigint, digest binary, firsts array<bigint>, sketch binary, n_grams bigint"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, row, digest, firsts, sketch, n_grams); firsts are the tokens of the runs' first coordinates."""
     for batch in batches:
         for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
             sets = gram_sets(part.column("text"))
-            least = np.stack([minima(s) for s in sets])
-            keys = np.arange(RUNS, dtype=np.uint64)[:, None] + np.zeros((len(sets), 1, 1), np.uint64)
-            path = keys[:, :, 0]
-            levels = []
-            for d in range(DEPTH):
-                path = _mixed(path) + least[:, _PATHS[:, d]]
-                levels.append(_mixed(path))
-            flat = np.stack(levels, axis=2).reshape(-1).view(np.int64)
-            inner = pa.FixedSizeListArray.from_arrays(pa.array(flat), DEPTH).cast(pa.list_(pa.int64()))
-            outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * RUNS, pa.int32()), inner)
-            sketch = (_mixed(least) >> np.uint64(56)).astype(np.uint8)
+            tokens = _mixed(np.stack([minima(s) for s in sets]))
+            sketches = (tokens >> np.uint64(48)).astype("<u2")
+            firsts = pa.FixedSizeListArray.from_arrays(pa.array(tokens[:, _PATHS[:, 0]].ravel().view(np.int64)), MOST_RUNS)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
+                    part.column("row"),
                     pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    outer,
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    firsts.cast(pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x in sketches], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                 ],
-                ["id", "digest", "paths", "sketch", "n_grams"],
+                ["id", "row", "digest", "firsts", "sketch", "n_grams"],
             )
 
 
+def _sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(-1, COORDINATES)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups, from batches that are sorted by the key."""
     kept: list[pa.RecordBatch] = []
@@ -178,7 +192,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches, "bucket"):
         table = table.combine_chunks()
         bucket = table.column("bucket").to_numpy()
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        sketches = _sketches(table.column("sketch").to_pylist())
         pairs_i, pairs_j = [], []
         n = len(bucket)
         # Row r with row r + step, for all rows at once, as long as any bucket is so large.
@@ -198,17 +212,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _forest(table.column("digest").to_pylist(), np.concatenate(pairs_i), np.concatenate(pairs_j))
 
 
-def _buckets(paths: DataFrame) -> DataFrame:
+def _bucket(run: int, depth: int) -> Column:
+    """The bucket that a run's path leads to: a hash of the run and of the tokens of its first coordinates, but for the first in 16 bits."""
+    return F.xxhash64(F.lit(run), F.get("firsts", F.lit(run)), *[F.substring("sketch", 2 * int(c) + 1, 2) for c in _PATHS[run, 1 : depth + 1]])
+
+
+def _buckets(sets: DataFrame, runs: range) -> DataFrame:
     """Rows (bucket, digest, size): for each run the bucket in which a set's splitting ended, if it isn't alone there."""
-    live, ended = paths, None
+    live, ended = sets.select("digest", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), _bucket(r, 0).alias("bucket")) for r in runs])).alias("b")), None
+    live = live.select("digest", "b.run", "b.bucket")
     for d in range(DEPTH):
-        keyed = live.withColumn("bucket", F.get("path", F.lit(d)))
-        counts = stored(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
-        shared = stored(keyed.join(counts, "bucket"), "shared-buckets")
+        if d:
+            # Few sets are in large buckets still; they get their sketches again for the next coordinate.
+            deeper = F.get(F.array(*[_bucket(r, d) for r in runs]), F.col("run") - runs.start)
+            live = live.join(sets.select("digest", "firsts", "sketch"), "digest").select("digest", "run", deeper.alias("bucket"))
+        counts = stored(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+        shared = stored(live.join(counts, "bucket"), "shared-buckets")
         last = d == DEPTH - 1
         small = shared.where(F.lit(last) | (F.col("size") <= SMALL)).select("bucket", "digest", "size")
         ended = small if ended is None else ended.unionByName(small)
-        live = shared.where(F.col("size") > SMALL).select("digest", "path")
+        live = shared.where(F.col("size") > SMALL).select("digest", "run")
         if last or live.isEmpty():
             return ended
 
@@ -259,8 +282,24 @@ def _inner_counts(sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[i
             yield a * size, b * size, np.rint(inner).astype(np.int64)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, n) of each unit: a spanning forest of its exact links, and each set's linked documents."""
+def _met(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, runs: int) -> tuple[int, int]:
+    """(how often a run's full path meets a link, how often of these another run's does, too), of up to MEASURED links."""
+    some = np.linspace(0, len(i) - 1, min(len(i), MEASURED)).astype(np.int64)
+    equal = sketches[i[some]] == sketches[j[some]]
+    times = sum(equal[:, path].all(axis=1).astype(np.int64) for path in _PATHS[:runs])
+    return int(np.sum(times)), int(np.sum(times * (times > 1)))
+
+
+MEMBER = ["digest", "component", "copies", "n_blocks", "sketch"]
+VERIFIED = "a binary, b binary, n bigint, met bigint, again bigint"
+
+
+def _verifier(runs: int):
+    return lambda batches: _verify(batches, runs)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordBatch]:
+    """Rows of VERIFIED for each unit: a spanning forest (a, b) of its exact links, each set's linked documents, and _met's counts."""
     for tables in _groups(batches, "unit"):
         unit = tables.column("unit").to_numpy()
         cuts = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1 if len(unit) else 0))
@@ -287,13 +326,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(i, weights=copies[j], minlength=len(sets)) + np.bincount(j, weights=copies[i], minlength=len(sets))
             label = least_labels(len(sets), i, j)
             linked = np.flatnonzero(n)
+            counts = np.zeros((2, len(linked)), np.int64)
+            if len(linked):
+                counts[:, 0] = _met(_sketches([rows[d]["sketch"] for d in digests]), i, j, runs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([digests[x] for x in linked], pa.binary()), pa.array([digests[label[x]] for x in linked], pa.binary()), pa.array(n[linked].astype(np.int64))], ["a", "b", "n"]
+                [
+                    pa.array([digests[x] for x in linked], pa.binary()),
+                    pa.array([digests[label[x]] for x in linked], pa.binary()),
+                    pa.array(n[linked].astype(np.int64)),
+                    *(pa.array(c) for c in counts),
+                ],
+                ["a", "b", "n", "met", "again"],
             )
 
 
 def _exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the sets of grams; rows whose text isn't the one meant (an id that repeats) go."""
+    """Adds the sets of grams; rows whose text isn't the one meant (two texts of one hash) go."""
     for batch in batches:
         for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
             sets = gram_sets(part.column("text"))
@@ -302,18 +350,58 @@ def _exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.filter(pa.array(meant))
 
 
-def _sorted_by(rows: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _sorted_by(rows: DataFrame, key: str, n_bytes: int, fn: Callable, schema: str) -> DataFrame:
+    """fn over whole groups of the key, dealt to tasks of about TASK_BYTES."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(fn, schema)
 
 
-def candidate_edges(signatures: DataFrame) -> DataFrame:
-    """Rows (a, b) of set digests: a forest that holds the candidates of all runs."""
-    distinct = signatures.where("digest is not null").select("digest", "paths").dropDuplicates(["digest"])
-    buckets = _buckets(distinct.select("digest", F.explode("paths").alias("path")))
-    blocked = _in_blocks(buckets, "bucket", F.ceil(F.col("size") / BLOCK_ROWS), "digest").select(F.col("unit").alias("bucket"), "digest")
-    sketches = signatures.where("digest is not null").select("digest", "sketch").dropDuplicates(["digest"])
-    return _sorted_by(blocked.join(sketches, "digest"), "bucket", _compare, "a binary, b binary").distinct()
+def candidate_edges(sets: DataFrame, runs: range) -> DataFrame:
+    """Rows (a, b) of set digests: a forest that holds the candidates of the runs; sets are distinct rows (digest, firsts, sketch)."""
+    buckets = _buckets(sets, runs)
+    n_blocks = F.ceil(F.col("size") / BLOCK_ROWS)
+    n_rows = buckets.agg(F.sum(n_blocks)).first()[0] or 0
+    blocked = _in_blocks(buckets, "bucket", n_blocks, "digest").select(F.col("unit").alias("bucket"), "digest")
+    rows = blocked.join(sets.select("digest", "sketch"), "digest")
+    return stored(_sorted_by(rows, "bucket", n_rows * (2 * COORDINATES + 24), _compare, "a binary, b binary").distinct(), "candidate-edges")
+
+
+def exact_links(texts: DataFrame, sets: DataFrame, edges: DataFrame, runs: int) -> DataFrame:
+    """Rows of VERIFIED from the candidates' components; texts are rows (id, row, text), sets those of near_classes."""
+    candidates = components(edges).select(F.col("node").alias("digest"), "component")
+    members = stored(candidates.join(sets.select("digest", "copies", "rep", "n_grams", "sketch"), "digest"), "candidate-sets")
+    sums = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
+    n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS))
+    sums = stored(sums.select("component", n_blocks.alias("n_blocks")), "component-sizes")
+    members = stored(members.join(sums, "component").select("digest", "component", "copies", "rep.id", "rep.row", "n_grams", "n_blocks", "sketch"), "members")
+    n_rows, n_bytes = members.agg(F.count(F.lit(1)), F.sum(F.col("n_blocks") * (8 * F.col("n_grams") + 200))).first()
+    wanted = members.withColumnsRenamed({"id": "rep_id", "row": "rep_row"})
+    wanted = F.broadcast(wanted) if n_rows <= BROADCAST_ROWS else wanted
+    meant = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("row") == F.col("rep_row")))
+    exact = meant.select(*MEMBER, "text").mapInArrow(_exact_sets, "digest binary, component binary, copies bigint, n_blocks bigint, sketch binary, grams binary")
+    units = _in_blocks(exact, "component", F.col("n_blocks"), "digest").select("unit", "digest", "copies", "block", "across", "sketch", "grams")
+    return stored(_sorted_by(units, "unit", n_bytes or 0, _verifier(runs), VERIFIED), "exact-links")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, row, class_id, n_links), one for each row of docs; row is a hash of the text. See near_duplicates."""
+    shared_dir(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("row"), col(text_col).alias("text"))
+    signatures = stored(texts.mapInArrow(_signatures, f"id {id_type}, {SIGNATURE}"), "signatures")
+    # The row that stands for a set: the least id, and of those that repeat it one text.
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("rep")
+    same = [F.first(c).alias(c) for c in ("n_grams", "firsts", "sketch")]  # equal for equal sets
+    sets = stored(signatures.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), rep, *same), "distinct-sets")
+    edges, runs = candidate_edges(sets, range(RUNS)), RUNS
+    while True:
+        links = exact_links(texts, sets, edges, runs)
+        met, again = links.agg(F.sum("met"), F.sum("again")).first()
+        if runs == MOST_RUNS or not met or again >= TARGET_RECALL * met:
+            break
+        further = range(runs, min(runs + MORE_RUNS, MOST_RUNS))
+        edges, runs = stored(edges.unionByName(candidate_edges(sets, further)).distinct(), "candidate-edges"), further.stop
+    return linked_classes(signatures.select("id", "row", "digest"), sets.select("digest", "rep.id", "copies"), links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,29 +410,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the least id among those that links lead to, the row's own included; n_links counts the other rows whose
     5-gram sets have a Jaccard similarity of THRESHOLD or more with the row's.
     """
-    shared_dir(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    signatures = stored(texts.mapInArrow(_signatures, f"id {id_type}, digest binary, paths array<array<bigint>>, sketch binary, n_grams bigint"), "signatures")
-    sets = signatures.where("digest is not null").groupBy("digest")
-    sets = stored(sets.agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.max("n_grams").alias("n_grams")), "distinct-sets")
-    candidates = components(candidate_edges(signatures)).select(F.col("node").alias("digest"), "component")
-    members = stored(candidates.join(sets, "digest"), "candidate-sets")
-    sums = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
-    n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS))
-    members = stored(members.join(stored(sums.withColumn("n_blocks", n_blocks), "component-sizes"), "component").select("digest", "component", "copies", F.col("id").alias("rep"), "n_blocks"), "members")
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    meant = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("digest", "component", "copies", "n_blocks", "text")
-    exact = meant.mapInArrow(_exact_sets, "digest binary, component binary, copies bigint, n_blocks bigint, grams binary")
-    units = _in_blocks(exact, "component", F.col("n_blocks"), "digest").select("unit", "digest", "copies", "block", "across", "grams")
-    links = stored(_sorted_by(units, "unit", _verify, "a binary, b binary, n bigint"), "exact-links")
-    found = linked_classes(signatures.select("id", "digest"), sets.select("digest", "id", "copies"), links)
-    return found.withColumnRenamed("id", id_col)
+    return near_classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose class has a smaller id; rows with a null id stay, and so do rows that repeat a kept id."""
-    classes = near_duplicates(docs, id_col, text_col).toDF("id", "class_id", "n_links")
-    gone = stored(classes.where("id <> class_id").select("id").distinct(), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, col(id_col) == gone["id"], "left_anti")
+    """docs without the rows whose class has a smaller id.
+
+    Rows with a null id stay, and so do rows that repeat a kept id; an id that repeats with texts of several classes is
+    told by its texts.
+    """
+    classes = near_classes(docs, id_col, text_col)
+    gone = stored(classes.where("id <> class_id").select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, (col(id_col) == gone["gone_id"]) & (F.xxhash64(col(text_col)) == gone["gone_row"]), "left_anti")
