@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from itertools import combinations
 
@@ -21,6 +22,72 @@ def base_spans(text):
     return [f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found)]
 
 
+def plain_battery(token):
+    """(encoding, n, z, least p-value) of the randomness battery."""
+    from usageloom.llm.secrets import ENCODINGS
+
+    encoding, alphabet = next((name, alphabet) for name, (pattern, alphabet) in ENCODINGS.items() if re.search(pattern, token))
+    if encoding in ("hex", "base32", "base36"):
+        token = token.lower()
+    v = np.array([alphabet.index(c) for c in token.replace("-", "+").replace("_", "/")], float)
+    n, k = len(v), len(alphabet)
+    upper = lambda x: math.erfc(x / math.sqrt(2)) / 2
+    counts = np.bincount(v.astype(int), minlength=k)
+    chi = ((counts - n / k) ** 2 / (n / k)).sum()
+    shape = (k - 1) ** 2 / (2 * (k - 1) * (1 - 1 / n))
+    z = ((chi / (k - 1)) ** (1 / 3) - (1 - 1 / (9 * shape))) / math.sqrt(1 / (9 * shape))
+    high = v >= k / 2
+    n1, n0 = int(high.sum()), int((~high).sum())
+    p_runs = p_serial = 0.0
+    if n1 and n0:
+        mean = 1 + 2 * n1 * n0 / n
+        variance = 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+        runs = 1 + int((high[1:] != high[:-1]).sum())
+        p_runs = 2 * upper(abs(runs - mean) / math.sqrt(variance))
+    if v.std():
+        r = ((v - v.mean()) * (np.roll(v, -1) - v.mean())).mean() / v.var()
+        p_serial = 2 * upper(abs(r + 1 / (n - 1)) * math.sqrt(n))
+    return encoding, n, z, min(upper(z), p_runs, p_serial)
+
+
+def random_spans(rows):
+    """{id: spans} of the kind random over all rows (id, text) with distinct ids."""
+    from usageloom.llm import secrets
+
+    found = []
+    for i, text in rows:
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text)]
+        for m in re.finditer(secrets.CANDIDATE, text or ""):
+            if not any(a < m.end() and m.start() < b for a, b in base):
+                found.append((i, m.start(), m.end(), not re.search("[0-9]", m[0]), *plain_battery(m[0])))
+    text = {}
+    for encoding in {f[4] for f in found}:
+        words = [f for f in found if f[4] == encoding and f[3]]
+        if len(words) >= secrets.LEAST_TEXT:
+            skew = sum(f[6] for f in words) / sum(f[5] for f in words)
+            text[encoding] = skew, math.sqrt(sum((f[6] - skew * f[5]) ** 2 / f[5] for f in words) / len(words))
+
+    def p_text(f):
+        if f[7] < secrets.GATE / 3:
+            return 1.0
+        skew, spread = text.get(f[4], (None, None))
+        p = 0.0 if skew is None else math.erfc(-(f[6] - skew * f[5]) / (spread * math.sqrt(f[5])) / math.sqrt(2)) / 2
+        # Rounded up to a bin's upper bound.
+        return 10 ** (-min(math.floor(-secrets.BINS * math.log10(max(p, 1e-300))), secrets.MOST_BIN) / secrets.BINS)
+
+    strata = {}
+    for f in found:
+        strata.setdefault((f[4], sum(f[5] >= x for x in secrets.LENGTHS)), []).append((p_text(f), f))
+    out = {i: [] for i, _ in rows}
+    for tests in strata.values():
+        order = sorted(p for p, _ in tests)
+        good = [p for rank, p in enumerate(order, 1) if p < 1 and p <= secrets.FDR * rank / len(order)]
+        for p, f in tests:
+            if good and p <= max(good):
+                out[f[0]].append((f[1], f[2]))
+    return {i: [f"random:{a}:{b}" for a, b in sorted(x)] for i, x in out.items()}
+
+
 def gram_set(text):
     words = (text or "").lower().split()
     return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
@@ -99,5 +166,36 @@ def best_distance(item, text):
     return int(row.min())
 
 
+def plain_toxicity(rows, toxic):
+    """{id: 0 or 1} of rows (id, text), learnt from {id: label}: the n-grams themselves, unhashed, and a plain gradient descent."""
+    from usageloom.llm import toxicity
+
+    def grams(text):
+        padded = " " + " ".join((text or "").lower().split()) + " "
+        return {padded[i : i + n] for n in toxicity.SIZES for i in range(len(padded) - n + 1)} if padded.strip() else set()
+
+    sets = {i: grams(t) for i, t in rows}
+    counts, n = [{}, {}], [0, 0]
+    for i, y in toxic.items():
+        n[y] += 1
+        for g in sets[i]:
+            counts[y][g] = counts[y].get(g, 0) + 1
+    ratio, z = {}, {}
+    for g in counts[0].keys() | counts[1].keys():
+        q, p = (counts[y].get(g, 0) for y in (0, 1))
+        mean = (p + q) / sum(n)
+        z[g] = abs(p / n[1] - q / n[0]) / max(math.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1])), 1e-12)
+        ratio[g] = math.log((p + 1) / (n[1] + 1)) - math.log((q + 1) / (n[0] + 1))
+    best = sorted((g for g in z if z[g] > toxicity.LEAST_Z), key=lambda g: (-z[g], g))[: toxicity.FEATURES]
+    x = {i: np.array([ratio[g] if g in s else 0.0 for g in best]) for i, s in sets.items()}
+    a, y = np.array([x[i] for i in toxic]), np.array(list(toxic.values()))
+    w, b, weight = np.zeros(len(best)), 0.0, np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    step = 2.0 / (a * a).sum(axis=1).max()
+    for _ in range(3000):
+        r = (1 / (1 + np.exp(-(a @ w + b))) - y) * weight
+        w, b = w - step * (a.T @ r + toxicity.PENALTY * w), b - step * r.sum()
+    return {i: int(v @ w + b + 0.5 * math.log(n[1] / n[0]) >= 0) for i, v in x.items()}
+
+
 def sha(data):
     return hashlib.sha256(data).hexdigest()

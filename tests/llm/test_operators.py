@@ -48,6 +48,17 @@ def test_shards_of_nulls_repeats_and_clashing_columns(spark):
     assert len(rows) == 4 and all(r["shard_"] in (0, 1, 2) for r in rows)
     assert len({r["shard_"] for r in rows if r["id"] == 1}) == 1
     assert sharding.assign_shards(df.limit(0), ["id"], ["x"]).count() == 0
+    long = spark.createDataFrame([(1, "x" * 2_000_000), (2, "x" * 2_000_000), (3, "x" * 1_999_999)], "id long, key string")
+    a, b, _ = sorted(sharding.assign_shards(long, ["key"], ["x", "y", "z"]).drop("key").collect())
+    assert (a["slot"], a["shard"]) == (b["slot"], b["shard"])
+
+
+def test_tables_of_many_shards_stay_bounded():
+    assert sharding.table_size(64) == sharding.next_prime(6400) and sharding.table_size(0) == 101
+    assert sharding.table_size(200_000) == sharding.next_prime(1 << 20) and sharding.table_size(1_000_000) == sharding.next_prime(2_000_000)
+    names = [f"s{i}" for i in range(20_000)]
+    counts = np.bincount(sharding.lookup_table(names, sharding.table_size(len(names))))
+    assert len(counts) == len(names) and counts.max() - counts.min() <= 1
 
 
 def test_shard_names_must_be_distinct():
@@ -64,7 +75,7 @@ def test_archives_round_trip(spark):
     big, pages = "ä" * 60, []
     for i in range(40):
         pages.append((i, f"http://x/{i}", big if i % 3 == 0 else "small" if i % 3 == 1 else words(i, 300), "clash"))
-    pages += [(40, None, None, None), (None, "u", big, None), (3, "again", big, None), (0, "again", big, None)]
+    pages += [(40, None, None, None), (None, "u", big, None), (3, "again", big, None), (0, "again", big, None), (41, "long", words(1, 900_000), None)]
     index = warc.write_archives(spark.createDataFrame(pages, PAGES).repartition(4))
     assert index.columns == ["page_id", "file", "offset", "length", "url", "digest"]
     got = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], bytes(r["payload"]) if r["payload"] is not None else None) for r in warc.read_records(index, True).collect()), key=repr)
@@ -74,6 +85,7 @@ def test_archives_round_trip(spark):
         revisit = html == big and i != 0
         want.append((i, url or "", "revisit" if revisit else "response", 0 if revisit else None, len(raw), None if revisit else raw))
     assert got == sorted(want, key=repr)
+    assert warc.ranges(index).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     some = warc.read_records(index.where("page_id % 7 = 0"), True).collect()
     assert sorted(r["page_id"] for r in some) == [0, 0, 7, 14, 21, 28, 35]
 
@@ -206,6 +218,32 @@ def test_secret_spans(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_battery_tells_planted_keys_from_text(spark):
+    rng = random.Random(8)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"hex": digits + "abcdef", "base36": digits + low, "base62": digits + low + up, "base64": digits + low + up + "+/"}
+    english = "the of and to in is that for it as was with be by on not he this are or his from at which but have an had they you were".split()
+    rows, keys = [], {}
+    for i in range(1500):
+        # Identifiers, paths and joined words, one in four with a number; and a key in every fifth document.
+        part = [rng.choice(english + [rng.choice(english) + rng.choice(english)]) for _ in range(rng.randint(5, 16))]
+        if i % 4 == 0:
+            part.insert(2, str(rng.randint(1, 2024)))
+        token = rng.choice(["_", "-", "/", ""]).join(part)
+        text = f"see {token} and "
+        if i % 5 == 0:
+            kind = list(alphabets)[i // 5 % 4]
+            key = "".join(rng.choices(alphabets[kind], k=rng.choice([24, 28] if kind == "hex" else [32, 40, 64])))
+            keys[i] = f"random:{len(text)}:{len(text) + len(key)}"
+            text += key
+        rows.append((i, text + " é end"))
+    got = {r["doc_id"]: [f"random:{x.start}:{x.end}" for x in r["spans"] if x.kind == "random"] for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.random_spans(rows)
+    found = {(i, x) for i, spans in got.items() for x in spans}
+    hits = sum((i, k) in found for i, k in keys.items())
+    assert hits >= 0.95 * len(keys) and hits >= 0.9 * len(found)
+
+
 # 6: token counts
 
 
@@ -230,6 +268,7 @@ def test_counts_equal_the_tokenizer(spark, documents):
     assert len(got) == len(rows)
     want = {i: len(model.encode(t or "")) for i, t in rows}
     assert {r["doc_id"]: r["n_tokens"] for r in got} == want
+    assert token_counts.count_tokens(spark.createDataFrame([], DOCS), path).count() == 0
 
 
 def test_runs_of_blanks_take_the_whole_vocabulary(spark):
@@ -333,6 +372,19 @@ def test_repeated_lines_go(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_filters_of_ranges_give_the_same(spark, monkeypatch):
+    # Ten times the lines need ten times the ranges, and no larger filter.
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 20)
+    monkeypatch.setattr(line_dedup, "BITS_A_LINE", 1000)
+    sizes = []
+    whole = line_dedup.repeated_filter
+    monkeypatch.setattr(line_dedup, "repeated_filter", lambda *a: sizes.append(whole(*a)[0]) or whole(*a))
+    rows = [(i, "\n".join(words(j, 12) for j in range(i * 7, i * 7 + 60))) for i in range(100)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS))
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()} == brute.dedup_lines(rows)
+    assert len(sizes) == -(-6000 * 1000 // (1 << 20)) == 6 and max(sizes) <= 20
+
+
 def test_null_ids_count_once(spark):
     line = "x" * 40
     rows = [(None, line)] * 4 + [(i, line) for i in range(4)]
@@ -363,6 +415,7 @@ def test_near_copies_of_all_kinds(spark):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(df).collect()}
     want = brute.near_classes(rows)
     assert got == want
+    assert jaccard_join.near_duplicates(df).columns == ["doc_id", "class_id", "n_links"]
     kept = jaccard_join.keep_one_of_each(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in want.values()})
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
@@ -371,10 +424,11 @@ def test_near_copies_of_all_kinds(spark):
 def test_runs_share_no_coordinate_and_reach_the_target():
     paths = jaccard_join._PATHS
     assert len(set(paths.ravel().tolist())) == paths.size
+    paths = paths[: jaccard_join.RUNS]
     # What was planned, met by simulated pairs at the threshold: equal coordinates, and bytes that are equal by chance.
     rng = np.random.default_rng(1)
     equal = rng.random((200_000, jaccard_join.COORDINATES)) < 0.8
-    same = (equal | (rng.random(equal.shape) < 1 / 256)).sum(axis=1) >= jaccard_join.LEAST_SAME
+    same = (equal | (rng.random(equal.shape) < 1 / jaccard_join.TOKENS)).sum(axis=1) >= jaccard_join.LEAST_SAME
     met = np.zeros(len(equal), bool)
     for path in paths:
         met |= equal[:, path].all(axis=1)
@@ -391,6 +445,30 @@ def test_pairs_at_the_threshold_are_found_in_the_deepest_buckets(spark, monkeypa
     assert sum(r["n_links"] == 1 for r in got) >= 0.994 * len(rows)
 
 
+def test_runs_are_added_until_the_measured_recall_is_reached(spark, monkeypatch):
+    # Three runs at first: links at the threshold are often met by one run only, which is measured and mended.
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    monkeypatch.setattr(jaccard_join, "RUNS", 3)
+    made, whole = [], jaccard_join.exact_links
+    monkeypatch.setattr(jaccard_join, "exact_links", lambda *a: made.append(a[3]) or whole(*a))
+    rows = []
+    for i in range(300):
+        shared = [f"p{i}x{j}" for j in range(124)]
+        rows += [(2 * i + s, " ".join(shared + [f"s{s}p{i}x{j}" for j in range(15)])) for s in (0, 1)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert made[:2] == [3, 6] and made[-1] >= 12
+    assert sum(r["n_links"] == 1 for r in got) >= 0.98 * len(rows)
+
+
+def test_an_id_on_texts_of_two_classes_loses_one(spark):
+    near, far = words(1, 40), words(2, 40)
+    rows = [(3, near), (7, near + " end"), (7, far), (None, near), (None, far), (None, None), (None, words(3, 40)), (None, words(3, 40))]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in jaccard_join.keep_one_of_each(df).collect())
+    assert kept == sorted([(3, near), (7, far), (-1, near), (-1, far), (-1, ""), (-1, words(3, 40)), (-1, words(3, 40))])
+    assert jaccard_join.near_duplicates(df).count() == len(rows)
+
+
 def test_repeated_and_null_document_ids(spark):
     text = words(1, 30)
     rows = [(5, text), (5, text), (None, text), (3, text), (9, words(2, 30)), (None, None)]

@@ -1,8 +1,11 @@
 """The corpus pipeline, stage by stage against plain versions, on its own inputs."""
 
+import base64
+
 import brute
 import corpus_pipeline
 import public_tokenizers
+import tiktoken
 import __spark_entry__ as entry
 
 from usageloom.llm import decontamination, toxicity
@@ -33,12 +36,45 @@ def test_stages_equal_plain_versions(spark, sf_dir):
     assert sorted(rows(leaks[2])) == sorted(set(rows(leaks[1])) - found)
 
     assert encoded[2].columns == [*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and rows(encoded[2]) == rows(encoded[1])
-    assert public_tokenizers.path(corpus_pipeline.BYTE_BPE)
 
 
-def test_run_is_registered_and_ends_like_its_stages(spark, sf_dir):
-    result = entry.queries()["pipeline"](spark, sf_dir)
-    assert 0 < result.count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    with open(public_tokenizers.path(corpus_pipeline.BYTE_BPE), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in encoded[2].collect():
+        ids = own.encode_ordinary(r["text"] or "")
+        assert r["ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == brute.sha(b"".join(x.to_bytes(4, "little") for x in ids)) and r["decoded_sha256"] == brute.sha((r["text"] or "").encode())
+
+    # run() is these stages one after the other.
+    found = entry.queries()["pipeline"](spark, sf_dir)
+    assert found.columns == encoded[2].columns and sorted(found.collect(), key=lambda r: r["doc_id"]) == sorted(encoded[2].collect(), key=lambda r: r["doc_id"])
+    assert 0 < found.count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_odd_rows_of_documents(spark, sf_dir, tmp_path):
+    """Nulls, empty, very long and repeated rows, ids on several texts, and columns that clash."""
+    clean = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 500 and 900").orderBy("doc_id").limit(12).collect()
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first()["text"]
+    texts = [r["text"] for r in clean]
+    other = [" ".join(f"{w}{i}" for w in texts[i].split()) for i in range(6)]
+    long = " ".join(f"w{i % 9973}x{i % 31}" for i in range(120_000))
+    rows = [(1, None), (2, ""), (None, None), (3, other[0]), (4, other[0] + " end"), (4, other[1]), (5, other[2]), (5, other[2]), (None, other[3]), (None, other[3]), (6, long), (7, f"x {item} y"), (None, f"{item}")]
+    docs = spark.createDataFrame([(i, t, "xx", 7, 8, 9) for i, t in rows], "doc_id long, text string, lang string, n_chars long, ids int, n_tokens int")
+    names, seen = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name.replace(" ", "-"))
+        stage(spark, seen, sf_dir).write.parquet(path)
+        seen = spark.read.parquet(path)
+        assert seen.columns == names if name != "byte-level BPE" else seen.columns == [*names, "ids_", "n_tokens_", "ids_sha256", "decoded_sha256"]
+        if name == "toxicity":
+            model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            left = [(i, t) for i, t in rows if model.score(t) < 0.5]
+            assert seen.count() == len(left)
+    # Of 3 and 4 with nearly equal texts one stays, and 4's other text; 5 is twice there; the item's rows go.
+    want = [(i, t) for i, t in left if (i, t) != (4, other[0] + " end") and item not in (t or "")]
+    got = [(r["doc_id"], r["text"]) for r in seen.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and all(r["n_chars"] == len(r["text"]) for r in seen.where("text is not null").collect())
 
 
 def test_empty_documents(spark, sf_dir):
