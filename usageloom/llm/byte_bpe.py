@@ -24,12 +24,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.shared import col, fresh
+from usageloom.llm.shared import col, fresh, small_batches
 
 #: Pre-tokens that a worker keeps encoded; beyond it the store starts anew, with the same results.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 #: Pre-tokens, and ids to be decoded, that are worked on at once.
-SLICE_PIECES = 1 << 19
+SLICE_PIECES = 1 << 18
 
 #: Unicode's White_Space, which \s stands for in the tokenizer's pattern; Java's \s is ASCII only.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -207,6 +207,7 @@ def _decoder(path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids): the token ids of each whole text."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     cut = docs.select(col(id_col).alias("id"), pre_tokens(col(text_col), pattern).alias("pieces"))
     return cut.mapInArrow(_encoder(path), f"id {id_type}, ids array<int>")
@@ -241,6 +242,7 @@ def _digester(path: str):
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_tokens, ids_sha256, decoded_sha256), encoded and decoded in one pass over the texts."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     cut = docs.select(col(id_col).alias("id"), pre_tokens(col(text_col), pattern).alias("pieces"))
     return cut.mapInArrow(_digester(path), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
@@ -248,6 +250,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 def add_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with ids, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to); every column of docs stays."""
+    small_batches(docs.sparkSession)
     names = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def tokens(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:

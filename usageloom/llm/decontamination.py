@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.shared import col
+from usageloom.llm.shared import col, small_batches
 
 ERROR_RATE = 0.06
 #: Characters of items that are broadcast at once, and the automaton's text (some 70 MB in a worker).
@@ -132,6 +132,7 @@ def find_matches(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE
 ) -> DataFrame:
     """Rows (doc_id, item_id, distance): every item that occurs in a document within its error budget, once."""
+    small_batches(docs.sparkSession)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     texts = docs.select(col(id_col).alias("id"), normal_text(col(text_col)).alias("text"))
 
@@ -166,6 +167,7 @@ def _cleaner(cast, rate: float):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """docs without the rows in which an item occurs within its error budget."""
+    small_batches(docs.sparkSession)
     for block in _blocks(items, item_id, item_text):
         cast = docs.sparkSession.sparkContext.broadcast(block)
         docs = docs.where(F.pandas_udf(_cleaner(cast, rate), "boolean")(normal_text(col(text_col))))

@@ -10,12 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting of the bytes of an Arrow batch, its default, and what a worker gets here where that wasn't changed: what
+#: the JVM and the worker hold of a batch is some times its size.
+BATCH_SETTING, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have BATCH bytes, unless the session has a size of its own."""
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(DEFAULT_BATCH):
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset and all runs on this machine (tests), one is made and set."""
+    small_batches(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named and not re.match(r"local(\[.*)?$", sc.master):

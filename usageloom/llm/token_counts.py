@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from usageloom.llm.shared import col
+from usageloom.llm.shared import col, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -125,6 +125,7 @@ def _count(path: str):
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_tokens, score): the piece count and the score of each whole text's best path. Map-only."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     return texts.mapInArrow(_count(path), f"id {id_type}, n_tokens long, score double").withColumnRenamed("id", id_col)
