@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from usageloom.llm import byte_bpe, decontamination, fill_in_middle, jaccard_join, line_dedup, secrets, sharding, token_counts, toxicity, vector_dedup, warc
+from usageloom.llm import byte_bpe, chat, decontamination, fill_in_middle, jaccard_join, line_dedup, secrets, sharding, token_counts, toxicity, vector_dedup, warc
 from usageloom.llm.shared import load
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -139,6 +139,45 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
        sha256(text) AS restored_sha256
 FROM cut"""
 
+#: A conversation whose texts hold the template's own marks.
+PLANTED_ID, PLANTED_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(F.lit(PLANTED_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TEXT).alias("text"))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    found = chat.format_chats(rows, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    read = found.select("conv_id", "formatted", "loss_text", F.explode(F.array(chat.read_turns(F.col("formatted")))).alias("read"))
+    told = F.array_join(F.transform("read", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_sql() -> str:
+    template = chat.Template()
+
+    def escaped(text: str, role: bool = False) -> str:
+        for plain, code in template.codes(role):
+            text = f"replace({text}, '{plain}', '{code}')"
+        return text
+
+    return rf"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT {PLANTED_ID}, unnest([0, 1]), unnest(['user', 'assistant']), '{PLANTED_TEXT}'
+    ), sized AS (
+      SELECT *, length('{template.open}' || {escaped("role", True)} || '{template.role_end}' || {escaped("text")}) + {len(template.close)} AS chars FROM turns
+    )
+    SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_lookup": op1_shard_lookup,
     "op2_warc_index": op2_warc_index,
@@ -151,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
@@ -158,4 +198,5 @@ ORACLE: dict[str, str] = {
     "op2_warc_index": OP2_SQL,
     "op9_line_dedup": OP9_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op13_chat_format": op13_sql(),
 }
