@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from usageloom.llm.shared import col, fresh, small_batches
 
-#: Packed bytes for each entry of a directory, and bytes of text that are marked at once.
+#: Packed bytes for each entry of a directory, and bytes of text that are marked at once (a multiple of eight).
 BLOCK_BYTES, MARKED_BYTES = 64, 1 << 20
 
 

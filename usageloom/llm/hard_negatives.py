@@ -1,10 +1,10 @@
 """Hard negatives through vector-approximation files.
 
 Vectors are whole numbers: floor(256 x) of every component. The rows are dealt to blocks of about BLOCK_ROWS by a hash, and
-every block is a vector-approximation file: each dimension is quantised into CELLS cells with equal shares of the block's
-rows, and the codes of two dimensions are packed into a byte. For an anchor, two tables of a block hold the least and the
-greatest product of its component with what a cell really holds; the sums of table entries are a lower and an upper bound of
-every row's score. Of a block only rows whose bounds let them be among an anchor's best are scored exactly:
+every block is a vector-approximation file: each dimension is quantised into CELLS cells, a byte each, whose edges lie
+midway between those of equal shares of the rows and those of equal widths. For an anchor, two tables of a block hold the
+least and the greatest product of its component with what a cell really holds; the sums of table entries are a lower and
+an upper bound of every row's score. Of a block only rows whose bounds let them be among an anchor's best are scored exactly:
   - positives: rows of the anchor's label whose upper bound reaches the least of the `positives` greatest lower bounds;
   - negatives, for each positive: rows of other labels whose bounds meet the window, and whose upper bound reaches the
     least of the `negatives` greatest lower bounds of those that are surely in it.
@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 
 from usageloom.llm.shared import col, small_batches, stored
 
-#: Rows and anchors of a block, and cells of a dimension: two of them make a byte.
-BLOCK_ROWS, BLOCK_ANCHORS, CELLS = 8192, 256, 16
+#: Rows and anchors of a block, and cells of a dimension (256 at most).
+BLOCK_ROWS, BLOCK_ANCHORS, CELLS = 8192, 256, 64
 ROW = ["id", "label", "anchor", "vector"]
 
 
@@ -51,30 +51,26 @@ class Approximation:
     """A block's vectors, as codes of cells with their real bounds, and what is needed to score a few of them exactly."""
 
     def __init__(self, vectors: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray):
-        self.vectors, self.codes, self.low, self.high, self.pairs = vectors, codes, low, high, len(codes)
+        self.vectors, self.codes, self.low, self.high = vectors, codes, low, high
 
     @classmethod
     def of(cls, vectors: np.ndarray) -> Approximation:
         n, dim = vectors.shape
-        pairs = (dim + 1) // 2
-        ends, codes = np.zeros((2, 2 * pairs, CELLS), np.int64), np.zeros((2 * pairs, n), np.uint8)
+        ends, codes = np.zeros((2, dim, CELLS), np.int64), np.zeros((dim, n), np.uint8)
         for d in range(dim):
-            values = vectors[:, d]
-            edges = np.partition(values, cuts := np.arange(1, CELLS) * n // CELLS)[cuts]
-            codes[d] = np.searchsorted(edges, values, side="right")
-            for c in np.unique(codes[d]):
-                held = values[codes[d] == c]
-                ends[:, d, c] = held.min(), held.max()
-        return cls(vectors, codes[0::2] | codes[1::2] << 4, *ends)
+            values = np.sort(vectors[:, d])
+            edges = (values[np.arange(1, CELLS) * n // CELLS] + np.linspace(values[0], values[-1], CELLS + 1)[1:-1]) / 2
+            codes[d] = np.searchsorted(edges, vectors[:, d], side="right")
+            cuts = np.concatenate([[0], np.searchsorted(values, edges, side="left"), [n]])
+            held = np.flatnonzero(cuts[1:] > cuts[:-1])
+            ends[:, d, held] = values[cuts[held]], values[cuts[held + 1] - 1]
+        return cls(vectors, codes, *ends)
 
     def bounds(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least, greatest) possible score of every row: sums over the tables of pairs of dimensions."""
-        padded = np.zeros((2 * self.pairs, 1), np.int64)
-        padded[: len(anchor), 0] = anchor
-        ends = padded * self.low, padded * self.high
+        """(least, greatest) possible score of every row: sums of table entries."""
+        ends = anchor[:, None] * self.low, anchor[:, None] * self.high
         out = []
-        for each in (np.minimum(*ends), np.maximum(*ends)):
-            tables = (each[0::2, None, :] + each[1::2, :, None]).reshape(self.pairs, CELLS * CELLS)
+        for tables in (np.minimum(*ends), np.maximum(*ends)):
             total = np.zeros(len(self.vectors), np.int64)
             for table, codes in zip(tables, self.codes, strict=True):
                 total += table[codes]
