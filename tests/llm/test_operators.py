@@ -126,7 +126,18 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.reject_toxic(docs.limit(0), none).count() == 0
 
 
-def test_all_labelled_rows_choose_the_slots(spark, monkeypatch):
+def test_slots_are_packed_either_way():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 8191, 8192, 20_000, 1 << toxicity.SLOT_BITS):
+        found = rng.permutation(1 << toxicity.SLOT_BITS)[:n].astype(np.int32)
+        held = toxicity.packed(found)
+        assert len(held) <= 1 << (toxicity.SLOT_BITS - 3) and toxicity.unpacked(held).tolist() == sorted(found.tolist())
+    for text in (words(1, 50), "ab ab ab", "", None, "ü x ü"):
+        found = toxicity.features(text)
+        assert sorted(found.tolist()) == sorted(set(toxicity.slots(text).tolist()))
+
+
+def test_all_labelled_rows_scale_all_slots(spark, monkeypatch):
     # A rare toxic word: too few in the sample to tell, enough in all rows.
     monkeypatch.setattr(toxicity, "SAMPLE_A_CLASS", 40)
     rows = [(i, words(i, 6) + (" qzxjv" if i % 2 and i % 10 == 1 else ""), i % 2) for i in range(1200)]
@@ -142,8 +153,14 @@ def test_all_labelled_rows_choose_the_slots(spark, monkeypatch):
     for _, text, toxic in kept:
         plain[toxic, toxicity.features(text)] += 1
     n_toxic = sum(r[2] for r in kept)
-    slots, ratio = toxicity.Counts(plain[1], plain[0], n_toxic, len(kept) - n_toxic).scales()
-    assert set(slots[ratio > 0]) & set(slot) and set(np.flatnonzero(model.weights)) <= set(slots)
+    ratio = toxicity.Counts(plain[1], plain[0], n_toxic, len(kept) - n_toxic).scales()
+    assert (ratio[slot] > 0).all()
+    # No slot is left out: each has a scale unless its shares are equal, and every scaled slot of the sample a weight.
+    assert ((ratio != 0) == (plain[1] * (len(kept) - n_toxic) != plain[0] * n_toxic)).all()
+    order = table.selectExpr("doc_id", "toxic", "xxhash64(doc_id) AS o").where(~toxicity.is_held_out("doc_id")).orderBy("o").collect()
+    sample = [rows[r["doc_id"]] for y in (0, 1) for r in [r for r in order if r["toxic"] == y][:40]]
+    seen = np.unique(np.concatenate([toxicity.features(t) for _, t, _ in sample]))
+    assert (model.weights[seen][ratio[seen] != 0] != 0).all()
     assert model.score("qzxjv") > model.score("w1")
 
 

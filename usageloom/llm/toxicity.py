@@ -1,17 +1,20 @@
 """Toxicity scores from a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct character n-grams of its lower-cased, blank-padded words, hashed into a fixed number
-of slots. Each slot is scaled by the log ratio of its smoothed counts in toxic and other training texts, and a logistic
-regression is fitted on the scaled features of the FEATURES slots whose shares differ most, beyond chance (LEAST_Z); the
-rest weigh nothing, so that a long text's many ordinary n-grams don't drown the few that tell. The counts, and with them
-the ratios and the choice of slots, are of all labelled training rows, summed in the executors; only the regression takes
-a bounded sample (SAMPLE_A_CLASS of each class, by hash of the id), of which a row is a bit for each feature, whatever its
-text's length. The shares of the classes come from all labels. Scoring covers every whole text, map-only.
+of slots. Each slot is scaled by the log ratio of its smoothed counts in toxic and other training texts, drawn towards 0
+where chance may have made it: a ratio keeps z * z / (z * z + DOUBT * DOUBT) of its size, where z is the difference of the
+two shares in standard errors. So a long text's many ordinary n-grams don't drown the few that tell, and no slot is left
+out. A logistic regression is fitted on the scaled slots, all of them. The counts, and with them the ratios, are of all
+labelled training rows, summed in the executors; only the regression takes a bounded sample (SAMPLE_A_CLASS of each class, by
+hash of the id). It is fitted by one task: a row of the sample is a list of slots, or a bit for each where that is shorter,
+so whatever the texts' lengths the sample has 200 MB at most (20 MB usually), and only the weights reach the driver. The
+shares of the classes come from all labels. Scoring covers every whole text, map-only.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; rows without a label, or with
 a null label or id, aren't learnt from; a document with several labels is toxic if one says so; rows that repeat a labelled
 id are each learnt from, with their own texts; with labels of one class only, or none, every score is the toxic share (0
-without labels). Repeated rows get equal scores. Extra columns pass, and train reads only the columns named to it.
+without labels). Repeated rows get equal scores; ties of the sample's order go by the row's features; an empty table gives an
+empty result. Extra columns pass, and train reads only the columns named to it.
 """
 
 from collections.abc import Iterator
@@ -22,8 +25,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from usageloom.llm.shared import col, fresh, stored
+from usageloom.llm.shared import col, fresh, small_batches, stored
 
 SLOT_BITS = 18
 SIZES = (3, 4, 5)
@@ -31,15 +35,14 @@ SIZES = (3, 4, 5)
 SAMPLE_A_CLASS = 3000
 #: Added to each slot's counts.
 SMOOTHING = 1.0
-#: A slot may count if the shares of toxic and other texts that hold it differ by so many standard errors; so many slots,
-#: those that differ most, are the features of the regression.
-LEAST_Z, FEATURES = 3.5, 4096
+#: Standard errors at which half of a log-count ratio is believed.
+DOUBT = 4.0
 #: Weight of the squared coefficients, and the passes over the sample.
-PENALTY, STEPS = 1e-3, 150
+PENALTY, STEPS = 1e-3, 60
 HELD_OUT = 5
 #: Slots whose counts are summed in one group, and rows of the sample that the fit goes through at once.
 CHUNK, FIT_ROWS = 4096, 512
-#: Labels that may be broadcast (some 15 MB in memory); more are joined by a shuffle.
+#: Labels of numbered documents that may be broadcast (some 15 MB in memory); more, or ids of any length, are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
 
@@ -63,11 +66,32 @@ def slots(text: str | None) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
+#: For each slot the last place in a text where it was seen: told apart without sorting, and used for one text after another.
+_last = np.zeros(1 << SLOT_BITS, np.int32)
+
+
 def features(text: str | None) -> np.ndarray:
-    """The sorted distinct slots of a text's character n-grams."""
-    seen = np.zeros(1 << SLOT_BITS, bool)
-    seen[slots(text)] = True
-    return np.flatnonzero(seen).astype(np.int32)
+    """The distinct slots of a text's character n-grams, in the order of their last places."""
+    found = slots(text)
+    places = np.arange(len(found), dtype=np.int32)
+    _last[found] = places
+    return found[_last[found] == places].astype(np.int32)
+
+
+def packed(found: np.ndarray) -> bytes:
+    """A text's slots as 32-bit numbers, or as a bit for each slot: whichever is shorter."""
+    if len(found) * 32 < 1 << SLOT_BITS:
+        return np.sort(found).tobytes()
+    bits = np.zeros(1 << SLOT_BITS, bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    """The slots in order; a list of them is always shorter than the bits are."""
+    if len(held) == 1 << (SLOT_BITS - 3):
+        return np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8))).astype(np.int32)
+    return np.frombuffer(held, np.int32)
 
 
 @dataclass(frozen=True)
@@ -78,9 +102,7 @@ class Model:
     intercept: float
 
     def score(self, text: str | None) -> float:
-        x = slots(text)
-        x = np.unique(x[self.weights[x] != 0])
-        z = self.intercept + float(self.weights[x].sum())
+        z = self.intercept + float(self.weights[features(text)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -93,51 +115,46 @@ class Counts:
     n_toxic: int
     n_other: int
 
-    def scales(self) -> tuple[np.ndarray, np.ndarray]:
-        """The feature slots, in order, and their log-count ratios."""
+    def scales(self) -> np.ndarray:
+        """Each slot's log-count ratio, as far as it is believed."""
         p, q, n_toxic, n_other = self.p, self.q, self.n_toxic, self.n_other
         if not n_toxic or not n_other:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(len(p))
         mean = (p + q) / (n_toxic + n_other)
         error = np.sqrt(mean * (1 - mean) * (1 / n_toxic + 1 / n_other))
-        z = np.abs(p / n_toxic - q / n_other) / np.maximum(error, 1e-12)
-        slots = np.sort([i for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] > LEAST_Z]).astype(np.int64)
+        z = (p / n_toxic - q / n_other) / np.maximum(error, 1e-12)
         ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
-        return slots, ratio[slots]
-
+        return ratio * z**2 / (z**2 + DOUBT**2)
 
-def fit(rows: np.ndarray, toxic: np.ndarray, share: float, slots: np.ndarray, ratio: np.ndarray) -> Model:
-    """Fit on packed rows of a bit for each of the slots, with their 0/1 labels.
 
-    share is that of toxic rows among all that are labelled, ratio the slots' scales.
-    """
-    n, share = len(slots), min(max(share, 0.0), 1.0)
+def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, ratio: np.ndarray) -> Model:
+    """Fit on the slots of each row, with their 0/1 labels; share is that of toxic rows among all that are labelled, ratio the slots' scales."""
+    n, share = len(ratio), min(max(share, 0.0), 1.0)
     if not len(toxic) or toxic.min() == toxic.max():
-        return Model(np.zeros(1 << SLOT_BITS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return Model(np.zeros(n), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     w, b, y = np.zeros(n), 0.0, toxic.astype(float)
     # Adam on the whole sample: deterministic, and sure of its step whatever the slots' scales.
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     parts = []
     for i in range(0, len(rows), FIT_ROWS):
-        row, column = np.nonzero(np.unpackbits(rows[i : i + FIT_ROWS], axis=1, count=n))
-        parts.append((slice(i, i + FIT_ROWS), row.astype(np.int16), column.astype(np.int32)))
+        some = rows[i : i + FIT_ROWS]
+        parts.append((slice(i, i + FIT_ROWS), np.repeat(np.arange(len(some), dtype=np.int16), [len(x) for x in some]), np.concatenate(some)))
     for t in range(1, STEPS + 1):
-        g, gb, rate = PENALTY * w, 0.0, 0.05 / (1 + t / 40)
+        g, gb, rate = np.zeros(n), 0.0, 0.05 / (1 + t / 40)
         scaled = ratio * w
-        for part, row, column in parts:
-            z = np.bincount(row, weights=scaled[column], minlength=len(y[part])) + b
+        for part, row, slot in parts:
+            z = np.bincount(row, weights=scaled[slot], minlength=len(y[part])) + b
             r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[part]) * weight[part]
-            g += ratio * np.bincount(column, weights=r[row], minlength=n)
+            g += np.bincount(slot, weights=r[row], minlength=n)
             gb += r.sum()
+        g = PENALTY * w + ratio * g
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     # The fit weighs both classes alike; half the log odds of the classes' shares goes back in, between balance and prior.
-    weights = np.zeros(1 << SLOT_BITS)
-    weights[slots] = w * ratio
-    return Model(weights, float(b + 0.5 * np.log(share / (1 - share)) if 0 < share < 1 else b))
+    return Model(w * ratio, float(b + 0.5 * np.log(share / (1 - share)) if 0 < share < 1 else b))
 
 
 def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,34 +197,50 @@ def count_slots(rows: DataFrame) -> Counts:
     return Counts(counts[0], counts[1], *n)
 
 
-def _bits_of(slots):
-    """Rows (order, toxic, bits): a bit for each of the slots, a broadcast array."""
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (order, toxic, slots)."""
+    for batch in batches:
+        held = [packed(features(t.as_py())) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(held, pa.binary())], ["order", "toxic", "slots"])
+
+
+def _fitted(ratio, share: float):
+    """The one task that gets the sample, in order; a row (weights, intercept). ratio is a broadcast array."""
 
-    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, toxic = [], []
         for batch in batches:
-            held = [np.packbits(np.isin(slots.value, features(t.as_py()), assume_unique=True)).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(held, pa.binary())], ["order", "toxic", "bits"])
+            rows += [unpacked(x.as_py()) for x in batch.column("slots")]
+            toxic += batch.column("toxic").to_pylist()
+        model = fit(rows, np.array(toxic), share, ratio.value)
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "intercept": [model.intercept]})
 
-    return bits_of
+    return fitted
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the labelled documents that aren't held out; the sample that reaches the driver is bounded by SAMPLE_A_CLASS and FEATURES (3 MB)."""
+    """Fit on the labelled documents that aren't held out; what reaches the driver is counts and weights of the slots."""
+    small_batches(docs.sparkSession)
     known = labels.select(col(id_col).alias("id"), col(label_col).alias("toxic")).where("id is not null and toxic is not null")
     known = stored(known.where(~is_held_out("id")).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")), "training-labels")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    labelled = F.broadcast(known) if sum(counts.values()) <= BROADCAST_IDS else known
-    slots, ratio = count_slots(texts.join(labelled.where("toxic in (0, 1)"), "id")).scales()
+    few = sum(counts.values()) <= BROADCAST_IDS and isinstance(known.schema["id"].dataType, NumericType)
+    labelled = F.broadcast(known) if few else known
+    ratio = count_slots(texts.join(labelled.where("toxic in (0, 1)"), "id")).scales()
     order = F.xxhash64("id").alias("order")
     per_class = [known.where(F.col("toxic") == y).select("id", "toxic", order).orderBy("order", "id").limit(SAMPLE_A_CLASS) for y in (0, 1)]
-    sample = F.broadcast(per_class[0].unionByName(per_class[1]))  # 2 * SAMPLE_A_CLASS rows at most
-    cast = docs.sparkSession.sparkContext.broadcast(slots)  # 32 KB
-    coded = stored(texts.join(sample, "id").select("order", "toxic", "text").mapInArrow(_bits_of(cast), "order long, toxic int, bits binary"), "training-sample")
+    sample = per_class[0].unionByName(per_class[1])  # 2 * SAMPLE_A_CLASS rows at most
+    coded = stored(texts.join(F.broadcast(sample) if few else sample, "id").select("order", "toxic", "text").mapInArrow(_coded, "order long, toxic int, slots binary"), "training-sample")
     # Ids may repeat: then the rows are bounded once more, in the same order.
-    rows = [r for y in (0, 1) for r in coded.where(F.col("toxic") == y).orderBy("order", "bits").limit(SAMPLE_A_CLASS).collect()]
-    return fit(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]).reshape(len(rows), (len(slots) + 7) // 8), np.array([r["toxic"] for r in rows]), share, slots, ratio)
+    bounded = [coded.where(F.col("toxic") == y).orderBy("order", "slots").limit(SAMPLE_A_CLASS) for y in (0, 1)]
+    cast = docs.sparkSession.sparkContext.broadcast(ratio)  # 2 MB
+    whole = bounded[0].unionByName(bounded[1]).repartition(1).sortWithinPartitions("toxic", "order", "slots")
+    found = whole.mapInArrow(_fitted(cast, share), "weights binary, intercept double").first()
+    if found is None:  # no sample, so no task
+        return fit([], np.zeros(0, int), share, ratio)
+    return Model(np.frombuffer(found["weights"], float), found["intercept"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
