@@ -204,15 +204,42 @@ def test_audit_needs_links_other_than_own_rows():
     lonely = np.arange(1000, 1500)
     assert all(seen == 0 for _, seen, _ in vector_dedup.audit(graph, x, x[lonely], lonely))
     truth = (x @ x.T >= vector_dedup.THRESHOLD).sum() - len(x)
-    audits = {beam: (seen, found) for beam, seen, found in vector_dedup.audit(graph, x, x, everyone)}
+    audits = {(beam, "own"): (seen, found) for beam, seen, found in vector_dedup.audit(graph, x, x, everyone)}
     assert {seen for seen, _ in audits.values()} == {truth}
-    beam = vector_dedup.decided(audits, True)
+    beam = vector_dedup.decided(audits)
     who, _ = vector_dedup.links_in_shard(graph, x, x, everyone, beam)
     assert len(who) >= vector_dedup.RECALL * truth
-    # Nothing seen is no evidence, a miss widens the beam, and brute force takes over.
-    assert vector_dedup.decided({48: (0, 0), 96: (0, 0)}, False) is None
-    assert vector_dedup.decided({48: (2000, 1900), 96: (2000, 1990)}, False) == 96
-    assert vector_dedup.decided({48: (2000, 1900), 96: (2000, 1900)}, False) == 0
+    # A miss of either kind widens the beam, and brute force takes over; that there are no links is no miss.
+    assert vector_dedup.decided({(48, "own"): (0, 0), (48, "copies"): (500, 495), (96, "own"): (0, 0), (96, "copies"): (500, 500)}) == 48
+    assert vector_dedup.decided({(48, "own"): (10, 9), (48, "copies"): (500, 500), (96, "own"): (10, 10), (96, "copies"): (500, 496)}) == 96
+    assert vector_dedup.decided({(48, "own"): (0, 0), (48, "copies"): (500, 400)}) == 0 == vector_dedup.decided({})
+
+
+def test_vectors_without_links_are_walked(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, copies = vector_dedup.Graph(x), vector_dedup.near_copies(x)
+    cosines = copies @ x.T
+    assert np.allclose(np.linalg.norm(copies, axis=1), 1) and (cosines.max(axis=1) >= vector_dedup.THRESHOLD - 1e-9).all() and cosines.max() < 0.951
+    audits = {(beam, "copies"): (seen, found) for beam, seen, found in vector_dedup.audit(graph, x, copies, np.full(len(copies), -1))}
+    assert vector_dedup.decided(audits) in vector_dedup.beams() and min(seen for seen, _ in audits.values()) >= 0.95 * len(copies)
+    one = np.ones((5, 1))
+    assert (vector_dedup.near_copies(one) == 1).all()
+    # Their search compares none of them with the shard.
+    walked, rest = vector_dedup._walked, []
+    monkeypatch.setattr(vector_dedup, "_walked", lambda *a: rest.append((found := walked(*a))[2]) or found)
+    who, _ = vector_dedup.links_in_shard(graph, x, x[:500], np.arange(500), vector_dedup.decided(audits))
+    assert not len(who) and len(rest) == 1 and not len(rest[0])
+
+
+def test_shards_are_taken_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARDS_A_TASK", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)]
+    rows += [(400 + i, (np.array(rows[i % 40][1]) + 0.1 * rng.normal(size=6)).tolist()) for i in range(200)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute.near_vectors(rows)
 
 
 # 5: secrets

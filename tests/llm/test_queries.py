@@ -37,6 +37,7 @@ def test_op3_tells_held_out_documents(spark, sf_dir):
 
 
 def test_op4_equals_brute_force(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")  # 2000 vectors; sf0.01 has no more than sf0.001
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.op4_vector_dedup(spark, sf_dir).collect()}
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert got == brute.near_vectors(rows)

@@ -2,12 +2,14 @@
 
 Equal vectors are collapsed first. The distinct ones are dealt to shards by hash; each shard's graph is built by one task
 and written as a file to the shared folder. All vectors then search every shard: many queries walk a graph in step, so
-that each hop is one array operation. Before that, a sample of queries is audited against brute force in all shards,
-their own rows left out, until LEAST_LINKS true links are seen; the beam is the least that finds RECALL of them. A query whose
-whole beam links, so that more may, is compared with the whole shard. Links are verified by cosine in double precision.
+that each hop is one array operation. Before that, recall is audited against brute force in all shards, with two kinds of
+queries: a sample of the vectors, their own rows left out, and near copies of each shard's rows that are made for the
+audit, so that there is evidence where the table has no links. The beam is the least that finds RECALL of the links of
+both kinds. A query whose whole beam links, so that more may, is compared with the whole shard. Links are verified by
+cosine in double precision.
 
 A shard's vectors search their own shard first, which gives its components. Then parts of its vectors search the other
-shards, each of which a task loads once: there a link counts for its query, but as an edge only the two components that
+shards, some of which a task takes, and loads one after the other: there a link counts for its query, but as an edge only the two components that
 it joins go on, each pair once. So what leaves the tasks is a forest of each shard, and few edges between shards even
 where a group of near copies is in all of them.
 
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from usageloom.llm.components import least_labels, linked_classes
 from usageloom.llm.shared import col, scratch, stored
@@ -33,13 +36,14 @@ from usageloom.llm.warc import _filesystem
 
 THRESHOLD = 0.9
 #: Shards have about SHARD_BYTES of vectors (65,536 at 64 dimensions), and there are LEAST_SHARDS at least; a task's
-#: queries have QUERY_BYTES, and what it compares by brute force at once gives MATRIX_BYTES of cosines.
-LEAST_SHARDS, SHARD_BYTES, QUERY_BYTES, MATRIX_BYTES = 6, 32 << 20, 8 << 20, 32 << 20
+#: queries have as many at most, and search SHARDS_A_TASK; what is compared by brute force at once gives MATRIX_BYTES of cosines.
+LEAST_SHARDS, SHARD_BYTES, SHARDS_A_TASK, MATRIX_BYTES = 6, 32 << 20, 64, 32 << 20
 LINKS, BASE_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 48
 #: The beam doubles up to WIDEST until its recall of the audited links is RECALL; brute force takes over if none has it.
 RECALL, WIDEST = 0.99, 384
-#: True links that an audit must see; its queries at first and, fourfold each time, at most. Queries with links that a shard's graph walks for it.
-LEAST_LINKS, AUDITED, MOST_AUDITED, WALKED = 500, 1024, 16_384, 1024
+#: Vectors, of the whole table, that are audited in every shard, and copies made of each shard's rows; their cosines begin at
+#: the threshold and end at most NEAREST above it. Queries with links that a shard's graph walks for an audit.
+AUDITED, COPIES, NEAREST, WALKED = 1024, 256, 0.05, 1024
 STEP_QUERIES, EXPANDED = 512, 4
 
 
@@ -219,14 +223,21 @@ def audit(graph: Graph, units: np.ndarray, queries: np.ndarray, own: np.ndarray)
     return out
 
 
-def decided(audits: dict[int, tuple[int, int]], complete: bool) -> int | None:
-    """The least beam of which enough links were seen and that has the recall; 0 for brute force, None if the audit can't say.
+def near_copies(units: np.ndarray) -> np.ndarray:
+    """Unit vectors that are just near enough to rows of a shard, in directions of their own."""
+    rng = np.random.default_rng(len(units))
+    rows = units[rng.permutation(len(units))[:COPIES]]
+    away = rng.normal(size=rows.shape)
+    away -= (away * rows).sum(axis=1, keepdims=True) * rows
+    size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    cosine = np.where(size > 1e-9, THRESHOLD + NEAREST * rng.random((len(rows), 1)), 1.0)
+    return cosine * rows + np.sqrt(1 - cosine * cosine) * away / np.maximum(size, 1e-9)
 
-    A complete audit, of all queries, needs no number of links.
-    """
-    known = {beam: (seen, found) for beam, (seen, found) in audits.items() if complete or seen >= LEAST_LINKS}
-    good = [beam for beam, (seen, found) in known.items() if found >= RECALL * seen]
-    return min(good) if good else 0 if len(known) == len(audits) else None
+
+def decided(audits: dict[tuple[int, str], tuple[int, int]]) -> int:
+    """The least beam that has the recall with each kind of queries; 0, for brute force, if none has it."""
+    missed = {beam for (beam, _), (seen, found) in audits.items() if found < RECALL * seen}
+    return min({beam for beam, _ in audits} - missed, default=0)
 
 
 def links_in_shard(graph: Graph, units: np.ndarray, queries: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,44 +312,35 @@ def _opened(file: str) -> tuple[dict, list[bytes]]:
 
 
 def _auditor(sample):
-    """For each shard (a row with its file) the audit of the queries in `sample`, a broadcast dictionary by size."""
+    """For each shard (a row with its file) the audits of the queries in `sample`, a broadcast dictionary by size, and of copies of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, file in zip(batch.column("size").to_pylist(), batch.column("file").to_pylist(), strict=True):
                 found, theirs = _opened(file)
-                place, rows = {d: i for i, d in enumerate(theirs)}, sample.value[size]
+                units, place, rows = found["units"], {d: i for i, d in enumerate(theirs)}, sample.value[size]
+                graph, copies = Graph.load(found, units), near_copies(units)
                 queries = np.frombuffer(b"".join(v for _, v in rows)).reshape(-1, size)
                 own = np.array([place.get(d, -1) for d, _ in rows])
-                audits = audit(Graph.load(found, found["units"]), found["units"], queries, own)
-                yield pa.RecordBatch.from_arrays([pa.array([size] * len(audits), pa.int32()), *(pa.array([a[i] for a in audits], pa.int64()) for i in range(3))], ["size", "beam", "seen", "found"])
+                audits = [(size, "own", *x) for x in audit(graph, units, queries, own)]
+                audits += [(size, "copies", *x) for x in audit(graph, units, copies, np.full(len(copies), -1))]
+                kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in audits], kind) for i, kind in enumerate(kinds)], ["size", "kind", "beam", "seen", "found"])
 
     return run
 
 
 def beam_of_each_size(distinct: DataFrame, files: DataFrame) -> dict[int, int]:
-    """The beam for each length of vectors, from audits that are pooled over all shards.
-
-    Where MOST_AUDITED queries show fewer than LEAST_LINKS links, there is no evidence for a beam, and brute force compares all.
-    """
-    spark, n_files = distinct.sparkSession, files.count()
-    sizes = {r[0]: r[1] for r in distinct.groupBy((F.octet_length("vector") / 8).cast("int")).count().collect()}
-    chosen: dict[int, int] = {}
-    n = AUDITED
-    while n <= MOST_AUDITED and len(chosen) < len(sizes):
-        sample = {}
-        for size in sorted(set(sizes) - set(chosen)):
-            rows = distinct.where(F.octet_length("vector") == 8 * size).orderBy(F.xxhash64("digest", F.lit(n)), "digest").limit(n)
-            sample[size] = [(bytes(r[0]), bytes(r[1])) for r in rows.select("digest", "vector").collect()]
-        cast = spark.sparkContext.broadcast(sample)
-        todo = files.where(F.col("size").isin(list(sample))).repartitionByRange(max(1, n_files), "file")
-        pooled = todo.mapInArrow(_auditor(cast), "size int, beam long, seen long, found long").groupBy("size", "beam").agg(F.sum("seen"), F.sum("found")).collect()
-        for size in sample:
-            beam = decided({r[1]: (r[2], r[3]) for r in pooled if r[0] == size}, sizes[size] <= n)
-            if beam is not None:
-                chosen[size] = beam
-        n *= 4
-    return {size: chosen.get(size, 0) for size in sizes}
+    """The beam for each length of vectors, from audits that are pooled over all shards."""
+    spark, size = distinct.sparkSession, (F.octet_length("vector") / 8).cast("int")
+    sample: dict[int, list] = {}
+    ranked = distinct.select(size.alias("size"), "digest", "vector").withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("digest"), "digest")))
+    for r in ranked.where(F.col("rank") <= AUDITED).toLocalIterator():
+        sample.setdefault(r["size"], []).append((bytes(r["digest"]), bytes(r["vector"])))
+    cast = spark.sparkContext.broadcast(sample)  # AUDITED vectors of each length
+    todo = files.repartitionByRange(max(1, files.count()), "file")
+    pooled = todo.mapInArrow(_auditor(cast), "size int, kind string, beam long, seen long, found long").groupBy("size", "beam", "kind").agg(F.sum("seen"), F.sum("found")).collect()
+    return {size: decided({(r["beam"], r["kind"]): (r[3], r[4]) for r in pooled if r["size"] == size}) for size in sample}
 
 
 def _own_links(beam: dict[int, int]):
@@ -366,8 +368,8 @@ def _labels(file: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.int32)
 
 
-def _cross_links(shards: list[tuple[int, str]], beam: dict[int, int]):
-    """For each part (file, first, stop) of a shard: its components' edges to those of other shards, and its vectors' links there."""
+def _cross_links(beam: dict[int, int]):
+    """For each part (file, first, stop) of a shard: its components' edges to those of `others`, a list of shards, and its vectors' links there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,11 +378,11 @@ def _cross_links(shards: list[tuple[int, str]], beam: dict[int, int]):
                 at = slice(part["first"], part["stop"])
                 queries, own = mine["units"][at], _labels(part["file"])[at]
                 n, none = np.zeros(len(queries), np.int64), np.full(len(queries), -1)
-                for size, file in shards:
-                    if size != part["size"] or file == part["file"]:
+                for file in part["others"]:
+                    if file == part["file"]:
                         continue
                     found, theirs = _opened(file)
-                    who, row = links_in_shard(Graph.load(found, found["units"]), found["units"], queries, none, beam[size])
+                    who, row = links_in_shard(Graph.load(found, found["units"]), found["units"], queries, none, beam[part["size"]])
                     n += np.bincount(who, weights=found["copies"][row], minlength=len(n)).astype(np.int64)
                     pairs = np.unique(np.stack([own[who], _labels(file)[row]], axis=1), axis=0) if len(who) else np.zeros((0, 2), int)
                     yield _edges([(names[a], theirs[b], 0) for a, b in pairs.tolist()])
@@ -403,16 +405,20 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     folder = scratch(spark, "graphs")
     built = dealt.groupBy("size", "shard").applyInArrow(_builder(folder), "size int, file string, n long")
     files = stored(built, "graph-files")
-    shards = [(r[0], r[1]) for r in files.orderBy("file").collect()]  # a row for each shard
+    n_files = max(1, files.count())
     beam = beam_of_each_size(distinct, files)
-    own = stored(files.repartitionByRange(max(1, len(shards)), "file").mapInArrow(_own_links(beam), "a binary, b binary, n bigint"), "own-links")
-    # Parts of QUERY_BYTES at most, and so many that all tasks have some.
-    spread = -(-4 * spark.sparkContext.defaultParallelism // max(1, len(shards)))
-    rows = F.least(F.ceil(F.col("n") / spread), F.floor(F.lit(QUERY_BYTES) / (8 * F.col("size")))).cast("long")
+    own = stored(files.repartitionByRange(n_files, "file").mapInArrow(_own_links(beam), "a binary, b binary, n bigint"), "own-links")
+    # Parts are whole shards, or so many that all tasks have some.
+    spread = -(-4 * spark.sparkContext.defaultParallelism // n_files)
+    rows = F.ceil(F.col("n") / spread).cast("long")
     firsts = files.withColumn("rows", F.greatest(rows, F.lit(1))).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("rows"))))
-    parts = stored(firsts.select("size", "file", "first", F.least(F.col("first") + F.col("rows"), "n").alias("stop")), "vector-parts")
+    # Every shard is one of some that a task takes; only names are joined here.
+    group = F.pmod(F.xxhash64("file"), F.lit(-(-n_files // SHARDS_A_TASK))).alias("group")
+    groups = files.groupBy("size", group).agg(F.array_sort(F.collect_list("file")).alias("others"))
+    parts = firsts.select("size", "file", "first", F.least(F.col("first") + F.col("rows"), "n").alias("stop")).join(groups, "size")
+    parts = stored(parts, "vector-parts")
     n_parts = max(1, parts.count())
-    cross = parts.repartitionByRange(n_parts, "file", "first").mapInArrow(_cross_links(shards, beam), "a binary, b binary, n bigint")
+    cross = parts.repartitionByRange(n_parts, "group", "file", "first").mapInArrow(_cross_links(beam), "a binary, b binary, n bigint")
     links = own.unionByName(stored(cross, "cross-links"))
     found = linked_classes(vectors.select("id", "digest"), distinct.select("digest", "id", "copies"), links)
     return found.select(F.col("id").alias(id_col), "n_links", F.col("class_id").alias("component_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
