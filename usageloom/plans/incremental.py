@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from usageloom.plans.fixtures import price_catalog
 from usageloom.plans.usage import BY_DAY, COST, DAYS, TODAY, Query, _total, load, rows, usage_sql
 from usageloom.plans.usage import ORACLE as USAGE_ORACLE
 from usageloom.sources.folders import scratch
+from usageloom.sources.lines import listed, opened, read_lines_at
 from usageloom.sources.usage import log_roots, modified_floor, parse_lines, read_lines, write_logs
 from usageloom.streaming.alerts import alerts
 from usageloom.streaming.tail import stored_costs, tail_costs
@@ -115,16 +117,80 @@ QUERIES["catalog_store"] = catalog_store
 ORACLE["catalog_store"] = PARSED["price_catalog"]
 
 
+TAILED = f"SELECT day, model, {_total('input_tokens')} AS input_tokens, {_total('output_tokens')} AS output_tokens, {COST} AS cost FROM rows GROUP BY day, model"
+
+
+def _bytes(logs: str) -> int:
+    return sum(info.size for _, info in listed(logs, "*.txt"))
+
+
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost partials of a stream over the log files, added up."""
+    """Costs of a stream over the log files, in some batches, added up."""
     logs, store = _logs(spark, sf_dir), scratch(spark, "costs")
-    tail_costs(spark, logs, store, suffix=".txt").awaitTermination()
+    tail_costs(spark, logs, store, suffix=".txt", batch_bytes=_bytes(logs) // 3 + 1)
     return stored_costs(spark, store)
 
 
 QUERIES["log_tail"] = log_tail
-ORACLE["log_tail"] = f"""WITH {usage_sql(cached_too=False)}
-  SELECT day, model, {_total('input_tokens')} AS input_tokens, {_total('output_tokens')} AS output_tokens, {COST} AS cost FROM rows GROUP BY day, model"""
+ORACLE["log_tail"] = f"WITH {usage_sql(cached_too=False)} {TAILED}"
+
+
+def log_tail_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a message's chunks come in different batches: each log holds its even events first, and a batch some of it."""
+    logs, store = scratch(spark, "logs"), scratch(spark, "costs")
+    write_logs(load(spark, sf_dir, "events"), logs, [F.col("event_id") % 2, "event_id"])
+    tail_costs(spark, logs, store, suffix=".txt", batch_bytes=_bytes(logs) // 8 + 1)
+    return stored_costs(spark, store)
+
+
+QUERIES["log_tail_chunks"] = log_tail_chunks
+ORACLE["log_tail_chunks"] = ORACLE["log_tail"].replace("ORDER BY event_id DESC", "ORDER BY event_id % 2 DESC, event_id DESC")
+
+
+def log_tail_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tail at an interval: one half of the logs is there when it begins, the other comes while it goes on."""
+    logs, store = scratch(spark, "logs"), scratch(spark, "costs")
+    events = load(spark, sf_dir, "events")
+    half = lambda i: write_logs(events.where(F.col("user_id") % 7 % 2 == i), f"{logs}/half{i}")
+    half(0)
+    query = tail_costs(spark, logs, store, suffix=".txt", every_seconds=1)
+    try:
+        query.processAllAvailable()
+        half(1)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return stored_costs(spark, store)
+
+
+QUERIES["log_tail_interval"] = log_tail_interval
+ORACLE["log_tail_interval"] = ORACLE["log_tail"]
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up from log files that are read in small stretches, their lines told by offsets in bytes."""
+    usage = parse_lines(read_lines_at(spark, [_logs(spark, sf_dir)], modified_floor(TODAY, DAYS), "*.txt", part_bytes=1 << 20))
+    return agg.by_day_model(priced(clean_usage(usage, TODAY, DAYS)))
+
+
+QUERIES["log_lines"] = log_lines
+ORACLE["log_lines"] = ORACLE["log_scan"]
+
+
+def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that leaves out the logs that were last modified before the window, without opening them: those of some users."""
+    logs = scratch(spark, "logs")
+    write_logs(load(spark, sf_dir, "events"), logs)
+    old = (dt.datetime.combine(TODAY, dt.time()) - dt.timedelta(days=200)).timestamp()
+    for address, _ in listed(logs, "*.txt"):
+        if "/part=0/" in address or "/part=1/" in address:
+            os.utime(opened(address)[1], (old, old))
+    found = parse_lines(read_lines(spark, [logs], modified_floor(TODAY, DAYS), "*.txt"))
+    return agg.by_project(priced(clean_usage(found, TODAY, DAYS)))
+
+
+QUERIES["pruned_scan"] = pruned_scan
+ORACLE["pruned_scan"] = f"WITH {usage_sql()} SELECT project, {COST} AS cost, {_total('volume')} AS tokens FROM rows WHERE file NOT IN ('f0', 'f1') GROUP BY project"
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

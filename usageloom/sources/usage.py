@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from usageloom.functions.models import normal_model
 from usageloom.functions.scalars import iso_timestamp, lenient_int, project_of, weekday
+from usageloom.sources.lines import MOST_LINE_BYTES
 
 LINE = (
     "type string, timestamp string, requestId string, sessionId string, session_id string, cwd string, "
     "message struct<id: string, model: string, usage: struct<input_tokens: double, output_tokens: double, "
     "cache_read_input_tokens: double, cache_creation_input_tokens: double>>"
 )
-#: Longer lines are dropped: a cut line is no JSON.
-MOST_LINE_BYTES = 1 << 20
 USAGE = ["file", "offset", "ts", "day", "weekday", "hour", "model", "project", "session_id", "message_key", "input_tokens", "output_tokens", "cache_read", "cache_write"]
 
 
@@ -44,7 +43,8 @@ def read_lines(spark: SparkSession, roots: Sequence[str], modified_since: dt.dat
 
     Files are split freely; offset (the split's start, then a number that grows along it) keeps a file's line order.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    # The reader passes over the rest of a line that is too long, without keeping it.
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("mapreduce.input.linerecordreader.line.maxlength", str(MOST_LINE_BYTES + 1))
     if modified_since is not None:
         before = modified_since - dt.timedelta(seconds=1)  # the option is strict
         reader = reader.option("modifiedAfter", before.strftime("%Y-%m-%dT%H:%M:%S"))
@@ -62,11 +62,11 @@ def local_time(instant: Column, zone: str) -> Column:
     return F.convert_timezone(None, F.lit(zone), instant.cast("timestamp_ntz"))
 
 
-def parse_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Usage rows of (file, offset, value); lines that aren't usage records, or have no valid time, go."""
+def parse_lines(lines: DataFrame, zone: str = "UTC", keep: Sequence[str] = ()) -> DataFrame:
+    """Usage rows of (file, offset, value), and the columns of `keep`; lines that aren't usage records, or have no valid time, go."""
     # Exploded, so that the filters that follow aren't pushed below and each parse the line again.
     record = F.explode(F.array(F.from_json("value", LINE))).alias("r")
-    parsed = lines.where(may_be_usage(F.col("value"))).select("file", "offset", record)
+    parsed = lines.where(may_be_usage(F.col("value"))).select("file", "offset", *keep, record)
     usage, message = F.col("r.message.usage"), F.col("r.message")
     parsed = parsed.where((F.col("r.type") == "assistant") & message.model.isNotNull() & usage.isNotNull())
     parsed = parsed.withColumn("ts", local_time(iso_timestamp(F.col("r.timestamp")), zone)).where("ts is not null")
@@ -87,6 +87,7 @@ def parse_lines(lines: DataFrame, zone: str = "UTC") -> DataFrame:
         lenient_int(usage.output_tokens).alias("output_tokens"),
         lenient_int(usage.cache_read_input_tokens).alias("cache_read"),
         lenient_int(usage.cache_creation_input_tokens).alias("cache_write"),
+        *keep,
     )
 
 
@@ -127,8 +128,8 @@ def usage_of_events(events: DataFrame) -> DataFrame:
     )
 
 
-def write_logs(events: DataFrame, path: str) -> None:
-    """The events as JSON-lines logs (*.txt): what parse_lines reads back as the same usage rows."""
+def write_logs(events: DataFrame, path: str, order: Sequence[Column | str] = ("event_id",)) -> None:
+    """The events as JSON-lines logs (*.txt), each in the order: what parse_lines reads back as the same usage rows."""
     k = F.get_json_object("props", "$.k").try_cast("double")
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH")
     usage = F.struct(
@@ -146,7 +147,8 @@ def write_logs(events: DataFrame, path: str) -> None:
         F.concat(F.lit("/home/dev/p"), project).alias("cwd"),
         F.struct(F.col("user_id").cast("string").alias("id"), raw_model(F.col("event_type")).alias("model"), usage.alias("usage")).alias("message"),
     )
-    rows = events.select((F.col("user_id") % 7).alias("part"), F.to_date("ts").alias("day"), "event_id", F.to_json(line).alias("value"))
+    places = [o.alias(f"place{i}") if isinstance(o, Column) else F.col(o).alias(f"place{i}") for i, o in enumerate(order)]
+    rows = events.select((F.col("user_id") % 7).alias("part"), F.to_date("ts").alias("day"), *places, F.to_json(line).alias("value"))
     # A task writes a folder's lines of some days, in order; a message's lines are of one day, so they meet in one file.
-    dealt = rows.repartition("part", "day").sortWithinPartitions("part", "event_id").select("part", "value")
+    dealt = rows.repartition("part", "day").sortWithinPartitions("part", *[f"place{i}" for i in range(len(places))]).select("part", "value")
     dealt.write.partitionBy("part").text(path)

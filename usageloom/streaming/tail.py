@@ -1,121 +1,117 @@
-"""Incremental reading of append-only JSON-lines logs: a stream source that keeps an offset for each file.
+"""Incremental reading of append-only JSON-lines logs: a stream source that keeps an offset for each file, and costs with keyed state.
 
-An offset keeps for every known file [the end of its last whole line, its size, its time of modification, how often it
-was begun anew]. Ends go up to the last line end only, so a half-written line waits for its rest. A file whose size and time
-haven't changed isn't opened. A file that has shrunk is read anew, and so is one that was gone: each such beginning gets
-another number, with which its rows are marked, so that what was stored of the beginnings before is replaced, even where
-the new file has no whole line yet. Files are reached through Arrow's file systems.
+The source's offset is the version of a table of files (file_map.py). A new version admits stretches of up to batch_bytes, of
+the files that have waited longest first, so a first run over many logs is several batches. Stretches end at the last line end
+at most, so a half-written line waits for its rest. A file whose size and time haven't changed isn't opened unless some of it waits. A
+file that has shrunk, that was gone, or whose first HEAD bytes have changed is read anew: each such beginning gets another
+number, with which its rows are marked, so that what was stored of the beginnings before is replaced, even where the new
+file has no whole line yet. A rewrite that keeps those bytes, and isn't smaller, is taken for growth.
+
+A message's chunks may come in several batches. Keyed state holds the last chunk that counted, by file and message; a later one
+takes the other's tokens back and adds its own, so the stored sums are those of a single scan.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from usageloom.operators.aggregates import cost_partials, cost_rollup
-from usageloom.operators.clean import has_tokens, keep_last, priced
+from usageloom.operators.aggregates import cost_rollup, total, total_cost
+from usageloom.operators.clean import has_tokens, priced
+from usageloom.sources.lines import Part, batches, last_line_end, lines_of, listed, opened, parts
 from usageloom.sources.usage import parse_lines
+from usageloom.streaming.file_map import FileMap, Known
+from usageloom.streaming.partials import Partials
 
-#: Bytes that one task reads; lines that begin in them are its.
-PART_BYTES, CHUNK = 64 << 20, 64 << 10
+#: Bytes that a batch admits, and the first bytes of a file by which a rewrite is told.
+BATCH_BYTES, HEAD = 4 << 30, 4096
+#: Groups that the rows without a message key of one file are dealt to; they need no state.
+UNKEYED_GROUPS = 64
 #: The seconds between two readings that are offered; 0 is by hand.
 INTERVALS = [0, 60, 120, 300, 900, 1800]
+#: Stands, at the offset -1, for the beginning of a file: a usage line without tokens.
+MARK = '{"type":"assistant","timestamp":"1970-01-01T00:00:00Z","message":{"model":"","usage":{}}}'
+LINES = [("file", pa.string()), ("offset", pa.int64()), ("life", pa.int32()), ("value", pa.string())]
 
 
-def _open(root: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root if ":" in root.split("/")[0] else f"file://{root}")
-
-
-@dataclass
-class Stretch(InputPartition):
-    path: str
-    start: int
-    stop: int
-    begins: bool
-    life: int
-
-
-def _last_line_end(file, size: int) -> int:
-    at = size
-    while at > 0:
-        low = max(0, at - CHUNK)
-        file.seek(low)
-        cut = file.read(at - low).rfind(b"\n")
-        if cut >= 0:
-            return low + cut + 1
-        at = low
-    return 0
+def _head(file, size: int) -> bytes:
+    file.seek(0)
+    return hashlib.blake2b(file.read(size), digest_size=16).digest()
 
 
 class LogTailReader(DataSourceStreamReader):
-    def __init__(self, root: str, suffix: str):
-        self.root, self.suffix = root, suffix
-        self.known: dict[str, list[int]] = {}
+    def __init__(self, root: str, pattern: str, state: str, batch_bytes: int):
+        self.root, self.pattern, self.batch_bytes, self.map = root, pattern, batch_bytes, FileMap(state)
+        self.version, self.known = self.map.load()
 
     def initialOffset(self) -> dict:
-        return {}
+        return {"version": 0}
+
+    def _looked_at(self, fs, path: str, address: str, info, before: Known | None) -> Known:
+        """The file's new state, with nothing of it admitted yet."""
+        with fs.open_input_file(path) as f:
+            anew = before is not None and (before.mtime < 0 or info.size < before.size or _head(f, before.head_size) != before.head)
+            at, life = (0, before.life + 1 if before else 0) if before is None or anew else (before.done, before.life)
+            head_size = min(info.size, HEAD)
+            return Known(address, at, at, last_line_end(f, info.size), info.size, info.mtime_ns, life, anew, head_size, _head(f, head_size), self.version + 1)
 
     def latestOffset(self, *_: object) -> dict:
-        """For each file that is or was there [end, size, time in ns, life]; a file that is gone has the end and size 0 and the time -1."""
-        from pyarrow import fs as pafs
-
-        fs, root = _open(self.root)
-        now = {path: [0, 0, -1, life] for path, (_, _, _, life) in self.known.items()}
-        for info in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
-            if not info.is_file or not info.path.endswith(self.suffix):
-                continue
-            end, size, time, life = self.known.get(info.path, [0, 0, 0, 0])
-            if (info.size, info.mtime_ns) != (size, time) or time < 0:
-                anew = info.size < size or time < 0
-                with fs.open_input_file(info.path) as f:
-                    end, life = _last_line_end(f, info.size), life + anew
-            now[info.path] = [end, info.size, info.mtime_ns, life]
-        self.known = now
-        return now
-
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        # After a restart of the query the offsets tell what is known.
-        self.known = {**start, **end, **self.known}
-        parts = []
-        for path, (stop, _, _, life) in sorted(end.items()):
-            at, _, _, before = start.get(path, [0, 0, 0, 0])
-            anew = life != before
-            first = 0 if anew else at
-            parts += [Stretch(path, a, min(a + PART_BYTES, stop), a == first, life) for a in range(first, stop, PART_BYTES)]
-            if anew and not stop:
-                parts.append(Stretch(path, 0, 0, True, life))  # only tells that it began anew
-        return parts
-
-    def read(self, part: Stretch) -> Iterator[tuple]:
-        fs, _ = _open(self.root)
-        if part.stop == part.start:
-            yield part.path, 0, part.life, ""
-            return
-        with fs.open_input_file(part.path) as f:
-            f.seek(part.start if part.begins else part.start - 1)
-            at, rest = f.tell(), b""
-            skip = not part.begins  # up to the first line that begins here
-            while chunk := f.read(CHUNK):
-                *lines, rest = (rest + chunk).split(b"\n")
-                for line in lines:
-                    if at >= part.stop:
-                        return
-                    if not skip and line.strip():
-                        yield part.path, at, part.life, line.decode("utf-8", "replace")
-                    skip, at = False, at + len(line) + 1
-                if at >= part.stop:
-                    return
+        """A new version, if a file has changed or waits."""
+        there = dict(listed(self.root, self.pattern))
+        waiting = []
+        for address, info in there.items():
+            k = self.known.get(address)
+            if k is None or (info.size, info.mtime_ns) != (k.size, k.mtime) or k.done < k.line_end:
+                waiting.append((k.version if k else 0, address))
+        changed, room = [], self.batch_bytes
+        for _, address in sorted(waiting):
+            if room <= 0:
+                break
+            info = there[address]
+            fs, path = opened(address)
+            found = self._looked_at(fs, path, address, info, self.known.get(address))
+            found.done = max(found.first, min(found.line_end, found.first + room))
+            room -= found.done - found.first
+            changed.append(found)
+        for address, k in self.known.items():
+            if address not in there and k.mtime >= 0:
+                changed.append(Known(address, 0, 0, 0, 0, -1, k.life, False, 0, b"", self.version + 1))
+        if changed:
+            self.version += 1
+            self.known.update((k.path, k) for k in changed)
+            self.map.add(self.version, changed, self.known)
+        return {"version": self.version}
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        return parts(self.map.stretches(start["version"], end["version"]))
+
+    def commit(self, end: dict) -> None:
+        self.map.forget(end["version"])
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for s in partition.stretches:
+                if s.start == s.stop:
+                    yield s.path, -1, s.life, MARK
+                    continue
+                fs, path = opened(s.path)
+                with fs.open_input_file(path) as f:
+                    for offset, line in lines_of(f, s.start, s.stop):
+                        if line.strip():
+                            yield s.path, offset, s.life, line.decode("utf-8", "replace").removesuffix("\r")
+
+        yield from batches(rows(), LINES)
 
 
 class LogTail(DataSource):
-    """Format `log_tail`, with the options `path` and `suffix` (.jsonl): rows (file, offset, life, value)."""
+    """Format `log_tail`, with the options path, state (a folder of its own for the table of files), pattern (*.jsonl) and batch_bytes: rows (file, offset, life, value)."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,36 +121,96 @@ class LogTail(DataSource):
         return "file string, offset long, life int, value string"
 
     def streamReader(self, schema) -> LogTailReader:
-        return LogTailReader(self.options["path"], self.options.get("suffix", ".jsonl"))
+        o = self.options
+        return LogTailReader(o["path"], o.get("pattern", "*.jsonl"), o["state"], int(o.get("batch_bytes", BATCH_BYTES)))
+
+
+#: What is emitted for each change of what counts.
+CHANGES = "file string, life int, day date, model string, input_tokens long, output_tokens long"
+
+
+class LastChunk(StatefulProcessor):
+    """Emits the difference between a message's last chunk and the one that counted before; rows without a key all count."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "life int, offset long, day date, model string, input_tokens long, output_tokens long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        def row(c: Row | tuple, life: int, sign: int = 1) -> Row:
+            day, model, put_in, out = c
+            return Row(file=key[0], life=life, day=day, model=model, input_tokens=sign * put_in, output_tokens=sign * out)
+
+        counted = lambda r: (r["day"], r["model"], r["input_tokens"], r["output_tokens"])
+        if key[1] is None:
+            for r in rows:
+                yield row(counted(r), r["life"])
+            return
+        newest = max(rows, key=lambda r: (r["life"], r["offset"]))
+        before = self.last.get()
+        if before is not None:
+            if tuple(before[:2]) >= (newest["life"], newest["offset"]):
+                return
+            # The sums of earlier beginnings of the file don't count anyway.
+            if before[0] == newest["life"]:
+                yield row(before[2:], before[0], -1)
+        yield row(counted(newest), newest["life"])
+        self.last.update((newest["life"], newest["offset"], *counted(newest)))
+
+    def close(self) -> None:
+        pass
+
+
+def changes(lines: DataFrame, zone: str = "UTC") -> DataFrame:
+    """CHANGES of a stream of lines; marks come with a null day."""
+    usage = parse_lines(lines, zone, keep=["life"]).where(has_tokens("input_tokens", "output_tokens") | (F.col("offset") < 0))
+    group = F.when(F.col("message_key").isNull(), F.pmod(F.xxhash64("offset"), F.lit(UNKEYED_GROUPS))).otherwise(F.lit(0)).alias("group")
+    day = F.when(F.col("offset") >= 0, F.col("day")).alias("day")
+    keyed = usage.select("file", "message_key", group, "life", "offset", day, "model", "input_tokens", "output_tokens")
+    return keyed.groupBy("file", "message_key", "group").transformWithState(LastChunk(), CHANGES, "Update", "None")
+
+
+PARTIALS = "file string, life int, day date, model string, input_tokens long, output_tokens long, cost double"
+
+
+def _merged(partials: DataFrame) -> DataFrame:
+    """Sums by file, day and model of each file's last beginning, and a row with a null day that tells which that is."""
+    last = partials.groupBy("file").agg(F.max("life").alias("life"))
+    kept = partials.join(last, ["file", "life"])
+    return kept.groupBy("file", "life", "day", "model").agg(total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total_cost().alias("cost"))
+
+
+def _store(store: str) -> Partials:
+    return Partials(f"{store}/partials", PARTIALS, _merged)
 
 
-def tail_costs(spark: SparkSession, logs: str, store: str, zone: str = "UTC", suffix: str = ".jsonl", every_seconds: int = 0) -> StreamingQuery:
-    """Read what the logs have gained, once or at an interval, and store its cost partials: one folder a batch, so that a batch that runs twice counts once.
+def tail_costs(spark: SparkSession, logs: str, store: str, zone: str = "UTC", suffix: str = ".jsonl", every_seconds: int = 0, batch_bytes: int = BATCH_BYTES) -> StreamingQuery:
+    """Read what the logs have gained, once or at an interval, and store the sums of it: one folder a batch, so that a batch that runs twice counts once.
 
-    every_seconds of 0 reads what is there and ends; with one of INTERVALS, or any other, the query goes on. Neither windows
-    nor present-day prices are baked in beyond the batch's own: partials keep file, day and model.
+    every_seconds of 0 reads what is there, in batches of batch_bytes, and ends; with one of INTERVALS, or any other, the query
+    goes on. Neither windows nor present-day prices are baked in beyond the batch's own: partials keep file, day and model.
     """
-    spark.dataSource.register(LogTail)
-    lines = spark.readStream.format("log_tail").option("path", logs).option("suffix", suffix).load()
+    session = spark.newSession()  # the state of many keys is kept outside the JVM's heap
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.dataSource.register(LogTail)
+    source = session.readStream.format("log_tail").option("path", logs).option("state", f"{store}/files").option("pattern", f"*{suffix}")
+    lines = source.option("batch_bytes", str(batch_bytes)).load()
+    stored = _store(store)
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        # Read once: the lines of a batch are few, and stored they can't differ between the two uses.
-        path = f"{store}/lines/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(path)
-        read = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        rows = keep_last(parse_lines(read, zone).where(has_tokens("input_tokens", "output_tokens")), ["message_key"], ["offset"], within=["file"])
-        lives = read.groupBy("file").agg(F.max("life").alias("life"))
-        partials = lives.join(cost_partials(priced(rows)), "file", "left")
-        partials.write.mode("overwrite").parquet(f"{store}/partials/batch={batch_id}")
+        sums = batch.groupBy("file", "life", "day", "model").agg(total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"))
+        tokens = sums.withColumns({"cache_read": F.lit(0).cast("long"), "cache_write": F.lit(0).cast("long")})
+        stored.put(priced(tokens).select("file", "life", "day", "model", "input_tokens", "output_tokens", "cost"), batch_id)
 
-    writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", f"{store}/progress")
-    if every_seconds:
-        return writer.trigger(processingTime=f"{every_seconds} seconds").start()
-    return writer.trigger(availableNow=True).start()
+    writer = changes(lines, zone).writeStream.foreachBatch(put).option("checkpointLocation", f"{store}/progress").outputMode("update")
+    query = writer.trigger(processingTime=f"{every_seconds} seconds").start()
+    if not every_seconds:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query
 
 
 def stored_costs(spark: SparkSession, store: str) -> DataFrame:
     """(day, model) sums of what tail_costs has stored; of a file that was begun anew only what came since."""
-    partials = spark.read.option("basePath", f"{store}/partials").parquet(f"{store}/partials")
-    last = partials.groupBy("file").agg(F.max("life").alias("last"))
-    return cost_rollup(partials.join(last, "file").where("day is not null and life = last"))
+    return cost_rollup(_merged(_store(store).read(spark)).where("day is not null")).where("input_tokens <> 0 or output_tokens <> 0")
