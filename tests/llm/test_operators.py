@@ -420,13 +420,23 @@ def test_filters_of_ranges_give_the_same(spark, monkeypatch):
     # Ten times the lines need ten times the ranges, and no larger filter.
     monkeypatch.setattr(line_dedup, "MOST_BITS", 20)
     monkeypatch.setattr(line_dedup, "BITS_A_LINE", 1000)
-    sizes = []
+    sizes, files = [], []
     whole = line_dedup.repeated_filter
-    monkeypatch.setattr(line_dedup, "repeated_filter", lambda *a: sizes.append(whole(*a)[0]) or whole(*a))
+
+    def seen(digests, n_lines):
+        files.append(digests.inputFiles())
+        found = whole(digests, n_lines)
+        sizes.append(found[0])
+        return found
+
+    monkeypatch.setattr(line_dedup, "repeated_filter", seen)
     rows = [(i, "\n".join(words(j, 12) for j in range(i * 7, i * 7 + 60))) for i in range(100)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS))
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()} == brute.dedup_lines(rows)
     assert len(sizes) == -(-6000 * 1000 // (1 << 20)) == 6 and max(sizes) <= 20
+    # Each range reads files of its own: together each digest once, however many ranges there are.
+    every = [f for some in files for f in some]
+    assert len(every) == len(set(every)) and spark.read.parquet(*every).count() == 6000
 
 
 def test_null_ids_count_once(spark):
@@ -466,7 +476,8 @@ def test_near_copies_of_all_kinds(spark):
 
 
 def test_runs_share_no_coordinate_and_reach_the_target():
-    paths = jaccard_join._PATHS
+    paths = jaccard_join.Draw(0).paths
+    assert (jaccard_join.Draw(1).factors != jaccard_join.Draw(0).factors).all()
     assert len(set(paths.ravel().tolist())) == paths.size
     paths = paths[: jaccard_join.RUNS]
     # What was planned, met by simulated pairs at the threshold: equal coordinates, and bytes that are equal by chance.
@@ -494,7 +505,7 @@ def test_runs_are_added_until_the_measured_recall_is_reached(spark, monkeypatch)
     monkeypatch.setattr(jaccard_join, "SMALL", 1)
     monkeypatch.setattr(jaccard_join, "RUNS", 3)
     made, whole = [], jaccard_join.exact_links
-    monkeypatch.setattr(jaccard_join, "exact_links", lambda *a: made.append(a[3]) or whole(*a))
+    monkeypatch.setattr(jaccard_join, "exact_links", lambda *a: made.append(len(a[3])) or whole(*a))
     rows = []
     for i in range(300):
         shared = [f"p{i}x{j}" for j in range(124)]
@@ -504,6 +515,21 @@ def test_runs_are_added_until_the_measured_recall_is_reached(spark, monkeypatch)
     assert sum(r["n_links"] == 1 for r in got) >= 0.98 * len(rows)
 
 
+def test_coordinates_are_drawn_again_when_they_are_used_up(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    monkeypatch.setattr(jaccard_join, "MOST_RUNS", 7)
+    made, whole = [], jaccard_join.exact_links
+    monkeypatch.setattr(jaccard_join, "exact_links", lambda *a: made.append(a[3]) or whole(*a))
+    rows = []
+    for i in range(80):
+        shared = [f"p{i}x{j}" for j in range(124)]
+        rows += [(2 * i + s, " ".join(shared + [f"s{s}p{i}x{j}" for j in range(15)])) for s in (0, 1)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.near_classes(rows) and all(n == 1 for _, n in got.values())
+    assert len(made[0]) == jaccard_join.RUNS > 2 * jaccard_join.MOST_RUNS and made[0].max() >= 2 * jaccard_join.COORDINATES
+    assert len({tuple(p) for p in made[-1].tolist()}) == len(made[-1])
+
+
 def test_an_id_on_texts_of_two_classes_loses_one(spark):
     near, far = words(1, 40), words(2, 40)
     rows = [(3, near), (7, near + " end"), (7, far), (None, near), (None, far), (None, None), (None, words(3, 40)), (None, words(3, 40))]

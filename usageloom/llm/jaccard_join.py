@@ -12,8 +12,9 @@ group only): that gives the number of links and the forest of the exact links, w
 
 The recall is also measured, on the links that were verified: of the times that a run's full path meets a link, the share
 of links that another run's path meets, too. That is what all runs but one find of what one finds by itself. While it is
-under TARGET_RECALL, MORE_RUNS further runs are made, as long as there are coordinates for them. It leans to the better,
-as links that are found at all are rather the more similar ones.
+under TARGET_RECALL, MORE_RUNS further runs are made; when all coordinates are used up, others are drawn, with sketches of their
+own, so runs end when the recall is there, and not before. It leans to the better, as links that are found at all are
+rather the more similar ones.
 
 Words are the lower-cased text's runs without white space; a text with one to four words has one gram, of all its words.
 Defined cases: a null, empty or blank text has no grams, links with nothing and is a class of its own; equal sets are one
@@ -26,7 +27,9 @@ named; keep_one_of_each keeps all columns, whatever their names.
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,10 +84,27 @@ LEAST_SAME = (float(THRESHOLD) - MARGIN) * COORDINATES
 #: The least number of runs that finds pairs at the threshold with TARGET_RECALL, the sketch's loss included.
 MOST_RUNS, MORE_RUNS = COORDINATES // DEPTH, 3
 RUNS = next(n for n in range(1, MOST_RUNS + 1) if found_probability(float(THRESHOLD), n) >= TARGET_RECALL)
-_RANDOM = np.random.default_rng(20)
-_FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Each run has coordinates of its own, so that runs fail independently.
-_PATHS = _RANDOM.permutation(COORDINATES)[: MOST_RUNS * DEPTH].reshape(MOST_RUNS, DEPTH)
+
+
+@dataclass(frozen=True)
+class Draw:
+    """The hash functions of COORDINATES coordinates, and the runs' paths: each has coordinates of its own, so that runs fail independently."""
+
+    number: int
+
+    @cached_property
+    def _drawn(self) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(20 + self.number)
+        factors = rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return factors, rng.permutation(COORDINATES)[: MOST_RUNS * DEPTH].reshape(MOST_RUNS, DEPTH)
+
+    @property
+    def factors(self) -> np.ndarray:
+        return self._drawn[0]
+
+    @property
+    def paths(self) -> np.ndarray:
+        return self._drawn[1]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -123,42 +143,46 @@ def set_digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def minima(grams: np.ndarray) -> np.ndarray:
+def minima(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """The least hash of the set under each coordinate's function."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(grams), 4096):
         part = grams[i : i + 4096]
         for j in range(0, COORDINATES, 16):
-            least[j : j + 16] = np.minimum(least[j : j + 16], (_FACTORS[j : j + 16, None] * part).min(axis=1))
+            least[j : j + 16] = np.minimum(least[j : j + 16], (factors[j : j + 16, None] * part).min(axis=1))
     return least
 
 
 SIGNATURE = "row bigint, digest binary, firsts array<bigint>, sketch binary, n_grams bigint"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(draw: Draw):
     """Rows (id, row, digest, firsts, sketch, n_grams); firsts are the tokens of the runs' first coordinates."""
-    for batch in batches:
-        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-            sets = gram_sets(part.column("text"))
-            tokens = _mixed(np.stack([minima(s) for s in sets]))
-            sketches = (tokens >> np.uint64(48)).astype("<u2")
-            firsts = pa.FixedSizeListArray.from_arrays(pa.array(tokens[:, _PATHS[:, 0]].ravel().view(np.int64)), MOST_RUNS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id"),
-                    part.column("row"),
-                    pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    firsts.cast(pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in sketches], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                ],
-                ["id", "row", "digest", "firsts", "sketch", "n_grams"],
-            )
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                sets = gram_sets(part.column("text"))
+                tokens = _mixed(np.stack([minima(s, draw.factors) for s in sets]))
+                sketches = (tokens >> np.uint64(48)).astype("<u2")
+                firsts = pa.FixedSizeListArray.from_arrays(pa.array(tokens[:, draw.paths[:, 0]].ravel().view(np.int64)), len(draw.paths))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        part.column("row"),
+                        pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                        firsts.cast(pa.list_(pa.int64())),
+                        pa.array([x.tobytes() for x in sketches], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                    ],
+                    ["id", "row", "digest", "firsts", "sketch", "n_grams"],
+                )
+
+    return signatures
 
 
 def _sketches(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), -1)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -212,19 +236,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _forest(table.column("digest").to_pylist(), np.concatenate(pairs_i), np.concatenate(pairs_j))
 
 
-def _bucket(run: int, depth: int) -> Column:
+def _bucket(paths: np.ndarray, run: int, depth: int) -> Column:
     """The bucket that a run's path leads to: a hash of the run and of the tokens of its first coordinates, but for the first in 16 bits."""
-    return F.xxhash64(F.lit(run), F.get("firsts", F.lit(run)), *[F.substring("sketch", 2 * int(c) + 1, 2) for c in _PATHS[run, 1 : depth + 1]])
+    return F.xxhash64(F.lit(run), F.get("firsts", F.lit(run)), *[F.substring("sketch", 2 * int(c) + 1, 2) for c in paths[run, 1 : depth + 1]])
 
 
-def _buckets(sets: DataFrame, runs: range) -> DataFrame:
+def _buckets(sets: DataFrame, runs: range, paths: np.ndarray) -> DataFrame:
     """Rows (bucket, digest, size): for each run the bucket in which a set's splitting ended, if it isn't alone there."""
-    live, ended = sets.select("digest", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), _bucket(r, 0).alias("bucket")) for r in runs])).alias("b")), None
+    live, ended = sets.select("digest", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), _bucket(paths, r, 0).alias("bucket")) for r in runs])).alias("b")), None
     live = live.select("digest", "b.run", "b.bucket")
     for d in range(DEPTH):
         if d:
             # Few sets are in large buckets still; they get their sketches again for the next coordinate.
-            deeper = F.get(F.array(*[_bucket(r, d) for r in runs]), F.col("run") - runs.start)
+            deeper = F.get(F.array(*[_bucket(paths, r, d) for r in runs]), F.col("run") - runs.start)
             live = live.join(sets.select("digest", "firsts", "sketch"), "digest").select("digest", "run", deeper.alias("bucket"))
         counts = stored(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
         shared = stored(live.join(counts, "bucket"), "shared-buckets")
@@ -282,11 +306,11 @@ def _inner_counts(sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[i
             yield a * size, b * size, np.rint(inner).astype(np.int64)
 
 
-def _met(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, runs: int) -> tuple[int, int]:
+def _met(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, paths: np.ndarray) -> tuple[int, int]:
     """(how often a run's full path meets a link, how often of these another run's does, too), of up to MEASURED links."""
     some = np.linspace(0, len(i) - 1, min(len(i), MEASURED)).astype(np.int64)
     equal = sketches[i[some]] == sketches[j[some]]
-    times = sum(equal[:, path].all(axis=1).astype(np.int64) for path in _PATHS[:runs])
+    times = sum(equal[:, path].all(axis=1).astype(np.int64) for path in paths)
     return int(np.sum(times)), int(np.sum(times * (times > 1)))
 
 
@@ -294,11 +318,11 @@ MEMBER = ["digest", "component", "copies", "n_blocks", "sketch"]
 VERIFIED = "a binary, b binary, n bigint, met bigint, again bigint"
 
 
-def _verifier(runs: int):
-    return lambda batches: _verify(batches, runs)
+def _verifier(paths: np.ndarray):
+    return lambda batches: _verify(batches, paths)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], paths: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of VERIFIED for each unit: a spanning forest (a, b) of its exact links, each set's linked documents, and _met's counts."""
     for tables in _groups(batches, "unit"):
         unit = tables.column("unit").to_numpy()
@@ -328,7 +352,7 @@ def _verify(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordB
             linked = np.flatnonzero(n)
             counts = np.zeros((2, len(linked)), np.int64)
             if len(linked):
-                counts[:, 0] = _met(_sketches([rows[d]["sketch"] for d in digests]), i, j, runs)
+                counts[:, 0] = _met(_sketches([rows[d]["sketch"] for d in digests]), i, j, paths)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([digests[x] for x in linked], pa.binary()),
@@ -356,9 +380,9 @@ def _sorted_by(rows: DataFrame, key: str, n_bytes: int, fn: Callable, schema: st
     return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(fn, schema)
 
 
-def candidate_edges(sets: DataFrame, runs: range) -> DataFrame:
+def candidate_edges(sets: DataFrame, runs: range, paths: np.ndarray) -> DataFrame:
     """Rows (a, b) of set digests: a forest that holds the candidates of the runs; sets are distinct rows (digest, firsts, sketch)."""
-    buckets = _buckets(sets, runs)
+    buckets = _buckets(sets, runs, paths)
     n_blocks = F.ceil(F.col("size") / BLOCK_ROWS)
     n_rows = buckets.agg(F.sum(n_blocks)).first()[0] or 0
     blocked = _in_blocks(buckets, "bucket", n_blocks, "digest").select(F.col("unit").alias("bucket"), "digest")
@@ -366,8 +390,8 @@ def candidate_edges(sets: DataFrame, runs: range) -> DataFrame:
     return stored(_sorted_by(rows, "bucket", n_rows * (2 * COORDINATES + 24), _compare, "a binary, b binary").distinct(), "candidate-edges")
 
 
-def exact_links(texts: DataFrame, sets: DataFrame, edges: DataFrame, runs: int) -> DataFrame:
-    """Rows of VERIFIED from the candidates' components; texts are rows (id, row, text), sets those of near_classes."""
+def exact_links(texts: DataFrame, sets: DataFrame, edges: DataFrame, paths: np.ndarray) -> DataFrame:
+    """Rows of VERIFIED from the candidates' components; texts are rows (id, row, text), sets those of near_classes, with the sketches of all draws."""
     candidates = components(edges).select(F.col("node").alias("digest"), "component")
     members = stored(candidates.join(sets.select("digest", "copies", "rep", "n_grams", "sketch"), "digest"), "candidate-sets")
     sums = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
@@ -380,7 +404,15 @@ def exact_links(texts: DataFrame, sets: DataFrame, edges: DataFrame, runs: int)
     meant = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("row") == F.col("rep_row")))
     exact = meant.select(*MEMBER, "text").mapInArrow(_exact_sets, "digest binary, component binary, copies bigint, n_blocks bigint, sketch binary, grams binary")
     units = _in_blocks(exact, "component", F.col("n_blocks"), "digest").select("unit", "digest", "copies", "block", "across", "sketch", "grams")
-    return stored(_sorted_by(units, "unit", n_bytes or 0, _verifier(runs), VERIFIED), "exact-links")
+    return stored(_sorted_by(units, "unit", n_bytes or 0, _verifier(paths), VERIFIED), "exact-links")
+
+
+def _drawn_again(texts: DataFrame, sets: DataFrame, draw: Draw) -> DataFrame:
+    """The sets with the firsts and sketches of another draw."""
+    id_type = texts.schema["id"].dataType.simpleString()
+    drawn = texts.mapInArrow(_signatures(draw), f"id {id_type}, {SIGNATURE}").where("digest is not null")
+    new = drawn.groupBy("digest").agg(F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch"))
+    return stored(sets.drop("firsts", "sketch").join(new, "digest").select(*sets.columns), "sets-drawn-again")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,19 +420,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared_dir(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("row"), col(text_col).alias("text"))
-    signatures = stored(texts.mapInArrow(_signatures, f"id {id_type}, {SIGNATURE}"), "signatures")
+    draw = Draw(0)
+    signatures = stored(texts.mapInArrow(_signatures(draw), f"id {id_type}, {SIGNATURE}"), "signatures")
     # The row that stands for a set: the least id, and of those that repeat it one text.
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("rep")
     same = [F.first(c).alias(c) for c in ("n_grams", "firsts", "sketch")]  # equal for equal sets
     sets = stored(signatures.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), rep, *same), "distinct-sets")
-    edges, runs = candidate_edges(sets, range(RUNS)), RUNS
+    # now has the sketches of the last draw; every those of all draws, one after the other, which the paths that were gone tell by.
+    now, every, gone, runs, edges = sets, sets, np.zeros((0, DEPTH), int), 0, None
     while True:
-        links = exact_links(texts, sets, edges, runs)
-        met, again = links.agg(F.sum("met"), F.sum("again")).first()
-        if runs == MOST_RUNS or not met or again >= TARGET_RECALL * met:
-            break
-        further = range(runs, min(runs + MORE_RUNS, MOST_RUNS))
-        edges, runs = stored(edges.unionByName(candidate_edges(sets, further)).distinct(), "candidate-edges"), further.stop
+        if len(gone) >= RUNS:
+            links = exact_links(texts, every, edges, gone)
+            met, again = links.agg(F.sum("met"), F.sum("again")).first()
+            if not met or again >= TARGET_RECALL * met:
+                break
+        if runs == MOST_RUNS:
+            draw, runs = Draw(draw.number + 1), 0
+            now = _drawn_again(texts, sets, draw)
+            both = every.withColumnRenamed("sketch", "before").join(now.select("digest", "sketch"), "digest")
+            every = stored(both.withColumn("sketch", F.concat("before", "sketch")).select(*sets.columns), "all-sketches")
+        further = range(runs, min(runs + (RUNS - len(gone) if len(gone) < RUNS else MORE_RUNS), MOST_RUNS))
+        found = candidate_edges(now, further, draw.paths)
+        edges, runs = found if edges is None else stored(edges.unionByName(found).distinct(), "candidate-edges"), further.stop
+        gone = np.concatenate([gone, draw.paths[further.start : further.stop] + COORDINATES * draw.number])
     return linked_classes(signatures.select("id", "row", "digest"), sets.select("digest", "rep.id", "copies"), links)
 
 

@@ -6,8 +6,8 @@ doesn't hold is in one document only, and never shuffles. The suspected rest is
 line's key, with partial counts before the shuffle; a line keeps its place in one document and goes from the others.
 
 The filters' size follows the number of lines. Two filters of MOST_BITS are what a task may hold: more lines are dealt to
-ranges by their hash, of which one after another has filters of its own, so that they never fill up. Each range reads the
-stored digests again, so a cluster with large tasks should raise MOST_BITS.
+ranges by their hash, each of which has filters of its own, so that they never fill up. The digests are then written once
+more, a folder for each range, so that each range reads its own ones only; RANGES_AT_ONCE ranges are worked on at a time.
 
 Defined cases: a null text is an empty line; a text of any length is split whole; rows with a null id count as one document
 together and are never the one that keeps a line if another holds it; rows with the same id are one document; ties can't
@@ -18,6 +18,7 @@ result. Extra columns pass through, and clashing result names get a trailing und
 import hashlib
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.shared import col, fresh, stored
+from usageloom.llm.shared import col, fresh, scratch, stored
 
 BITS_A_LINE = 12
 #: Filters have from 2^20 to 2^29 bits; they are dealt in segments of 2^20 bits, and the second one is broadcast (64 MB at most).
 SEGMENT_BITS = 20
 LEAST_BITS, MOST_BITS = 20, 29
 PROBES = 3
+#: Ranges that are worked on at a time (64 MB of the driver each at most), and the tasks that a range's digests are dealt to at least.
+RANGES_AT_ONCE, RANGE_TASKS = 4, 16
 
 
 def line_keys(lines: pa.Array) -> pa.Array:
@@ -107,9 +110,9 @@ def _merged(segment: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
         yield pa.RecordBatch.from_pydict({"segment": pa.array([segment[0].as_py()], pa.int32()), "twice": [zlib.compress(twice.tobytes(), 1)]})
 
 
-def in_range(digest: str, number: int, n_ranges: int) -> Column:
-    """Whether a digest is of the range; told by other bytes than those that are hashed into the filters."""
-    return F.pmod(F.conv(F.hex(F.substring(digest, 9, 6)), 16, 10).cast("long"), F.lit(n_ranges)) == number
+def range_of(digest: str, n_ranges: int) -> Column:
+    """The range of a digest, told by other bytes than those that are hashed into the filters."""
+    return F.pmod(F.conv(F.hex(F.substring(digest, 9, 6)), 16, 10).cast("long"), F.lit(n_ranges)).cast("int")
 
 
 def repeated_filter(digests: DataFrame, n_lines: int) -> tuple[int, list[tuple[int, bytes]]]:
@@ -136,6 +139,12 @@ def _suspected(filter_cast, bits: int):
     return keep
 
 
+def _suspects(rows: DataFrame, n_lines: int, schema: str) -> DataFrame:
+    """The rows whose digest the second filter over all of them holds."""
+    bits, segments = repeated_filter(rows.select("digest"), n_lines)
+    return rows.mapInArrow(_suspected(rows.sparkSession.sparkContext.broadcast(segments), bits), schema)
+
+
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """Rows (id, row, drops): the numbers, from 0, of the lines that a row loses; only rows that lose some.
 
@@ -149,14 +158,20 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     rows = stored(whole.mapInArrow(_digests(min_chars), schema), "line-digests")
     n_lines = rows.count()
     n_ranges = max(1, -(-n_lines * BITS_A_LINE // (1 << MOST_BITS)))
-    suspects = None
-    for i in range(n_ranges):
-        part = rows.where(in_range("digest", i, n_ranges)) if n_ranges > 1 else rows
-        bits, segments = repeated_filter(part.select("digest"), -(-n_lines // n_ranges))
-        cast = spark.sparkContext.broadcast(segments)
-        found = stored(part.mapInArrow(_suspected(cast, bits), schema), "suspect-lines")
-        cast.unpersist()
-        suspects = found if suspects is None else suspects.unionByName(found)
+    if n_ranges == 1:
+        suspects = stored(_suspects(rows, n_lines, schema), "suspect-lines")
+    else:
+        dealt, path = scratch(spark, "ranged-digests"), scratch(spark, "suspect-lines")
+        ranged = rows.withColumn("range", range_of("digest", n_ranges)).withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(RANGE_TASKS)))
+        ranged.repartition(n_ranges * RANGE_TASKS, "range", "salt").drop("salt").write.partitionBy("range").parquet(dealt)
+        sizes = {r[0]: r[1] for r in spark.read.parquet(dealt).groupBy("range").count().collect()}
+
+        def work(i: int) -> None:
+            _suspects(spark.read.schema(schema).parquet(f"{dealt}/range={i}"), sizes[i], schema).write.parquet(f"{path}/range={i}")
+
+        with ThreadPoolExecutor(RANGES_AT_ONCE) as pool:
+            list(pool.map(work, sorted(sizes)))
+        suspects = spark.read.schema(schema).parquet(path)
     held = suspects.groupBy("digest", "id").agg(F.lit(1).alias("one"))
     counts = held.groupBy("digest").agg(F.count("one").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     counts = stored(counts.select("digest", "keeper"), "repeated-lines")  # as a table, so that the join can split a hot line
