@@ -59,9 +59,12 @@ def by_project(rows: DataFrame) -> DataFrame:
 
 def heatmap(rows: DataFrame) -> DataFrame:
     """Tokens of each weekday and hour, all 168 cells."""
-    spark = rows.sparkSession
-    cells = spark.range(168).select(F.floor(F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour"))
-    sums = rows.groupBy("weekday", "hour").agg(total("volume").alias("tokens"))
+    return cells_of(rows.groupBy("weekday", "hour").agg(total("volume").alias("tokens")))
+
+
+def cells_of(sums: DataFrame) -> DataFrame:
+    """The 168 cells of sums (weekday, hour, tokens)."""
+    cells = sums.sparkSession.range(168).select(F.floor(F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour"))
     return cells.join(sums, ["weekday", "hour"], "left").select("weekday", "hour", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).orderBy("weekday", "hour")
 
 
@@ -74,6 +77,11 @@ def sessions(rows: DataFrame) -> DataFrame:
     parts = rows.groupBy("session_id", "model").agg(
         F.min(F.struct("ts", "offset")).alias("start"), first.alias("project"), total("volume").alias("tokens"), total_cost().alias("cost")
     )
+    return sessions_of(parts)
+
+
+def sessions_of(parts: DataFrame) -> DataFrame:
+    """Sessions of their sums by model: rows (session_id, model, start, project, tokens, cost)."""
     # Of models with equal costs the lesser name: the last by (cost, reversed order) is the first by (-cost, name).
     return parts.groupBy("session_id").agg(
         F.min("start.ts").alias("started"),

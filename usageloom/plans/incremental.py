@@ -8,18 +8,24 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usageloom.functions.formatting import alert_post
 from usageloom.operators import aggregates as agg
+from usageloom.operators.changed_files import changed_result
 from usageloom.operators.clean import clean_usage, priced
 from usageloom.operators import dashboard as dash
 from usageloom.operators.result_cache import cached_result, kept_catalog
+from usageloom.operators.series import local_seconds
 from usageloom.plans.fixtures import ORACLE as PARSED
 from usageloom.plans.fixtures import price_catalog
+from usageloom.plans.series import ORACLE as SERIES_ORACLE
+from usageloom.plans.series import RUNNING, SAMPLES, samples
 from usageloom.plans.usage import BY_DAY, COST, DAYS, TODAY, Query, _total, load, rows, usage_sql
 from usageloom.plans.usage import ORACLE as USAGE_ORACLE
 from usageloom.sources.folders import scratch
 from usageloom.sources.lines import listed, opened, read_lines_at
 from usageloom.sources.usage import log_roots, modified_floor, parse_lines, read_lines, write_logs
 from usageloom.streaming.alerts import alerts
+from usageloom.streaming.quota import AlertPosts, carried_forward, posted, quota_alerts, stateful_session
 from usageloom.streaming.tail import stored_costs, tail_costs
 
 QUERIES: dict[str, Query] = {}
@@ -58,6 +64,26 @@ QUERIES["cached_scan"] = cached_scan
 ORACLE["cached_scan"] = ORACLE["log_scan"]
 
 
+def changed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up over two listings: the second run reads only the logs that came, or changed, since the first."""
+    events, logs, store = load(spark, sf_dir, "events"), scratch(spark, "logs"), scratch(spark, "changed")
+    usage = lambda lines: priced(clean_usage(parse_lines(lines), TODAY, DAYS))
+    half = events.where("user_id % 7 < 4")
+    write_logs(half, f"{logs}/half")
+    # A log that is rewritten in between: at first it holds other events.
+    write_logs(events.where("user_id % 7 = 5"), f"{logs}/rest")
+    changed_result(spark, store, [logs], usage, "*.txt")[0].count()
+    write_logs(events.where("user_id % 7 >= 4"), f"{logs}/rest", mode="overwrite")
+    found, changed = changed_result(spark, store, [logs], usage, "*.txt")
+    if changed.where(F.col("path").contains("/half/")).count():
+        raise AssertionError("logs that haven't changed were read again")
+    return found
+
+
+QUERIES["changed_scan"] = changed_scan
+ORACLE["changed_scan"] = ORACLE["log_scan"]
+
+
 def roots_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs in two folders, one of which is named twice: each counts once."""
     events, named = load(spark, sf_dir, "events"), [scratch(spark, "roots"), scratch(spark, "roots")]
@@ -212,3 +238,78 @@ ORACLE["stream_alerts"] = """WITH lagged AS (SELECT 'u' || user_id AS window_id,
   SELECT window_id, seq, CASE WHEN remaining <= 20 AND (previous IS NULL OR previous > 20) THEN '20' ELSE '50' END AS alert FROM lagged
     WHERE (remaining <= 20 AND (previous IS NULL OR previous > 20)) OR (remaining <= 50 AND (previous IS NULL OR previous > 50))
   UNION ALL SELECT window_id, seq, CASE WHEN remaining <= 0.0001 THEN 'depleted' ELSE 'restored' END FROM lagged WHERE (remaining <= 0.0001) <> coalesce(previous <= 0.0001, false)"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the sample series, some files a batch, in order of time."""
+    source, session = scratch(spark, "samples"), stateful_session(spark)
+    rows = samples(spark, sf_dir).select(
+        F.col("user_id").alias("window_id"), F.col("event_id").alias("seq"), local_seconds(F.col("ts")).alias("seconds"), "used", "until_reset", F.lit(True).alias("enabled"), (F.col("event_type") == "error").alias("has_error"),
+    )
+    # Files by thirds of the time, written one after the other: so each batch holds later samples than the one before.
+    low, high = rows.agg(F.min("seconds"), F.max("seconds")).first()
+    for i in range(3):
+        third = F.floor((F.col("seconds") - F.lit(low)) * 3 / (F.lit(high) - F.lit(low) + 1.0)) == i
+        rows.where(third).coalesce(1).write.mode("append").parquet(source)
+    return session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _streamed(found: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+    """All that a stream emits, as a table: a folder for each batch."""
+    out = scratch(spark, label)
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    found.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, f"{label}-progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).drop("batch")
+
+
+def stream_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample's forecast, from a stream."""
+    found = _streamed(quota_alerts(_samples(spark, sf_dir), [50, 20]), spark, "forecasts").where("place = 0")
+    return found.select(F.col("window_id").alias("user_id"), F.col("seq").alias("event_id"), F.round("minutes", 6).alias("minutes"), "confidence")
+
+
+QUERIES["stream_forecasts"] = stream_forecasts
+ORACLE["stream_forecasts"] = f"WITH {SAMPLES}, {RUNNING} SELECT user_id, event_id, minutes, confidence FROM told"
+
+
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alerts of a stream, each tick's in order: depleted or restored, a threshold, predictive."""
+    found = _streamed(quota_alerts(_samples(spark, sf_dir), [50, 20]), spark, "quota").where("place > 0")
+    return found.select(F.col("window_id").alias("user_id"), F.col("seq").alias("event_id"), "place", "alert")
+
+
+QUERIES["stream_quota"] = stream_quota
+ORACLE["stream_quota"] = f"""WITH {SAMPLES}, {RUNNING}, ticks AS (
+    SELECT *, 100 - used AS remaining, lag(100 - used) OVER w AS previous, coalesce(minutes <= 30, false) AS near, lag(coalesce(minutes <= 30, false), 1, false) OVER w AS was_near
+    FROM told WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  SELECT user_id, event_id, 1 AS place, CASE WHEN remaining <= 0.0001 THEN 'depleted' ELSE 'restored' END AS alert FROM ticks WHERE (remaining <= 0.0001) <> coalesce(previous <= 0.0001, false)
+  UNION ALL SELECT user_id, event_id, 2, CASE WHEN remaining <= 20 AND (previous IS NULL OR previous > 20) THEN '20' ELSE '50' END FROM ticks
+    WHERE (remaining <= 20 AND (previous IS NULL OR previous > 20)) OR (remaining <= 50 AND (previous IS NULL OR previous > 50))
+  UNION ALL SELECT user_id, event_id, 3, 'predictive' FROM ticks WHERE near AND NOT was_near AND remaining > 0.0001"""
+
+
+def stream_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors keep the last good sample, on a stream."""
+    found = _streamed(carried_forward(_samples(spark, sf_dir)), spark, "carried")
+    return found.select(F.col("window_id").alias("user_id"), F.col("seq").alias("event_id"), "has_error", "used", F.col("good_seq").alias("good_event"))
+
+
+QUERIES["stream_carry_forward"] = stream_carry_forward
+ORACLE["stream_carry_forward"] = SERIES_ORACLE["carry_forward"]
+
+
+def posted_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of a stream, posted to an outbox, each once."""
+    found = _streamed(quota_alerts(_samples(spark, sf_dir), [50, 20]), spark, "quota").where("place in (1, 2)")
+    told = scratch(spark, "told-alerts")
+    found.select(alert_post(F.col("window_id").cast("string"), F.col("alert"), F.lit(0.0)).id.alias("id"), "seq").repartition(4).write.parquet(told)
+    spark.dataSource.register(AlertPosts)
+    outbox = scratch(spark, "outbox")
+    stream = spark.readStream.schema("id string, seq long").option("maxFilesPerTrigger", 2).parquet(told)
+    query = stream.writeStream.format("alert_posts").option("outbox", outbox).option("checkpointLocation", scratch(spark, "posts-progress"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return posted(spark, outbox, "id string, seq long").drop("batch")
+
+
+QUERIES["posted_alerts"] = posted_alerts
+ORACLE["posted_alerts"] = f"""SELECT CASE WHEN place = 1 THEN alert || '-' || user_id ELSE 'threshold-' || user_id || '-' || alert END AS id, event_id AS seq FROM ({ORACLE["stream_quota"]}) WHERE place < 3"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from usageloom.operators import aggregates as agg
 from usageloom.operators import dashboard as dash
 from usageloom.operators.clean import clean_usage, in_window, keep_last, priced
+from usageloom.operators.fold import folded
 from usageloom.sources.folders import stored
 from usageloom.sources.usage import usage_of_events
 
@@ -242,3 +243,31 @@ def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["dedup_keep_last"] = dedup_keep_last
 ORACLE["dedup_keep_last"] = """SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC,
   l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1"""
+
+
+def dashboard_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five results of one scan, put under each other: kind, key, tokens, cost."""
+    found = folded(rows(spark, sf_dir), NOW)
+    text = lambda *keys: F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    parts = [
+        found["by_day_model"].select(F.lit("day_model").alias("kind"), text("day", "model").alias("key"), (F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read") + F.col("cache_write")).alias("tokens"), "cost"),
+        found["by_project"].select(F.lit("project").alias("kind"), F.col("project").alias("key"), "tokens", "cost"),
+        found["heatmap"].select(F.lit("hour").alias("kind"), text("weekday", "hour").alias("key"), "tokens", F.lit(None).cast("double").alias("cost")),
+        found["sessions"].select(F.lit("session").alias("kind"), text("session_id", "project", "dominant_model").alias("key"), "tokens", "cost"),
+        found["month_to_date"].select(F.lit("month").alias("kind"), F.lit("").alias("key"), F.lit(None).cast("long").alias("tokens"), F.col("mtd_cost").alias("cost")),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+_add(
+    "dashboard_fold", dashboard_fold,
+    f"""SELECT 'day_model' AS kind, day || '|' || model AS key, {_total('input_tokens + output_tokens + cache_read + cache_write')} AS tokens, round(sum(cost), 9) AS cost FROM bdm GROUP BY day, model
+    UNION ALL SELECT 'project', project, {_total('volume')}, {COST} FROM rows GROUP BY project
+    UNION ALL SELECT 'hour', weekday || '|' || hour, tokens, NULL FROM heat
+    UNION ALL SELECT 'session', session_id || '|' || project || '|' || dominant_model, tokens, cost FROM sessions
+    UNION ALL SELECT 'month', '', NULL, mtd_cost FROM mtd""",
+    BY_DAY, HEAT, SESSIONS, MTD,
+)

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of files that one task reads, bytes that are read at once, and rows of a batch that goes to the JVM.
@@ -178,3 +179,22 @@ def read_lines_at(spark: SparkSession, roots: Sequence[str], modified_since: dt.
     if modified_since is not None:
         reader = reader.option("since", str(modified_since.timestamp()))
     return reader.load()
+
+
+def lines_of_files(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows (file, offset, value) of the files in a table (path, length): they are dealt to tasks in stretches, without a listing at the driver."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(part_bytes).cast("long"))).alias("start")
+    cut = files.where("length > 0").select("path", first, "length").select("path", "start", F.least(F.col("start") + part_bytes, "length").alias("stop"))
+
+    def read(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in given:
+                for s in batch.to_pylist():
+                    fs, path = opened(s["path"])
+                    with fs.open_input_file(path) as f:
+                        for offset, line in lines_of(f, s["start"], s["stop"]):
+                            yield s["path"], offset, line.decode("utf-8", "replace").removesuffix("\r")
+
+        yield from batches(rows(), LINE_COLUMNS)
+
+    return cut.repartition("path", "start").mapInArrow(read, "file string, offset long, value string")

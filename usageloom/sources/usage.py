@@ -128,7 +128,7 @@ def usage_of_events(events: DataFrame) -> DataFrame:
     )
 
 
-def write_logs(events: DataFrame, path: str, order: Sequence[Column | str] = ("event_id",)) -> None:
+def write_logs(events: DataFrame, path: str, order: Sequence[Column | str] = ("event_id",), mode: str = "error") -> None:
     """The events as JSON-lines logs (*.txt), each in the order: what parse_lines reads back as the same usage rows."""
     k = F.get_json_object("props", "$.k").try_cast("double")
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH")
@@ -151,4 +151,4 @@ def write_logs(events: DataFrame, path: str, order: Sequence[Column | str] = ("e
     rows = events.select((F.col("user_id") % 7).alias("part"), F.to_date("ts").alias("day"), *places, F.to_json(line).alias("value"))
     # A task writes a folder's lines of some days, in order; a message's lines are of one day, so they meet in one file.
     dealt = rows.repartition("part", "day").sortWithinPartitions("part", *[f"place{i}" for i in range(len(places))]).select("part", "value")
-    dealt.write.partitionBy("part").text(path)
+    dealt.write.mode(mode).partitionBy("part").text(path)

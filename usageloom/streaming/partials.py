@@ -37,6 +37,10 @@ class Partials:
         """The last batch that the last manifest's base holds; -1 for none."""
         return max(self._numbers("manifest"), default=-1)
 
+    def next_number(self) -> int:
+        """After all that is stored, whole or not."""
+        return max([self.merged_upto(), *self._numbers("batch")]) + 1
+
     def put(self, batch: DataFrame, number: int) -> None:
         # A batch that is in the base already was committed before, and isn't stored again.
         if number > (upto := self.merged_upto()):
