@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ DOUBT = 4.0
 PENALTY, STEPS = 1e-3, 60
 HELD_OUT = 5
 #: Slots whose counts are summed in one group, and rows of the sample that the fit goes through at once.
-CHUNK, FIT_ROWS = 4096, 512
+CHUNK, FIT_ROWS = 4096, 256
 #: Labels of numbered documents that may be broadcast (some 15 MB in memory); more, or ids of any length, are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -127,26 +126,43 @@ class Counts:
         return ratio * z**2 / (z**2 + DOUBT**2)
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float, ratio: np.ndarray) -> Model:
-    """Fit on the slots of each row, with their 0/1 labels; share is that of toxic rows among all that are labelled, ratio the slots' scales."""
+@dataclass(frozen=True)
+class Sampled:
+    """Some rows of the sample: all their slots one after the other, how many each has, and their 0/1 labels."""
+
+    slots: np.ndarray
+    sizes: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], toxic: list[int]) -> "Sampled":
+        return cls(np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(x) for x in rows]), np.array(toxic, float))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each row the sum of its slots' values."""
+        found, some = np.zeros(len(self.sizes)), self.sizes > 0
+        if some.any():
+            starts = np.cumsum(self.sizes) - self.sizes
+            found[some] = np.add.reduceat(values[self.slots], starts[some])
+        return found
+
+
+def fit(parts: list[Sampled], share: float, ratio: np.ndarray) -> Model:
+    """Fit on the sample; share is that of toxic rows among all that are labelled, ratio the slots' scales."""
     n, share = len(ratio), min(max(share, 0.0), 1.0)
-    if not len(toxic) or toxic.min() == toxic.max():
+    y = np.concatenate([np.zeros(0), *(p.toxic for p in parts)])
+    if not len(y) or y.min() == y.max():
         return Model(np.zeros(n), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    w, b, y = np.zeros(n), 0.0, toxic.astype(float)
+    w, b, share_of = np.zeros(n), 0.0, {1: 0.5 / y.sum(), 0: 0.5 / (1 - y).sum()}
     # Adam on the whole sample: deterministic, and sure of its step whatever the slots' scales.
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    parts = []
-    for i in range(0, len(rows), FIT_ROWS):
-        some = rows[i : i + FIT_ROWS]
-        parts.append((slice(i, i + FIT_ROWS), np.repeat(np.arange(len(some), dtype=np.int16), [len(x) for x in some]), np.concatenate(some)))
     for t in range(1, STEPS + 1):
         g, gb, rate = np.zeros(n), 0.0, 0.05 / (1 + t / 40)
         scaled = ratio * w
-        for part, row, slot in parts:
-            z = np.bincount(row, weights=scaled[slot], minlength=len(y[part])) + b
-            r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[part]) * weight[part]
-            g += np.bincount(slot, weights=r[row], minlength=n)
+        for part in parts:
+            z = part.sums(scaled) + b
+            r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - part.toxic) * np.where(part.toxic == 1, share_of[1], share_of[0])
+            g += np.bincount(part.slots, weights=np.repeat(r, part.sizes), minlength=n)
             gb += r.sum()
         g = PENALTY * w + ratio * g
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -208,11 +224,12 @@ def _fitted(ratio, share: float):
     """The one task that gets the sample, in order; a row (weights, intercept). ratio is a broadcast array."""
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, toxic = [], []
+        # Put together a few rows at a time, so that the sample is held once.
+        parts = []
         for batch in batches:
-            rows += [unpacked(x.as_py()) for x in batch.column("slots")]
-            toxic += batch.column("toxic").to_pylist()
-        model = fit(rows, np.array(toxic), share, ratio.value)
+            for some in (batch.slice(i, FIT_ROWS) for i in range(0, len(batch), FIT_ROWS)):
+                parts.append(Sampled.of([unpacked(x.as_py()) for x in some.column("slots")], some.column("toxic").to_pylist()))
+        model = fit(parts, share, ratio.value)
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "intercept": [model.intercept]})
 
     return fitted
@@ -239,20 +256,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = bounded[0].unionByName(bounded[1]).repartition(1).sortWithinPartitions("toxic", "order", "slots")
     found = whole.mapInArrow(_fitted(cast, share), "weights binary, intercept double").first()
     if found is None:  # no sample, so no task
-        return fit([], np.zeros(0, int), share, ratio)
+        return fit([], share, ratio)
     return Model(np.frombuffer(found["weights"], float), found["intercept"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the column `name`: 0 to 1, higher for texts that are likelier toxic."""
+    small_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB
 
-    @F.pandas_udf("double")
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([cast.value.score(t) for t in batch], dtype="float64")
+            yield pa.array([cast.value.score(t.as_py()) for t in batch], pa.float64())
 
-    return docs.withColumn(name, scores(col(text_col)))
+    return docs.withColumn(name, F.arrow_udf(scores, "double")(col(text_col)))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
