@@ -52,36 +52,34 @@ def plain_battery(token):
 
 def random_spans(rows):
     """{id: spans} of the kind random over all rows (id, text) with distinct ids."""
-    from usageloom.llm import secrets
-
     found = []
     for i, text in rows:
         base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text)]
-        for m in re.finditer(secrets.CANDIDATE, text or ""):
-            if not any(a < m.end() and m.start() < b for a, b in base):
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text or ""):
+            if not re.fullmatch("[0-9]+", m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
                 found.append((i, m.start(), m.end(), not re.search("[0-9]", m[0]), *plain_battery(m[0])))
     text = {}
     for encoding in {f[4] for f in found}:
         words = [f for f in found if f[4] == encoding and f[3]]
-        if len(words) >= secrets.LEAST_TEXT:
+        if len(words) >= 50:
             skew = sum(f[6] for f in words) / sum(f[5] for f in words)
             text[encoding] = skew, math.sqrt(sum((f[6] - skew * f[5]) ** 2 / f[5] for f in words) / len(words))
 
     def p_text(f):
-        if f[7] < secrets.GATE / 3:
+        if f[7] < 0.01 / 3:
             return 1.0
         skew, spread = text.get(f[4], (None, None))
         p = 0.0 if skew is None else math.erfc(-(f[6] - skew * f[5]) / (spread * math.sqrt(f[5])) / math.sqrt(2)) / 2
         # Rounded up to a bin's upper bound.
-        return 10 ** (-min(math.floor(-secrets.BINS * math.log10(max(p, 1e-300))), secrets.MOST_BIN) / secrets.BINS)
+        return 10 ** (-min(math.floor(-20 * math.log10(max(p, 1e-300))), 600) / 20)
 
     strata = {}
     for f in found:
-        strata.setdefault((f[4], sum(f[5] >= x for x in secrets.LENGTHS)), []).append((p_text(f), f))
+        strata.setdefault((f[4], sum(f[5] >= x for x in (20, 24, 32, 48, 96, 192))), []).append((p_text(f), f))
     out = {i: [] for i, _ in rows}
     for tests in strata.values():
         order = sorted(p for p, _ in tests)
-        good = [p for rank, p in enumerate(order, 1) if p < 1 and p <= secrets.FDR * rank / len(order)]
+        good = [p for rank, p in enumerate(order, 1) if p < 1 and p <= 0.05 * rank / len(order)]
         for p, f in tests:
             if good and p <= max(good):
                 out[f[0]].append((f[1], f[2]))

@@ -1,8 +1,9 @@
 """Secret scanning by patterns and a randomness test battery, in DataFrame functions only.
 
 Base kinds are found by pattern: `assign` (a password-like assignment), `access` (AKIA ids) and `hex` (long
-runs of lower-case hex digits). The battery adds the kind `random`: runs of LEAST_CHARS or more symbols that overlap no
-base span. The encoding of each is inferred from its symbols (decimal, hex, base 32, 36, 62 or 64), which fixes an
+runs of lower-case hex digits). The battery adds the kind `random`: runs of LEAST_CHARS or more symbols, not all of them
+digits, that overlap no base span. Numbers are left out: invoice, order and card numbers are as random as a key of digits
+would be, so there is nothing by which their false discoveries could be held down. The encoding of each is inferred from its symbols (hex, base 32, 36, 62 or 64), which fixes an
 alphabet of k symbols, and over the n symbol numbers three tests of randomness are taken:
   - chi-squared of uniform use of the alphabet, with its exact mean k - 1 and variance 2 (k - 1) (1 - 1 / n);
   - the number of runs above and below the alphabet's middle;
@@ -13,8 +14,8 @@ tested by the same chi-squared, as the normal score z. Under text z grows with t
 spread * sqrt(n); skew and spread are those of each encoding's tokens without a digit, over all documents, of which a random
 key is one in some thirty at most (base 62, 20 symbols). Benjamini and Hochberg's rule holds the false-discovery rate at FDR
 within each encoding and length stratum, over all of its tokens; those that fail the battery count as p = 1. An encoding with
-fewer than LEAST_TEXT tokens without a digit (decimal and hex have none) has no text to be mistaken for; there the
-battery decides. What leaves the executors are counts: by encoding, and by stratum and p-value in bins, rounded up.
+fewer than LEAST_TEXT tokens without a digit (hex has none of that length) has no text to be mistaken for; there the
+battery decides. Equal p-values share a bin, and are accepted or not together. What leaves the executors are counts: by encoding, and by stratum and p-value in bins, rounded up.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; repeated rows have equal
 results but count twice in the p-values; texts of any length are scanned whole; an empty table gives an empty result.
@@ -39,10 +40,10 @@ KINDS = ["assign", "access", "hex", "random"]
 
 LEAST_CHARS = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+NUMBER = r"^[0-9]+$"
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Encoding: pattern, alphabet. The first that fits is inferred.
 ENCODINGS = {
-    "decimal": (r"^[0-9]+$", DIGITS),
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
     "base32": (r"^[A-Z2-7]+$", LOWER + "234567"),
     "base36": (r"^([0-9a-z]+|[0-9A-Z]+)$", DIGITS + LOWER),
@@ -183,7 +184,7 @@ def battery(token: Column) -> Column:
 def candidates(text: Column, base: Column) -> Column:
     """array<struct<start, end, encoding, n, z, words, passed>> of the tokens; words tells that a token has no digit."""
     some = _where(text.rlike(CANDIDATE), located(text, CANDIDATE))
-    clear = F.filter(some, lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
+    clear = F.filter(some, lambda s: ~s.value.rlike(NUMBER) & ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
     scored = F.transform(clear, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), (~s.value.rlike("[0-9]")).alias("words"), battery(s.value).alias("t")))
     return F.transform(
         scored,
