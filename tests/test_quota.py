@@ -14,6 +14,7 @@ from usageloom.operators.clean import clean_usage, priced
 from usageloom.operators.fold import folded
 from usageloom.plans.usage import NOW, rows
 from usageloom.streaming import quota
+from usageloom.streaming.state import stateful_session
 
 SAMPLES = "window_id string, seq long, seconds double, used double, until_reset double, enabled boolean"
 
@@ -24,7 +25,7 @@ def run(spark, tmp_path, batches, make, schema, name):
     got = []
     for i, batch in enumerate(batches):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
-        session = quota.stateful_session(spark)
+        session = stateful_session(spark)
         stream = make(session.readStream.schema(schema).parquet(str(source)))
         put = lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
         stream.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / f"{name}-progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()

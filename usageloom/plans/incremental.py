@@ -25,7 +25,8 @@ from usageloom.sources.folders import scratch
 from usageloom.sources.lines import listed, opened, read_lines_at
 from usageloom.sources.usage import log_roots, modified_floor, parse_lines, read_lines, write_logs
 from usageloom.streaming.alerts import alerts
-from usageloom.streaming.quota import AlertPosts, carried_forward, posted, quota_alerts, stateful_session
+from usageloom.streaming.quota import AlertPosts, carried_forward, posted, quota_alerts
+from usageloom.streaming.state import stateful_session
 from usageloom.streaming.tail import stored_costs, tail_costs
 
 QUERIES: dict[str, Query] = {}
@@ -165,7 +166,7 @@ def log_tail_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same where a message's chunks come in different batches: each log holds its even events first, and a batch some of it."""
     logs, store = scratch(spark, "logs"), scratch(spark, "costs")
     write_logs(load(spark, sf_dir, "events"), logs, [F.col("event_id") % 2, "event_id"])
-    tail_costs(spark, logs, store, suffix=".txt", batch_bytes=_bytes(logs) // 8 + 1)
+    tail_costs(spark, logs, store, suffix=".txt", batch_bytes=_bytes(logs) // 5 + 1)
     return stored_costs(spark, store)
 
 

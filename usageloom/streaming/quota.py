@@ -19,19 +19,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from usageloom.operators.series import ALERT_MINUTES, HISTORY, LEAST_SAMPLES, RECENT, SURE_SAMPLES, USED_UP
 from usageloom.sources.lines import opened
 
-ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of its own, in which streams keep their state outside the JVM's heap, as transformWithState needs.
-
-    Batches without data are off: a state with a time to live would ask for one after the other, and a run over what is there wouldn't end.
-    """
-    session = spark.newSession()
-    session.conf.set(*ROCKS)
-    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    return session
-
 
 def slope_of(points: Sequence[tuple[float, float]]) -> float | None:
     """The least-squares rate of (seconds, value); none without spread in time."""
@@ -107,7 +94,7 @@ class Quota(StatefulProcessor):
 def quota_alerts(samples: DataFrame, thresholds: Sequence[int]) -> DataFrame:
     """Rows (window_id, seq, place, alert, minutes, confidence) of a stream (window_id, seq, seconds, used, until_reset, enabled), see Quota.
 
-    The stream must be of a stateful_session, and start in append mode.
+    The stream must be of a stateful_session (state.py), and start in append mode.
     """
     schema = FORECASTS.format(id=samples.schema["window_id"].dataType.simpleString())
     return samples.groupBy("window_id").transformWithState(Quota(thresholds), schema, "Append", "None")

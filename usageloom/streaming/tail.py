@@ -29,6 +29,7 @@ from usageloom.sources.lines import Part, batches, last_line_end, lines_of, list
 from usageloom.sources.usage import parse_lines
 from usageloom.streaming.file_map import FileMap, Known
 from usageloom.streaming.partials import Partials
+from usageloom.streaming.state import stateful_session
 
 #: Bytes that a batch admits, and the first bytes of a file by which a rewrite is told.
 BATCH_BYTES, HEAD = 4 << 30, 4096
@@ -189,8 +190,7 @@ def tail_costs(spark: SparkSession, logs: str, store: str, zone: str = "UTC", su
     every_seconds of 0 reads what is there, in batches of batch_bytes, and ends; with one of INTERVALS, or any other, the query
     goes on. Neither windows nor present-day prices are baked in beyond the batch's own: partials keep file, day and model.
     """
-    session = spark.newSession()  # the state of many keys is kept outside the JVM's heap
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session = stateful_session(spark)
     session.dataSource.register(LogTail)
     source = session.readStream.format("log_tail").option("path", logs).option("state", f"{store}/files").option("pattern", f"*{suffix}")
     lines = source.option("batch_bytes", str(batch_bytes)).load()
