@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,19 @@ _EXTRA = "struct<is_enabled: boolean, monthly_limit: double, used_credits: doubl
 _RATE = ", ".join(f"{w}: struct<utilization: double, resets_at: string>" for w in [*_WINDOWS, *ROUTINES]) + f", extra_usage: {_EXTRA}"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def rate_windows(payload: Column) -> Column:
     """struct of the windows (utilization, resets_at, minutes) and extra usage of a rate payload; null for no JSON object."""
-    parsed, keys = F.from_json(payload, f"struct<{_RATE}>"), F.json_object_keys(payload)
+    # Bound before its fields are named: else each of them parses the payload again.
+    read = F.struct(F.from_json(payload, f"struct<{_RATE}>").alias("parsed"), F.json_object_keys(payload).alias("keys"))
+    return _once(read, lambda r: _windows(r.parsed, r["keys"]))
+
 
+def _windows(parsed: Column, keys: Column) -> Column:
     def window(source: Column, minutes: int) -> Column:
         return F.when(
             source.isNotNull(),
