@@ -348,3 +348,9 @@ def test_catalogue_lives_a_day(spark, tmp_path):
     assert at(80) == 2.0 and len(fetched) == 3  # stale, as fetching fails
     fetched[:] = [1, 1]
     assert kept_catalog(spark, str(tmp_path / "none"), fetch, start).count() == 4  # the fixed prices
+
+
+@pytest.mark.parametrize(("made", "step"), [(payloads.rate_windows, "from_json("), (payloads.panel, "split(")])
+def test_a_payload_is_read_once_a_row(spark, made, step):
+    found = spark.range(1).select(F.col("id").cast("string").alias("value")).select(made(F.col("value")).alias("p")).select("p.session", "p.weekly")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(step) == 1

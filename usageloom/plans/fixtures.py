@@ -83,8 +83,8 @@ def panel_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("no figures here"),
     ]
     text = F.element_at(F.array(*forms), (_id() % 6 + 1).cast("int"))
-    p = payloads.panel(text)
-    return load(spark, sf_dir, "events").select("event_id", p.session.alias("session"), p.weekly.alias("weekly"))
+    found = load(spark, sf_dir, "events").select("event_id", payloads.panel(text).alias("p"))
+    return found.select("event_id", "p.session", "p.weekly")
 
 
 QUERIES["panel_scrape"] = panel_scrape

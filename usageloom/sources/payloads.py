@@ -103,16 +103,18 @@ def line_percent(line: Column) -> Column:
 
 def panel(text: Column) -> Column:
     """struct<session, weekly> of a terminal panel: by label, else by position; null where no session share is found."""
-    lines = F.transform(F.split(without_ansi(text), r"\r\n|[\n\r\x0B\x0C\x85  ]", -1), lambda x: F.struct(label_form(x).alias("label"), line_percent(x).alias("share")))
+    split = F.transform(F.split(without_ansi(text), r"\r\n|[\n\r\x0B\x0C\x85  ]", -1), lambda x: F.struct(label_form(x).alias("label"), line_percent(x).alias("share")))
 
-    def labelled(label: str) -> Column:
-        ahead = F.transform(lines, lambda x, i: F.when(x.label.contains(label), F.get(F.filter(F.slice(lines, i + 1, LOOK_AHEAD), lambda y: y.share.isNotNull()), 0).share))
-        return F.get(F.filter(ahead, lambda s: s.isNotNull()), 0)
+    # Bound once: else each line's look ahead, and each use of a share, splits the panel again.
+    told = _once(split, lambda lines: F.struct(_share(lines, "currentsession", 0).alias("session"), _share(lines, "currentweek", 1).alias("weekly")))
+    return _once(told, lambda t: F.when(t.session.isNotNull(), F.struct(t.session.alias("session"), F.coalesce(t.weekly, F.lit(0.0)).alias("weekly"))))
 
+
+def _share(lines: Column, label: str, place: int) -> Column:
+    """The first share at or after a line with the label, else the one at the place among all."""
+    ahead = F.transform(lines, lambda x, i: F.when(x.label.contains(label), F.get(F.filter(F.slice(lines, i + 1, LOOK_AHEAD), lambda y: y.share.isNotNull()), 0).share))
     shares = F.filter(F.transform(lines, lambda x: x.share), lambda s: s.isNotNull())
-    session = F.coalesce(labelled("currentsession"), F.get(shares, 0))
-    weekly = F.coalesce(labelled("currentweek"), F.get(shares, 1), F.lit(0.0))
-    return F.when(session.isNotNull(), F.struct(session.alias("session"), weekly.alias("weekly")))
+    return F.coalesce(F.get(F.filter(ahead, lambda s: s.isNotNull()), 0), F.get(shares, place))
 
 
 def release(feed: Column) -> Column:
