@@ -218,3 +218,13 @@ def test_partials_are_merged_behind_a_manifest(spark, tmp_path):
     (tmp_path / "p" / "manifest=99.part").write_text("")
     assert store.read(spark).agg(F.sum("n")).first()[0] == 23 * 11
     assert Partials(str(tmp_path / "none"), schema, merge).read(spark).count() == 0
+
+
+def test_files_of_a_table_are_read_by_as_many_tasks_as_their_bytes_need(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"{i}.txt").write_text("".join(f"{j:09d}\n" for j in range(1000)))
+    files = spark.createDataFrame([(str(f), f.stat().st_size) for f in sorted(tmp_path.iterdir())], "path string, length long")
+    rows = lines.lines_of_files(files, part_bytes=5000).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["file"][-5:], r["offset"], r["value"]) for r in rows) == [(f"{i}.txt", 10 * j, f"{j:09d}") for i in range(4) for j in range(1000)]
+    share = [sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}]
+    assert len(share) >= 6 and max(share) < 1500

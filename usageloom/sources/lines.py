@@ -182,9 +182,15 @@ def read_lines_at(spark: SparkSession, roots: Sequence[str], modified_since: dt.
 
 
 def lines_of_files(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Rows (file, offset, value) of the files in a table (path, length): they are dealt to tasks in stretches, without a listing at the driver."""
-    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(part_bytes).cast("long"))).alias("start")
-    cut = files.where("length > 0").select("path", first, "length").select("path", "start", F.least(F.col("start") + part_bytes, "length").alias("stop"))
+    """Rows (file, offset, value) of the files in a table (path, length): they are dealt to tasks in stretches, without a listing at the driver.
+
+    The table is small, so a shuffle that may join partitions would give all files to one task: there is one for each
+    part_bytes of text, and stretches are an eighth of that, so that tasks get about the same.
+    """
+    step = max(1, part_bytes // 8)
+    tasks = max(1, -(-(files.agg(F.sum("length")).first()[0] or 0) // part_bytes))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start")
+    cut = files.where("length > 0").select("path", first, "length").select("path", "start", F.least(F.col("start") + step, "length").alias("stop"))
 
     def read(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -197,4 +203,4 @@ def lines_of_files(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
         yield from batches(rows(), LINE_COLUMNS)
 
-    return cut.repartition("path", "start").mapInArrow(read, "file string, offset long, value string")
+    return cut.repartition(tasks, "path", "start").mapInArrow(read, "file string, offset long, value string")
