@@ -7,6 +7,7 @@ import random
 import tracemalloc
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_units import line
 
@@ -228,3 +229,35 @@ def test_files_of_a_table_are_read_by_as_many_tasks_as_their_bytes_need(spark, t
     assert sorted((r["file"][-5:], r["offset"], r["value"]) for r in rows) == [(f"{i}.txt", 10 * j, f"{j:09d}") for i in range(4) for j in range(1000)]
     share = [sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}]
     assert len(share) >= 6 and max(share) < 1500
+
+
+class Handle:
+    """Values of state in memory, and a count of the exchanges with them."""
+
+    def __init__(self):
+        self.value, self.exchanges = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.exchanges += 1
+        return self.value
+
+    def update(self, value):
+        self.exchanges += 1
+        self.value = value
+
+
+def test_a_groups_messages_share_one_exchange_with_the_state():
+    handle, last = Handle(), tail.LastChunk()
+    last.init(handle)
+    rows = lambda messages, life, offset, n: [Row(file="f", group=3, message_key=m, life=life, offset=offset, day=None, model="m", input_tokens=n, output_tokens=1) for m in messages]
+    told = lambda given: [(r["life"], r["input_tokens"], r["output_tokens"]) for r in last.handleInputRows(("f", 3), iter(given), None)]
+    messages = [f"m{i}" for i in range(1000)]
+    assert told([*rows(messages, 0, 9, 2), *rows(messages, 0, 5, 7), *rows([None, None], 0, 1, 100)]) == [(0, 2200, 1002)]
+    assert handle.exchanges == 2
+    # Later chunks take the earlier ones back, late ones don't count, and a new life doesn't touch the old one's sums.
+    assert told([*rows(messages[:10], 0, 20, 5), *rows(messages[10:20], 0, 3, 5)]) == [(0, 30, 0)]
+    assert told(rows(messages[:1], 1, 0, 4)) == [(1, 4, 1)]
+    assert handle.exchanges == 6

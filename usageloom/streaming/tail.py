@@ -8,12 +8,15 @@ number, with which its rows are marked, so that what was stored of the beginning
 file has no whole line yet. A rewrite that keeps those bytes, and isn't smaller, is taken for growth.
 
 A message's chunks may come in several batches. Keyed state holds the last chunk that counted, by file and message; a later one
-takes the other's tokens back and adds its own, so the stored sums are those of a single scan.
+takes the other's tokens back and adds its own, so the stored sums are those of a single scan. A file's messages are dealt to
+GROUPS by a hash, and a group's last chunks are one value of state: a call and two exchanges with the state for each group that
+a batch touches, not for each message. A line that comes rewrites its group's share of its file's messages.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -33,8 +36,8 @@ from usageloom.streaming.state import stateful_session
 
 #: Bytes that a batch admits, and the first bytes of a file by which a rewrite is told.
 BATCH_BYTES, HEAD = 4 << 30, 4096
-#: Groups that the rows without a message key of one file are dealt to; they need no state.
-UNKEYED_GROUPS = 64
+#: Groups that one file's messages are dealt to, and its rows without a message key, which need no state. Fixed as long as a store is used.
+GROUPS = 256
 #: The seconds between two readings that are offered; 0 is by hand.
 INTERVALS = [0, 60, 120, 300, 900, 1800]
 #: Stands, at the offset -1, for the beginning of a file: a usage line without tokens.
@@ -131,31 +134,43 @@ CHANGES = "file string, life int, day date, model string, input_tokens long, out
 
 
 class LastChunk(StatefulProcessor):
-    """Emits the difference between a message's last chunk and the one that counted before; rows without a key all count."""
+    """Emits, as sums, the differences between messages' last chunks and those that counted before; rows without a key all count."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "life int, offset long, day date, model string, input_tokens long, output_tokens long")
+        # Of each message (life, offset, day, model, input_tokens, output_tokens).
+        self.last = handle.getValueState("last", "chunks binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        def row(c: Row | tuple, life: int, sign: int = 1) -> Row:
-            day, model, put_in, out = c
-            return Row(file=key[0], life=life, day=day, model=model, input_tokens=sign * put_in, output_tokens=sign * out)
-
-        counted = lambda r: (r["day"], r["model"], r["input_tokens"], r["output_tokens"])
-        if key[1] is None:
-            for r in rows:
-                yield row(counted(r), r["life"])
-            return
-        newest = max(rows, key=lambda r: (r["life"], r["offset"]))
-        before = self.last.get()
-        if before is not None:
-            if tuple(before[:2]) >= (newest["life"], newest["offset"]):
-                return
-            # The sums of earlier beginnings of the file don't count anyway.
-            if before[0] == newest["life"]:
-                yield row(before[2:], before[0], -1)
-        yield row(counted(newest), newest["life"])
-        self.last.update((newest["life"], newest["offset"], *counted(newest)))
+        sums: dict[tuple, list[int]] = {}
+
+        def count(chunk: tuple, sign: int = 1) -> None:
+            life, _, day, model, put_in, out = chunk
+            found = sums.setdefault((life, day, model), [0, 0])
+            found[0] += sign * put_in
+            found[1] += sign * out
+
+        newest: dict[str, tuple] = {}
+        for message, *chunk in (r[2:] for r in rows):
+            if message is None:
+                count(chunk)
+            elif message not in newest or newest[message][:2] < tuple(chunk[:2]):
+                newest[message] = tuple(chunk)
+        if newest:
+            state = self.last.get()
+            last = pickle.loads(state[0]) if state is not None else {}
+            for message, chunk in newest.items():
+                before = last.get(message)
+                if before is not None:
+                    if before[:2] >= chunk[:2]:
+                        continue
+                    # The sums of earlier beginnings of the file don't count anyway.
+                    if before[0] == chunk[0]:
+                        count(before, -1)
+                count(chunk)
+                last[message] = chunk
+            self.last.update((pickle.dumps(last, pickle.HIGHEST_PROTOCOL),))
+        for (life, day, model), (put_in, out) in sums.items():
+            yield Row(file=key[0], life=life, day=day, model=model, input_tokens=put_in, output_tokens=out)
 
     def close(self) -> None:
         pass
@@ -164,10 +179,10 @@ class LastChunk(StatefulProcessor):
 def changes(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     """CHANGES of a stream of lines; marks come with a null day."""
     usage = parse_lines(lines, zone, keep=["life"]).where(has_tokens("input_tokens", "output_tokens") | (F.col("offset") < 0))
-    group = F.when(F.col("message_key").isNull(), F.pmod(F.xxhash64("offset"), F.lit(UNKEYED_GROUPS))).otherwise(F.lit(0)).alias("group")
+    group = F.pmod(F.when(F.col("message_key").isNull(), F.xxhash64("offset")).otherwise(F.xxhash64("message_key")), F.lit(GROUPS)).alias("group")
     day = F.when(F.col("offset") >= 0, F.col("day")).alias("day")
-    keyed = usage.select("file", "message_key", group, "life", "offset", day, "model", "input_tokens", "output_tokens")
-    return keyed.groupBy("file", "message_key", "group").transformWithState(LastChunk(), CHANGES, "Update", "None")
+    keyed = usage.select("file", group, "message_key", "life", "offset", day, "model", "input_tokens", "output_tokens")
+    return keyed.groupBy("file", "group").transformWithState(LastChunk(), CHANGES, "Update", "None")
 
 
 PARTIALS = "file string, life int, day date, model string, input_tokens long, output_tokens long, cost double"
