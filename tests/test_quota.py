@@ -141,3 +141,14 @@ def test_one_changed_file_of_a_hundred_is_read(spark, tmp_path):
     (logs / "new.jsonl").write_text(line(ts, "claude-opus-4", tokens=(5, 5)) + "\n")
     found, read = again()
     assert found == whole() != first and read == ["007.jsonl", "new.jsonl"]
+
+
+def test_a_windows_samples_take_two_exchanges_with_the_state():
+    from test_tail import Handle
+
+    handle, step = Handle(), quota.Quota([50, 20])
+    step.init(handle)
+    for batch in range(3):
+        given = [{"seconds": 60.0 * i, "seq": i, "used": 10.0 * i, "until_reset": 9e9, "enabled": True} for i in range(3 * batch, 3 * batch + 3)]
+        told = [(r["seq"], r["place"], r["alert"]) for r in step.handleInputRows(("w",), iter(given), None) if r["alert"]]
+        assert told == [[(2, 3, "predictive")], [(5, 2, "50")], [(8, 2, "20")]][batch] and handle.exchanges == 2 * batch + 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,31 +242,33 @@ ORACLE["stream_alerts"] = """WITH lagged AS (SELECT 'u' || user_id AS window_id,
   UNION ALL SELECT window_id, seq, CASE WHEN remaining <= 0.0001 THEN 'depleted' ELSE 'restored' END FROM lagged WHERE (remaining <= 0.0001) <> coalesce(previous <= 0.0001, false)"""
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream over the sample series, some files a batch, in order of time."""
-    source, session = scratch(spark, "samples"), stateful_session(spark)
+def _streamed(make: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """All that a stream over the sample series emits, as a table, a folder for each batch.
+
+    The samples come by thirds of the time, one after the other: each is written by all tasks, and then a batch of its own, so
+    that each batch holds later samples than the one before.
+    """
+    source, out, progress, session = scratch(spark, "samples"), scratch(spark, label), scratch(spark, f"{label}-progress"), stateful_session(spark)
     rows = samples(spark, sf_dir).select(
         F.col("user_id").alias("window_id"), F.col("event_id").alias("seq"), local_seconds(F.col("ts")).alias("seconds"), "used", "until_reset", F.lit(True).alias("enabled"), (F.col("event_type") == "error").alias("has_error"),
     )
-    # Files by thirds of the time, written one after the other: so each batch holds later samples than the one before.
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
     low, high = rows.agg(F.min("seconds"), F.max("seconds")).first()
     for i in range(3):
         third = F.floor((F.col("seconds") - F.lit(low)) * 3 / (F.lit(high) - F.lit(low) + 1.0)) == i
-        rows.where(third).coalesce(1).write.mode("append").parquet(source)
-    return session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rows.where(third).write.mode("append").parquet(source)
+        found = make(session.readStream.schema(rows.schema).parquet(source))
+        found.writeStream.foreachBatch(put).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).drop("batch")
 
 
-def _streamed(found: DataFrame, spark: SparkSession, label: str) -> DataFrame:
-    """All that a stream emits, as a table: a folder for each batch."""
-    out = scratch(spark, label)
-    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-    found.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, f"{label}-progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out).drop("batch")
+def _quota(stream: DataFrame) -> DataFrame:
+    return quota_alerts(stream, [50, 20])
 
 
 def stream_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample's forecast, from a stream."""
-    found = _streamed(quota_alerts(_samples(spark, sf_dir), [50, 20]), spark, "forecasts").where("place = 0")
+    found = _streamed(_quota, spark, sf_dir, "forecasts").where("place = 0")
     return found.select(F.col("window_id").alias("user_id"), F.col("seq").alias("event_id"), F.round("minutes", 6).alias("minutes"), "confidence")
 
 
@@ -275,7 +278,7 @@ ORACLE["stream_forecasts"] = f"WITH {SAMPLES}, {RUNNING} SELECT user_id, event_i
 
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All alerts of a stream, each tick's in order: depleted or restored, a threshold, predictive."""
-    found = _streamed(quota_alerts(_samples(spark, sf_dir), [50, 20]), spark, "quota").where("place > 0")
+    found = _streamed(_quota, spark, sf_dir, "quota").where("place > 0")
     return found.select(F.col("window_id").alias("user_id"), F.col("seq").alias("event_id"), "place", "alert")
 
 
@@ -291,7 +294,7 @@ ORACLE["stream_quota"] = f"""WITH {SAMPLES}, {RUNNING}, ticks AS (
 
 def stream_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors keep the last good sample, on a stream."""
-    found = _streamed(carried_forward(_samples(spark, sf_dir)), spark, "carried")
+    found = _streamed(carried_forward, spark, sf_dir, "carried")
     return found.select(F.col("window_id").alias("user_id"), F.col("seq").alias("event_id"), "has_error", "used", F.col("good_seq").alias("good_event"))
 
 
@@ -301,7 +304,7 @@ ORACLE["stream_carry_forward"] = SERIES_ORACLE["carry_forward"]
 
 def posted_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts of a stream, posted to an outbox, each once."""
-    found = _streamed(quota_alerts(_samples(spark, sf_dir), [50, 20]), spark, "quota").where("place in (1, 2)")
+    found = _streamed(_quota, spark, sf_dir, "quota").where("place in (1, 2)")
     told = scratch(spark, "told-alerts")
     found.select(alert_post(F.col("window_id").cast("string"), F.col("alert"), F.lit(0.0)).id.alias("id"), "seq").repartition(4).write.parquet(told)
     spark.dataSource.register(AlertPosts)

@@ -56,13 +56,12 @@ class Quota(StatefulProcessor):
         self.marks = sorted(t for t in set(thresholds) if 1 <= t <= 100)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getListState("history", "seconds double, used double")
-        self.alerts = handle.getValueState("alerts", "previous double, fired array<int>, depleted boolean, near boolean")
+        # One value, as each is an exchange of its own with the store of states.
+        self.kept = handle.getValueState("kept", "seconds array<double>, used array<double>, previous double, fired array<int>, depleted boolean, near boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        points = [tuple(p) for p in self.history.get()]
-        previous, fired, depleted, near = self.alerts.get() or (None, [], False, False)
-        fired = set(fired)
+        seconds, used, previous, fired, depleted, near = self.kept.get() or ([], [], None, [], False, False)
+        points, fired = list(zip(seconds, used, strict=True)), set(fired)
         for r in sorted(rows, key=lambda r: (r["seconds"], r["seq"])):
             points = [*points, (r["seconds"], r["used"])][-HISTORY:]
             minutes, confidence = forecast_of(points, r["until_reset"])
@@ -84,8 +83,8 @@ class Quota(StatefulProcessor):
                 previous = left
             for place, alert in out:
                 yield Row(window_id=key[0], seq=r["seq"], place=place, alert=alert, minutes=minutes, confidence=confidence)
-        self.history.put(points)
-        self.alerts.update((previous, sorted(fired), depleted, near))
+        seconds, used = ([p[i] for p in points] for i in (0, 1))
+        self.kept.update((seconds, used, previous, sorted(fired), depleted, near))
 
     def close(self) -> None:
         pass
