@@ -198,6 +198,48 @@ def test_large_logs_are_admitted_piecewise_and_in_turn(tmp_path):
     assert sorted(r["offset"] for r in rows if r["file"].endswith("big.jsonl")) == [11 * i for i in range(20)]
 
 
+def test_files_of_a_job_that_still_writes_are_not_read(tmp_path):
+    logs = tmp_path / "logs"
+    ahead = logs / "half1" / "_temporary" / "0" / "task_1" / "part=0"
+    ahead.mkdir(parents=True)
+    (logs / "a.jsonl").write_text("x\n")
+    (ahead / "b.jsonl").write_text("yy\n")
+    reader = reader_of(tmp_path)
+    first = reader.latestOffset()
+    assert told(reader, reader.initialOffset(), first) == [("a.jsonl", 0, 2, 0)]
+    ahead.rename(logs / "half1" / "part=0")
+    second = reader.latestOffset()
+    assert told(reader, first, second) == [("b.jsonl", 0, 3, 0)] and second == {"version": 2}
+
+
+def test_logs_that_go_while_they_are_tailed(tmp_path, monkeypatch):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for name in "abc":
+        (logs / f"{name}.jsonl").write_text(f"{name}\n")
+    whole = tail.listed
+
+    def listed(*given):
+        found = list(whole(*given))
+        (logs / "a.jsonl").unlink(missing_ok=True)  # between the listing and the look into the files
+        return found
+
+    monkeypatch.setattr(tail, "listed", listed)
+    reader = reader_of(tmp_path)
+    first = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), first)
+    (logs / "b.jsonl").unlink()  # between the version and the reading
+    assert [r["value"] for p in parts for batch in reader.read(p) for r in batch.to_pylist()] == ["c"]
+    second = reader.latestOffset()  # one that was told of is gone, and read from its beginning when it is back
+    assert told(reader, first, second) == []
+    (logs / "b.jsonl").write_text("b\n")
+    third = reader.latestOffset()
+    assert told(reader, second, third) == [("b.jsonl", 0, 0, 1), ("b.jsonl", 0, 2, 1)]
+    logs.rename(tmp_path / "elsewhere")
+    with pytest.raises(FileNotFoundError):  # a task that doesn't see the folder
+        list(reader.read(parts[0]))
+
+
 def test_partials_are_merged_behind_a_manifest(spark, tmp_path):
     schema = "k string, n long"
     merge = lambda df: df.groupBy("k").agg(F.sum("n").alias("n")).coalesce(1)

@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 PART_BYTES, CHUNK, BATCH_ROWS = 64 << 20, 256 << 10, 4096
 #: Fixed value: longer lines are dropped, as a cut line is no JSON.
 MOST_LINE_BYTES = 1 << 20
+#: Fixed value: the folder in which a Spark or Hadoop job keeps its files until it commits them, and moves them to their place.
+UNCOMMITTED = "_temporary"
 
 
 def opened(root: str):
@@ -32,7 +34,7 @@ def opened(root: str):
 
 
 def listed(root: str, pattern: str) -> Iterator[tuple[str, object]]:
-    """(address, what its file system tells) of each file below the root whose name fits the pattern; names that begin with a dot are hidden."""
+    """(address, what its file system tells) of each file below the root whose name fits the pattern; names that begin with a dot are hidden, and what a job hasn't committed."""
     from pyarrow import fs as pafs
 
     root = root.rstrip("/") or "/"
@@ -44,7 +46,8 @@ def listed(root: str, pattern: str) -> Iterator[tuple[str, object]]:
             if info.base_name.startswith("."):
                 continue
             if info.type == pafs.FileType.Directory:
-                todo.append(info.path)
+                if info.base_name != UNCOMMITTED:
+                    todo.append(info.path)
             elif info.is_file and fnmatch.fnmatchcase(info.base_name, pattern):
                 yield prefix + info.path, info
 

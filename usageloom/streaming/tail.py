@@ -5,7 +5,9 @@ the files that have waited longest first, so a first run over many logs is sever
 at most, so a half-written line waits for its rest. A file whose size and time haven't changed isn't opened unless some of it waits. A
 file that has shrunk, that was gone, or whose first HEAD bytes have changed is read anew: each such beginning gets another
 number, with which its rows are marked, so that what was stored of the beginnings before is replaced, even where the new
-file has no whole line yet. A rewrite that keeps those bytes, and isn't smaller, is taken for growth.
+file has no whole line yet. A rewrite that keeps those bytes, and isn't smaller, is taken for growth. What a Spark job is still
+writing below the folder isn't listed before it is committed: its files would move while they are read, or count twice. A file that is gone
+between the listing and the reading has no lines any more, which doesn't end the stream.
 
 A message's chunks may come in several batches. Keyed state holds the last chunk that counted, by file and message; a later one
 takes the other's tokens back and adds its own, so the stored sums are those of a single scan. A file's messages are dealt to
@@ -80,7 +82,11 @@ class LogTailReader(DataSourceStreamReader):
                 break
             info = there[address]
             fs, path = opened(address)
-            found = self._looked_at(fs, path, address, info, self.known.get(address))
+            try:
+                found = self._looked_at(fs, path, address, info, self.known.get(address))
+            except FileNotFoundError:
+                del there[address]  # gone since it was listed
+                continue
             found.done = max(found.first, min(found.line_end, found.first + room))
             room -= found.done - found.first
             changed.append(found)
@@ -100,13 +106,22 @@ class LogTailReader(DataSourceStreamReader):
         self.map.forget(end["version"])
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
         def rows() -> Iterator[tuple]:
             for s in partition.stretches:
                 if s.start == s.stop:
                     yield s.path, -1, s.life, MARK
                     continue
                 fs, path = opened(s.path)
-                with fs.open_input_file(path) as f:
+                try:
+                    f = fs.open_input_file(path)
+                except FileNotFoundError:
+                    # Gone since it was admitted; but a task that doesn't see the logs' folder at all must not go on without them.
+                    if fs.get_file_info(opened(self.root)[1]).type == pafs.FileType.NotFound:
+                        raise
+                    continue
+                with f:
                     for offset, line in lines_of(f, s.start, s.stop):
                         if line.strip():
                             yield s.path, offset, s.life, line.decode("utf-8", "replace").removesuffix("\r")
